@@ -4,62 +4,85 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from capsift import rules as R
 from capsift.functions.text import bigint, strip_http_headers
 from capsift.operators.cut import generic_text
 
 SCALARS = {"STRING": "string", "BOOLEAN": "boolean", "VOID": "null"}
 
 
-def json_type(value: Column) -> Column:
-    """``object, array, string, number, boolean`` or ``null``."""
-    schema = F.schema_of_variant(value)
+def type_of_schema(schema: Column) -> Column:
+    """``object, array, string, number, boolean`` or ``null`` from a VARIANT schema."""
     out = F.when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array")
     for name, label in SCALARS.items():
         out = out.when(schema == name, label)
-    return out.otherwise("number")
+    return F.when(schema.isNotNull(), out.otherwise("number"))
 
 
-def _described(rows: DataFrame, value: str) -> DataFrame:
-    """Adds ``type`` and ``length`` (characters or items) of a VARIANT column."""
-    v, kind = F.col(value), F.col("type")
+def _described(rows: DataFrame, i: int) -> DataFrame:
+    """Adds ``type_i`` and ``length_i`` (characters or items) of ``value_i``."""
+    v, kind = F.col(f"value_{i}"), F.col(f"type_{i}")
     length = (F.when(kind == "string", F.length(F.try_variant_get(v, "$", "string")))
               .when(kind == "array", F.size(F.try_variant_get(v, "$", "array<variant>"))))
-    return rows.withColumn("type", json_type(v)).withColumn("length", bigint(length))
+    rows = rows.withColumn("_schema", F.schema_of_variant(v))
+    rows = rows.withColumn(f"type_{i}", type_of_schema(F.col("_schema"))).drop("_schema")
+    return rows.withColumn(f"length_{i}", bigint(length))
 
 
-def _members(rows: DataFrame, value: str) -> DataFrame:
-    """One row per member of an object, or for the first item of an array."""
-    exploded = rows.sparkSession.tvf.variant_explode(F.col(value).outer())
-    inner = rows.select("capture_id", F.col("path").alias("parent"), F.col("depth").alias("parent_depth"),
-                        F.col("type").alias("parent_type"), value).lateralJoin(exploded)
-    inner = inner.select("capture_id", "parent", "parent_depth", "parent_type", "pos", "key", exploded["value"])
-    inner = inner.where((F.col("parent_type") == "object") | (F.col("pos") == 0))
-    step = F.when(F.col("parent_type") == "array", "[0]").otherwise(F.concat(F.lit("."), "key"))
-    # An object inside an object costs two levels, the first item of an array one.
-    depth = F.col("parent_depth") + F.when(F.col("parent_type") == "array", 1).otherwise(2)
-    return _described(inner.select("capture_id", F.concat("parent", step).alias("path"),
-                                   depth.alias("depth"), "value"), "value")
+def _opened(rows: DataFrame, i: int) -> DataFrame:
+    """Level ``i + 1``: members of an object, the first item of a root array.
+
+    An object inside an object costs two levels, an array's first item one.
+    Values that stay closed keep a single row with null members.
+    """
+    kind, depth = F.col(f"type_{i}"), F.col(f"depth_{i}")
+    root_array = (kind == "array") & F.col(f"path_{i}").rlike(r"^\$(\[0\])*$")
+    is_open = (depth < R.JSON_DEPTH) & ((kind == "object") | root_array)
+    rows = rows.withColumn("_doc", F.when(is_open, F.col(f"value_{i}")))
+    members = rows.sparkSession.tvf.variant_explode_outer(F.col("_doc").outer())
+    rows = rows.lateralJoin(members).where((kind == "object") | F.col("pos").isNull() | (F.col("pos") == 0))
+    step = F.when(kind == "array", "[0]").otherwise(F.concat(F.lit("."), "key"))
+    rows = (rows.withColumn(f"path_{i + 1}", F.concat(f"path_{i}", step))
+            .withColumn(f"depth_{i + 1}", depth + F.when(kind == "array", 1).otherwise(2))
+            .withColumn(f"first_{i + 1}", F.coalesce(F.col("pos"), F.lit(0)) == 0)
+            .withColumn(f"value_{i + 1}", F.col("value")))
+    return _described(rows.drop("_doc", "pos", "key", "value"), i + 1)
+
+
+def _parts(captures: DataFrame, keep_text: bool) -> DataFrame:
+    rows = captures.select("capture_id", "raw", F.try_parse_json("raw").alias("value_0"))
+    if not keep_text:
+        rows = rows.where(F.col("value_0").isNotNull())
+    rows = rows.withColumn("path_0", F.lit("$")).withColumn("depth_0", F.lit(0))
+    rows = _described(rows, 0)
+    levels = R.JSON_DEPTH
+    for i in range(levels):
+        rows = _opened(rows, i)
+    null = F.lit(None).cast("string")
+
+    def part(i: int) -> Column:
+        # A value shows on the first row of everything below it.
+        shown = F.col(f"type_{i}").isNotNull()
+        for j in range(i + 1, levels + 1):
+            shown = shown & F.col(f"first_{j}")
+        return F.when(shown, F.struct(F.col(f"path_{i}").alias("path"), F.col(f"type_{i}").alias("type"),
+                                      F.col(f"length_{i}").alias("length"), null.alias("filtered")))
+
+    parts = [part(i) for i in range(levels + 1)]
+    if keep_text:
+        parts.append(F.when(F.col("value_0").isNull(), F.struct(
+            F.lit("$").alias("path"), F.lit("text").alias("type"), bigint(F.length("raw")).alias("length"),
+            generic_text(F.col("raw")).alias("filtered"))))
+    return rows.select("capture_id", F.inline(F.array_compact(F.array(*parts))))
 
 
 def json_structure(captures: DataFrame) -> DataFrame:
-    """``path, type, length`` of every part down to three levels; narrow.
+    """``path, type, length`` of every part down to three levels.
 
-    Values are never shown.  Captures that are no JSON give no row.  The root
-    array is described by its first item; deeper arrays by their size alone.
+    One pass over the input, no shuffle.  Values are never shown; captures that
+    are no JSON give no row.
     """
-    root = captures.select("capture_id", F.lit("$").alias("path"), F.lit(0).alias("depth"),
-                           F.try_parse_json("raw").alias("value")).where(F.col("value").isNotNull())
-    levels = [_described(root, "value")]
-    opened = levels[0].where(F.col("type").isin("object", "array"))
-    for _ in range(3):
-        level = _members(opened, "value")
-        levels.append(level)
-        is_array = (F.col("type") == "array") & F.col("path").rlike(r"^\$(\[0\])*$")
-        opened = level.where((F.col("depth") < 3) & ((F.col("type") == "object") | is_array))
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out.select("capture_id", "path", "type", "length")
+    return _parts(captures, keep_text=False).drop("filtered")
 
 
 def json_profile(structure: DataFrame) -> DataFrame:
@@ -69,17 +92,6 @@ def json_profile(structure: DataFrame) -> DataFrame:
         bigint(F.max("length")).alias("max_length"))
 
 
-def split_bodies(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(JSON bodies, other bodies) with HTTP headers removed from ``raw``."""
-    bodies = captures.withColumn("raw", strip_http_headers(F.col("raw"))).withColumn(
-        "_json", F.try_parse_json("raw").isNotNull())
-    return bodies.where("_json").drop("_json"), bodies.where(~F.col("_json")).drop("_json")
-
-
 def json_or_text(captures: DataFrame) -> DataFrame:
-    """JSON bodies as their structure rows, any other body as its generic cut."""
-    as_json, as_text = split_bodies(captures)
-    return (json_structure(as_json).withColumn("filtered", F.lit(None).cast("string"))
-            .unionByName(as_text.select("capture_id", F.lit("$").alias("path"), F.lit("text").alias("type"),
-                                        bigint(F.length("raw")).alias("length"),
-                                        generic_text(F.col("raw")).alias("filtered"))))
+    """Response bodies: JSON as its structure, any other text as its generic cut."""
+    return _parts(captures.withColumn("raw", strip_http_headers(F.col("raw"))), keep_text=True)

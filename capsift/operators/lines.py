@@ -44,19 +44,20 @@ def capped(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int
     many tasks; each passes on at most ``k`` rows and its partial totals.
     """
     totals = dict(totals or {})
-    local = Window.partitionBy(*keys, "_split")
-    per_key = Window.partitionBy(*keys)
     fold = {"sum": F.sum, "min": F.min, "max": F.max}
+    local, per_key = Window.partitionBy(*keys, "_split"), Window.partitionBy(*keys)
+    # Ranking comes before the totals in each step: both then share one sort.
     out = rows.withColumn("_split", chunk_of() if split is None else split)
-    for name, (how, expr) in totals.items():
-        out = out.withColumn(f"_{name}", fold[how](expr).over(local))
-    out = (out.withColumn("_rank", F.row_number().over(local.orderBy(*order)))
-           .where(F.col("_rank") <= k))
-    for name, (how, _) in totals.items():
-        part = F.col(f"_{name}") if how != "sum" else F.when(F.col("_rank") == 1, F.col(f"_{name}"))
-        out = out.withColumn(name, fold[how](part).over(per_key))
-    return (out.withColumn("rank", F.row_number().over(per_key.orderBy(*order)))
-            .where(F.col("rank") <= k).withColumn("rank", bigint("rank"))
+    out = out.withColumn("_rank", F.row_number().over(local.orderBy(*order)))
+    out = out.withColumns({f"_{name}": fold[how](expr).over(local) for name, (how, expr) in totals.items()})
+    out = out.where(F.col("_rank") <= k).withColumn("rank", F.row_number().over(per_key.orderBy(*order)))
+
+    def part(name: str, how: str) -> Column:
+        # A sum enters once per split, carried by the split's first row.
+        return F.when(F.col("_rank") == 1, F.col(f"_{name}")) if how == "sum" else F.col(f"_{name}")
+
+    out = out.withColumns({name: fold[how](part(name, how)).over(per_key) for name, (how, _) in totals.items()})
+    return (out.where(F.col("rank") <= k).withColumn("rank", bigint("rank"))
             .drop("_split", "_rank", *[f"_{name}" for name in totals]))
 
 

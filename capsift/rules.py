@@ -150,7 +150,7 @@ SECRET_NAME = r"(?i)key|token|secret|password|passwd|credential|auth|api_key|acc
 MASK = "***masked***"
 ENV_WIDTH, ENV_KEEP = 80, 77
 INLINE_SECRET = (
-    r"""(?i)([A-Za-z0-9_.\-]*(?:key|token|secret|password|passwd|credential|auth|access|private)[A-Za-z0-9_.\-]*\s*[=:]\s*)"""
+    r"""(?i)((?:key|token|secret|password|passwd|credential|auth|access|private)[A-Za-z0-9_.\-]*\s*[=:]\s*)"""
     r"""("[^"\n]*"|'[^'\n]*'|[^\s"',;]+)"""
 )
 
