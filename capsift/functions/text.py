@@ -31,14 +31,15 @@ def truncate_line(col: Column, width: int = R.LINE_WIDTH) -> Column:
         F.concat(first_chars(col, width - 3), F.lit("...")))
 
 
-def snippet(col: Column, pattern: str | None = None, width: int = R.SNIPPET_WIDTH) -> Column:
+def snippet(col: Column, pattern: str | Column | None = None, width: int = R.SNIPPET_WIDTH) -> Column:
     """A window of ``width`` characters around the literal ``pattern``."""
     text = trim_ws(col)
     size = F.length(text)
     head = F.concat(first_chars(text, width - 3), F.lit("..."))
-    if not pattern:
+    if pattern is None or isinstance(pattern, str) and not pattern:
         return F.when(size <= width, text).otherwise(head)
-    hit = F.instr(F.lower(text), pattern.lower()) - 1
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    hit = F.instr(F.lower(text), F.lower(pattern)) - 1
     start = F.greatest(F.lit(0), hit - width // 3)
     end = F.least(size, start + width)
     start = F.when(end == size, F.greatest(F.lit(0), end - width)).otherwise(start)
@@ -46,7 +47,7 @@ def snippet(col: Column, pattern: str | None = None, width: int = R.SNIPPET_WIDT
         F.when(start > 0, "...").otherwise(""),
         F.substring(text, start + 1, end - start),
         F.when((start == 0) | (end < size), "...").otherwise(""))
-    return F.when(size <= width, text).when(hit >= 0, window).otherwise(head)
+    return F.when(size <= width, text).when((hit >= 0) & (pattern != ""), window).otherwise(head)
 
 
 def compact_path(col: Column) -> Column:

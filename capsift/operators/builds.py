@@ -46,7 +46,7 @@ def gradle_issues(lines: DataFrame) -> DataFrame:
                          R.GRADLE_CAPS["failed_task"])
              .withColumn("n_distinct", F.col("total")).drop("more"))
     issues = capped_tally(rows.where(kind.isin("error", "warning")), ["capture_id", "section"],
-                          R.GRADLE_CAPS["error"]).drop("n")
+                          R.GRADLE_CAPS["error"]).drop("n", "first_line_no")
     issues = within_caps(issues, R.GRADLE_CAPS).where(
         (kind == "error") | (F.col("total") <= R.GRADLE_CAPS["warning"])
         | (F.col("rank") <= R.GRADLE_WARNING_SHORT))

@@ -56,12 +56,15 @@ def json_diagnostics(captures: DataFrame) -> DataFrame:
 
 def diag_by_file(found: DataFrame, tool: str, cap: int = R.PER_FILE_CAP) -> DataFrame:
     """First ten diagnostics per file; totals count errors and warnings apart."""
-    order = [F.col("line_no")] + ([F.col("pos")] if "pos" in found.columns else [])
-    listed = capped(found.where(F.col("tool") == tool), ["capture_id", "file"], order, cap,
+    if "pos" not in found.columns:
+        found = found.withColumn("pos", F.lit(0).cast("bigint"))
+    listed = capped(found.where(F.col("tool") == tool), ["capture_id", "file"],
+                    [F.col("line_no"), F.col("pos")], cap,
                     {"n_in_file": ("sum", F.lit(1)), "first_line_no": ("min", F.col("line_no")),
+                     "first_pos": ("min", F.col("pos")),
                      "n_errors": ("sum", F.when(F.col("severity") == "error", 1).otherwise(0))})
-    return listed.select("capture_id", "file", bigint("first_line_no").alias("first_line_no"), "rank",
-                         "severity", "row", "col", "rule", "message",
+    return listed.select("capture_id", "file", bigint("first_line_no").alias("first_line_no"),
+                         bigint("first_pos").alias("first_pos"), "rank", "severity", "row", "col", "rule", "message",
                          bigint("n_in_file").alias("n_in_file"), bigint("n_errors").alias("n_errors"))
 
 
@@ -69,7 +72,9 @@ def diag_by_rule(found: DataFrame, cap: int = R.PER_RULE_CAP) -> DataFrame:
     """First five distinct messages per level and rule (eslint, biome)."""
     rows = found.where(F.col("tool").isin("eslint", "biome"))
     listed = capped_tally(rows, ["capture_id", "severity", "rule"], cap, "message")
+    # "n" repeats of this message; "first_line_no" places the whole rule.
     return listed.select("capture_id", "severity", "rule", "rank", "message", bigint("n").alias("n"),
+                         bigint("first_line_no").alias("first_line_no"),
                          bigint("total").alias("total"), bigint("n_distinct").alias("n_distinct"))
 
 
@@ -77,11 +82,13 @@ def diag_by_linter(found: DataFrame, cap: int = R.PER_LINTER_CAP) -> DataFrame:
     """First five issues per linter (golangci)."""
     listed = capped(found.where(F.col("tool") == "golangci"), ["capture_id", "rule"],
                     [F.col("line_no"), F.col("pos")], cap,
-                    {"total": ("sum", F.lit(1)), "first_line_no": ("min", F.col("line_no"))})
+                    {"total": ("sum", F.lit(1)), "first_line_no": ("min", F.col("line_no")),
+                     "first_pos": ("min", F.col("pos"))})
     place = F.when(F.col("file").isNotNull(), F.concat("file", F.lit(":"), F.col("row").cast("string")))
     return listed.select("capture_id", F.col("rule").alias("linter"), "rank",
                          F.coalesce(place, F.lit("?")).alias("place"), "message",
-                         bigint("total").alias("total"), bigint("first_line_no").alias("first_line_no"))
+                         bigint("total").alias("total"), bigint("first_line_no").alias("first_line_no"),
+                         bigint("first_pos").alias("first_pos"))
 
 
 def diagnostic_totals(found: DataFrame) -> DataFrame:

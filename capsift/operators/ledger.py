@@ -87,3 +87,11 @@ def ledger_quantiles(ledger: DataFrame, accuracy: int = 10000) -> DataFrame:
     q = F.percentile_approx("tokens_saved", F.array(F.lit(0.5), F.lit(0.9)), accuracy)
     return ledger.groupBy("tool").agg(q.alias("q"), bigint(F.count(F.lit(1))).alias("runs")).select(
         "tool", "runs", bigint(F.col("q")[0]).alias("p50"), bigint(F.col("q")[1]).alias("p90"))
+
+
+def savings_by(usage: DataFrame, *keys: str) -> DataFrame:
+    """Measured token savings per key."""
+    return usage.groupBy(*keys).agg(
+        bigint(F.count(F.lit(1))).alias("runs"), bigint(F.sum("raw_tokens")).alias("raw_tokens"),
+        bigint(F.sum("filtered_tokens")).alias("filtered_tokens"), bigint(F.sum("tokens_saved")).alias("tokens_saved"),
+    ).withColumn("pct", saved_share(F.col("tokens_saved"), F.col("raw_tokens")))

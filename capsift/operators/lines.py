@@ -22,10 +22,10 @@ from capsift.functions.text import bigint, not_blank
 CHUNK = 65536
 
 
-def explode_lines(captures: DataFrame, text: str = "raw") -> DataFrame:
+def explode_lines(captures: DataFrame, text: str = "raw", keep: Sequence[str] = ()) -> DataFrame:
     """One row per line, empty and trailing lines kept; no shuffle."""
     return captures.select(
-        "capture_id", F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line")
+        "capture_id", *keep, F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line")
     ).withColumn("line_no", bigint("line_no"))
 
 
@@ -70,10 +70,12 @@ def tally(rows: DataFrame, keys: Sequence[str], text: str = "line") -> DataFrame
 def capped_tally(rows: DataFrame, keys: Sequence[str], k: int, text: str = "line") -> DataFrame:
     """First ``k`` distinct texts per key by first appearance.
 
-    ``total`` counts every row, ``n_distinct`` every distinct text.
+    ``total`` counts every row, ``n_distinct`` every distinct text,
+    ``first_line_no`` is where the group begins.
     """
     return capped(tally(rows, keys, text), keys, [F.col("line_no"), F.col(text)], k,
-                  {"total": ("sum", F.col("n")), "n_distinct": ("sum", F.lit(1))})
+                  {"total": ("sum", F.col("n")), "n_distinct": ("sum", F.lit(1)),
+                   "first_line_no": ("min", F.col("line_no"))})
 
 
 def capped_list(rows: DataFrame, keys: Sequence[str] = ("capture_id",), k: int = 20) -> DataFrame:

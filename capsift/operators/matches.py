@@ -9,11 +9,11 @@ from capsift.functions.text import bigint, compact_path, number_in, snippet
 from capsift.operators.lines import capped, filled
 
 
-def parse_matches(lines: DataFrame) -> DataFrame:
+def parse_matches(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``file, row, content`` out of ``file:row:content`` lines; narrow."""
     line = F.col("line")
     return filled(lines).where(line.rlike(R.GREP_LINE)).select(
-        "capture_id", "line_no", F.regexp_extract(line, R.GREP_LINE, 1).alias("file"),
+        "capture_id", "line_no", *keep, F.regexp_extract(line, R.GREP_LINE, 1).alias("file"),
         bigint(F.coalesce(F.nullif(F.regexp_extract(line, R.GREP_LINE, 2), F.lit("")).cast("bigint"),
                           F.lit(0))).alias("row"),
         F.regexp_extract(line, R.GREP_LINE, 3).alias("content"))
@@ -21,8 +21,13 @@ def parse_matches(lines: DataFrame) -> DataFrame:
 
 def matches_by_file(lines: DataFrame, pattern: str | None = None,
                     per_file: int = R.GREP_PER_FILE, overall: int = R.GREP_OVERALL) -> DataFrame:
-    """First 5 matches per file, files in binary order, 50 rows per capture."""
-    by_file = capped(parse_matches(lines), ["capture_id", "file"], [F.col("line_no")], per_file,
+    """First 5 matches per file, files in binary order, 50 rows per capture.
+
+    Long lines are cut around ``pattern``, or around the line's own ``pattern``
+    column where there is one.
+    """
+    keep = ("pattern",) if "pattern" in lines.columns else ()
+    by_file = capped(parse_matches(lines, keep), ["capture_id", "file"], [F.col("line_no")], per_file,
                      {"n_in_file": ("sum", F.lit(1))}).withColumnRenamed("rank", "file_rank")
     first = F.col("file_rank") == 1
     listed = capped(by_file, ["capture_id"], [F.col("file"), F.col("file_rank")], overall,
@@ -30,7 +35,7 @@ def matches_by_file(lines: DataFrame, pattern: str | None = None,
                      "total": ("sum", F.when(first, F.col("n_in_file")).otherwise(0))},
                     split=F.pmod(F.xxhash64("file"), F.lit(64)))
     return listed.select("capture_id", "rank", "file", compact_path(F.col("file")).alias("file_display"),
-                         "file_rank", "row", snippet(F.col("content"), pattern).alias("content"),
+                         "file_rank", "row", snippet(F.col("content"), F.col("pattern") if keep else pattern).alias("content"),
                          bigint("n_in_file").alias("n_in_file"), bigint("n_files").alias("n_files"),
                          bigint("total").alias("total"))
 

@@ -167,12 +167,13 @@ def diagnostics_query(spark, sf_dir):
 
 
 def _by_file(tool: str, source: str = "g", order: str = "line_no") -> tuple:
+    first_pos = "min(pos) over w" if "pos" in order else "0::bigint"
     return (("r", f"select *, row_number() over (partition by capture_id, file order by {order}) as r, count(*) over w as n_in_file, "
-                  "min(line_no) over w as first_line_no, count(*) filter (where severity = 'error') over w as n_errors "
+                  f"min(line_no) over w as first_line_no, {first_pos} as first_pos, count(*) filter (where severity = 'error') over w as n_errors "
                   f"from {source} where tool = '{tool}' window w as (partition by capture_id, file)"),)
 
 
-_BY_FILE = 'select capture_id, file, first_line_no, r as rank, severity, "row", col, rule, message, n_in_file, n_errors from r where r <= 10'
+_BY_FILE = 'select capture_id, file, first_line_no, first_pos, r as rank, severity, "row", col, rule, message, n_in_file, n_errors from r where r <= 10'
 
 
 @register("diag_by_file", query("v_diag_lines", *_DIAG, *_by_file("tsc"), final=_BY_FILE))
@@ -187,7 +188,7 @@ def diag_by_file_ruff(spark, sf_dir):
 
 @register("diag_by_rule", query("v_diag_lines", *_DIAG,
     ("t", tally("(select * from g where tool in ('eslint', 'biome'))", "capture_id, severity, rule", "message")),
-    final="select capture_id, severity, rule, r as rank, message, n, cast(total as bigint) as total, n_distinct from t where r <= 5"))
+    final="select capture_id, severity, rule, r as rank, message, n, first_line_no, cast(total as bigint) as total, n_distinct from t where r <= 5"))
 def diag_by_rule(spark, sf_dir):
     return diag.diag_by_rule(diag.diagnostics(view(spark, sf_dir, "v_diag_lines")))
 
@@ -223,7 +224,7 @@ def diag_by_file_ruff_json(spark, sf_dir):
 
 @register("diag_by_linter", query("v_json_diag", *_JSON_DIAG,
     ("r", "select *, row_number() over (partition by capture_id, rule order by line_no, pos) as r, count(*) over w as total, "
-          "min(line_no) over w as first_line_no from g where tool = 'golangci' window w as (partition by capture_id, rule)"),
-    final="""select capture_id, rule as linter, r as rank, coalesce(file || ':' || "row", '?') as place, message, total, first_line_no from r where r <= 5"""))
+          "min(line_no) over w as first_line_no, min(pos) over w as first_pos from g where tool = 'golangci' window w as (partition by capture_id, rule)"),
+    final="""select capture_id, rule as linter, r as rank, coalesce(file || ':' || "row", '?') as place, message, total, first_line_no, first_pos from r where r <= 5"""))
 def diag_by_linter(spark, sf_dir):
     return diag.diag_by_linter(diag.json_diagnostics(view(spark, sf_dir, "v_json_diag")))

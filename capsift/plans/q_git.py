@@ -83,15 +83,16 @@ def diff_stat_plain(spark, sf_dir):
 
 
 @register("diff_condense", query("v_diff_lines", *_diff_steps("v_diff_lines", False),
-    ("p", f"select *, max(ad + rm) over (partition by capture_id, file_no, hunk_no order by line_no {_RUN}) as prior from a"),
+    ("a2", "select *, case when hunk_no = 0 then file_at else first_value(line_no) over (partition by capture_id, file_no, hunk_no order by line_no) end as hunk_at from a"),
+    ("p", f"select *, max(ad + rm) over (partition by capture_id, file_no, hunk_no order by line_no {_RUN}) as prior from a2"),
     ("c", "select *, hunk_no > 0 and not hk and prior > 0 and not starts_with(line, chr(92)) as cand from p"),
     ("k", f"select *, sum(case when cand then 1 else 0 end) over (partition by capture_id, file_no, hunk_no order by line_no {_RUN}) as k, "
           "sum(case when cand then 1 else 0 end) over (partition by capture_id, file_no, hunk_no) as kk from c"),
-    ("o", rf"""select capture_id, line_no, file, 'file' as kind, file as line, false as truncated from k where hd
-union all select capture_id, line_no, file, 'hunk', {trimmed("split_part(line, '@@', 2)")}, false from k where hk
-union all select capture_id, line_no, file, 'line', line, kk >= 30 from k where cand and k <= 30"""),
+    ("o", rf"""select capture_id, line_no, file, file_at, hunk_at, 'file' as kind, file as line, false as truncated from k where hd
+union all select capture_id, line_no, file, file_at, hunk_at, 'hunk', {trimmed("split_part(line, '@@', 2)")}, false from k where hk
+union all select capture_id, line_no, file, file_at, hunk_at, 'line', line, kk >= 30 from k where cand and k <= 30"""),
     ("r", "select *, row_number() over (partition by capture_id order by line_no) as r, count(*) over (partition by capture_id) as n_rows from o"),
-    final="select capture_id, r as rank, line_no, file, kind, line, truncated, n_rows from r where r <= 200"))
+    final="select capture_id, r as rank, line_no, file, file_at, hunk_at, kind, line, truncated, n_rows from r where r <= 200"))
 def diff_condense(spark, sf_dir):
     return gitops.diff_condense(view(spark, sf_dir, "v_diff_lines"), plain=False)
 

@@ -46,8 +46,8 @@ def severity(x: str) -> str:
 def tally(source: str, keys: str, text: str = "line") -> str:
     """Distinct texts with rank, repeats and totals; columns r, n, total, n_distinct."""
     return (f"select *, row_number() over (partition by {keys} order by line_no, {text}) as r, "
-            f"sum(n) over (partition by {keys}) as total, count(*) over (partition by {keys}) as n_distinct "
-            f"from (select {keys}, {text}, count(*) as n, min(line_no) as line_no from {source} group by {keys}, {text})")
+            f"sum(n) over (partition by {keys}) as total, count(*) over (partition by {keys}) as n_distinct, "
+            f"min(line_no) over (partition by {keys}) as first_line_no from (select {keys}, {text}, count(*) as n, min(line_no) as line_no from {source} group by {keys}, {text})")
 
 
 def ranked(source: str, keys: str, order: str = "line_no") -> str:
