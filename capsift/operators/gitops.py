@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from capsift import rules as R
 from capsift.functions.text import bigint, first_chars, not_blank, number_in, trim_ws, truncate_line
-from capsift.operators.lines import capped, carry, classed, within_caps
+from capsift.operators.lines import CHUNK, capped, carry, classed, within_caps
 
 
 def status_summary(lines: DataFrame) -> DataFrame:
@@ -48,13 +48,13 @@ def commit_log(blocks: DataFrame) -> DataFrame:
         truncate_line(F.get(body, F.lit(0))).alias("body"))
 
 
-def commit_log_verbose(lines: DataFrame) -> DataFrame:
+def commit_log_verbose(lines: DataFrame, chunk: int | None = CHUNK) -> DataFrame:
     """Plain history: short hash and subject per commit."""
     line = F.col("line")
     full, short = F.regexp_extract(line, R.LOG_COMMIT, 1), line.rlike(R.LOG_ONELINE)
     start = line.rlike(R.LOG_COMMIT) | short
     subject = F.when(~start & line.startswith("    ") & not_blank(line), trim_ws(line))
-    rows = carry(lines, {"commit_line": F.when(start, F.col("line_no"))})
+    rows = carry(lines, {"commit_line": F.when(start, F.col("line_no"))}, chunk)
     commits = rows.where(F.col("commit_line").isNotNull()).groupBy("capture_id", "commit_line").agg(
         F.max(F.when(line.rlike(R.LOG_COMMIT), first_chars(full, 7))).alias("full_hash"),
         F.max(F.when(short, F.concat(first_chars(F.regexp_extract(line, R.LOG_ONELINE, 1), 7),
@@ -68,7 +68,7 @@ def commit_log_verbose(lines: DataFrame) -> DataFrame:
 # --- diffs --------------------------------------------------------------------
 
 
-def _plain_headers(lines: DataFrame) -> DataFrame:
+def _plain_headers(lines: DataFrame, chunk: int | None) -> DataFrame:
     """Marks the ``---`` / ``+++`` header pairs of diffs without ``diff --git``.
 
     Before the first hunk any ``+++`` line is a header; later only one right
@@ -78,8 +78,8 @@ def _plain_headers(lines: DataFrame) -> DataFrame:
     minus, plus = line.startswith("--- "), line.startswith("+++ ")
     rows = carry(lines, {
         "git_at": F.when(line.startswith("diff --git"), no),
-        "hunk_at": F.when(line.startswith("@@"), no), "minus_at": F.when(minus, no)})
-    backward = carry(rows.withColumn("line_no", -no), {"plus_at": F.when(plus, -no)})
+        "hunk_at": F.when(line.startswith("@@"), no), "minus_at": F.when(minus, no)}, chunk)
+    backward = carry(rows.withColumn("line_no", -no), {"plus_at": F.when(plus, -no)}, chunk)
     rows = backward.withColumn("line_no", -no)
     loose, before_hunks = F.col("git_at").isNull(), F.col("hunk_at").isNull()
     return rows.select(
@@ -88,7 +88,7 @@ def _plain_headers(lines: DataFrame) -> DataFrame:
         F.coalesce(loose & minus & ~before_hunks & (F.col("plus_at") == no + 1), F.lit(False)).alias("is_old_name"))
 
 
-def _diff_state(lines: DataFrame, plain: bool) -> DataFrame:
+def _diff_state(lines: DataFrame, plain: bool, chunk: int | None) -> DataFrame:
     """Each diff line with its file and hunk, carried from the last header.
 
     Inside a hunk ``---`` and ``+++`` are removed and added text, not headers.
@@ -99,7 +99,7 @@ def _diff_state(lines: DataFrame, plain: bool) -> DataFrame:
     rows = lines.select("capture_id", "line_no", "line")
     header = git
     if plain:
-        rows = _plain_headers(rows).where(~F.col("is_old_name")).drop("is_old_name")
+        rows = _plain_headers(rows, chunk).where(~F.col("is_old_name")).drop("is_old_name")
         path = F.split(F.substring(line, F.lit(5), F.length(line)), "\t", -1)[0]
         name = F.when(git, name).otherwise(F.regexp_replace(path, "^b/", ""))
         header = git | F.col("is_plain")
@@ -108,7 +108,7 @@ def _diff_state(lines: DataFrame, plain: bool) -> DataFrame:
     rows = carry(rows, {
         "file": F.when(starts, F.struct(no.alias("at"), name.alias("name"))),
         "mark": F.when(starts | hunk, F.struct(no.alias("at"), (hunk & ~starts).alias("in_hunk"))),
-        "change_at": F.when(line.startswith("+") | line.startswith("-"), no)})
+        "change_at": F.when(line.startswith("+") | line.startswith("-"), no)}, chunk)
     return rows.where(F.col("file").isNotNull()).select(
         "capture_id", "line_no", "line", "is_header", hunk.alias("is_hunk"),
         F.col("file.at").alias("file_at"), F.col("file.name").alias("file"),
@@ -116,13 +116,13 @@ def _diff_state(lines: DataFrame, plain: bool) -> DataFrame:
         F.coalesce(F.col("change_at") > F.col("mark.at"), F.lit(False)).alias("after_change"))
 
 
-def diff_stat(lines: DataFrame, plain: bool = True) -> DataFrame:
+def diff_stat(lines: DataFrame, plain: bool = True, chunk: int | None = CHUNK) -> DataFrame:
     """Added and removed lines per file, over the whole capture.
 
     ``plain=False`` saves the two scans that find the headers of diffs made
     without git, for input known to hold none.
     """
-    rows, line = _diff_state(lines, plain), F.col("line")
+    rows, line = _diff_state(lines, plain, chunk), F.col("line")
     return rows.groupBy("capture_id", "file_at", "file").agg(
         bigint(F.count_if(F.col("in_hunk") & line.startswith("+"))).alias("added"),
         bigint(F.count_if(F.col("in_hunk") & line.startswith("-"))).alias("removed"),
@@ -130,12 +130,12 @@ def diff_stat(lines: DataFrame, plain: bool = True) -> DataFrame:
 
 
 def diff_condense(lines: DataFrame, plain: bool = True, hunk_cap: int = R.DIFF_HUNK_CAP,
-                  cap: int = R.DIFF_CAP) -> DataFrame:
+                  cap: int = R.DIFF_CAP, chunk: int | None = CHUNK) -> DataFrame:
     """File and hunk headers plus the first 30 lines of each hunk, 200 in all.
 
     Context shows only after the first change of its hunk.
     """
-    rows, line = _diff_state(lines, plain), F.col("line")
+    rows, line = _diff_state(lines, plain, chunk), F.col("line")
     body = rows.where(F.col("in_hunk") & F.col("after_change") & ~line.startswith("\\"))
     shown = capped(body, ["capture_id", "mark_at"], [F.col("line_no")], hunk_cap,
                    {"n_hunk": ("sum", F.lit(1))})

@@ -89,14 +89,22 @@ def tail_lines(lines: DataFrame, k: int, keys: Sequence[str] = ("capture_id",))
     return capped(lines, keys, [F.col("line_no").desc()], k).withColumnRenamed("rank", "from_end")
 
 
-def carry(lines: DataFrame, marks: Mapping[str, Column], size: int = CHUNK) -> DataFrame:
+def carry(lines: DataFrame, marks: Mapping[str, Column], size: int | None = CHUNK) -> DataFrame:
     """Adds, per name, the value of the last non-null mark up to this line.
 
     A plain window over ``capture_id`` would sort a whole capture in one task.
     Here the window covers one chunk, and the value reaching a chunk from the
     earlier ones comes from a summary table with one row per chunk.
+
+    ``size=None`` takes the plain window: right for lines split out of cells,
+    where one task held the whole capture anyway.
     """
     names = list(marks)
+    if size is None:
+        whole = Window.partitionBy("capture_id").orderBy("line_no").rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        return lines.withColumns({
+            name: F.last(mark, ignorenulls=True).over(whole) for name, mark in marks.items()})
     keys = ["capture_id", "_chunk"]
     marked = lines.withColumn("_chunk", chunk_of(size=size))
     for name in names:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from capsift import rules as R
 from capsift.functions.text import bigint, human_size, trim_ws
-from capsift.operators.lines import capped, carry, filled
+from capsift.operators.lines import CHUNK, capped, carry, filled
 
 
 def listing_entries(lines: DataFrame, show_all: bool = False) -> DataFrame:
@@ -49,13 +49,13 @@ def listing_summary(entries: DataFrame, cap: int = R.EXT_CAP) -> DataFrame:
         bigint("n_dirs").alias("n_dirs"), bigint("n_ext").alias("n_ext"))
 
 
-def tasks_by_group(lines: DataFrame, cap: int = R.TASK_CAP) -> DataFrame:
+def tasks_by_group(lines: DataFrame, cap: int = R.TASK_CAP, chunk: int | None = CHUNK) -> DataFrame:
     """Build tasks under their group header, first eight per group."""
     line = F.col("line")
     header = line.endswith(" tasks") & ~line.startswith(" ")
     # Group names repeat across captures, so the header's text is the value carried.
     name = F.when(header, trim_ws(F.regexp_replace(line, r"^(.*?) tasks", "$1")))
-    rows = carry(filled(lines), {"grp": name})
+    rows = carry(filled(lines), {"grp": name}, chunk)
     items = rows.where(line.rlike(r"^[A-Za-z0-9_]") & line.contains(" - ")).select(
         "capture_id", "line_no", F.coalesce("grp", F.lit("other")).alias("task_group"),
         trim_ws(line).alias("task"))

@@ -18,19 +18,26 @@ def with_severity(lines: DataFrame) -> DataFrame:
         .when(low.contains("warn"), "warn").when(low.contains("info"), "info"))
 
 
-def template_counts(lines: DataFrame) -> DataFrame:
-    """Every error / warn template with its count and first raw line."""
-    marked = with_severity(lines).where(F.col("severity").isin("error", "warn"))
-    return (marked.withColumn("template", normalize_log_line(F.col("line")))
+def template_counts(lines: DataFrame, info: bool = False) -> DataFrame:
+    """Every error / warn template with its count and first raw line.
+
+    ``info`` adds the info lines as one group with an empty template.
+    """
+    wanted = ("error", "warn", "info") if info else ("error", "warn")
+    template = F.when(F.col("severity") == "info", "").otherwise(normalize_log_line(F.col("line")))
+    return (with_severity(lines).where(F.col("severity").isin(*wanted)).withColumn("template", template)
             .groupBy("capture_id", "severity", "template")
             .agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("line_no"),
                  F.min_by("line", "line_no").alias("first_line")))
 
 
 def log_templates(lines: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
-    """Most frequent templates per capture and severity, earliest first on ties."""
+    """Most frequent templates per capture and severity, earliest first on ties.
+
+    A cap for ``info`` adds its line count as one row with an empty template.
+    """
     caps = caps or R.LOG_TOP
-    ranked = capped(template_counts(lines), ["capture_id", "severity"],
+    ranked = capped(template_counts(lines, "info" in caps), ["capture_id", "severity"],
                     [F.col("n").desc(), F.col("line_no"), F.col("template")], max(caps.values()),
                     {"total": ("sum", F.col("n")), "n_unique": ("sum", F.lit(1))},
                     split=F.pmod(F.xxhash64("template"), F.lit(64)))

@@ -49,6 +49,13 @@ def split_path(lines: DataFrame, path: str = "line") -> DataFrame:
         F.regexp_extract(p, r"([^/]*)$", 1).alias("name"))
 
 
+def dir_groups(paths: DataFrame) -> DataFrame:
+    """Per directory all names up to five, else the first three; ``n`` counts all."""
+    grouped = capped(paths, ["capture_id", "dir"], [F.col("line_no")], R.FIND_ALL,
+                     {"n": ("sum", F.lit(1)), "first_line_no": ("min", F.col("line_no"))})
+    return grouped.where((F.col("n") <= R.FIND_ALL) | (F.col("rank") <= R.FIND_HEAD))
+
+
 def paths_by_dir(paths: DataFrame) -> DataFrame:
     """Paths per directory: all up to five, else the first three.
 
@@ -60,9 +67,7 @@ def paths_by_dir(paths: DataFrame) -> DataFrame:
              .select("capture_id", F.lit("short").alias("section"), "dir", "rank", "name",
                      bigint("total").alias("n"), bigint("line_no").alias("first_line_no")))
     long = sizes.where(F.col("total") > R.FIND_PASS).select("capture_id")
-    grouped = capped(paths, ["capture_id", "dir"], [F.col("line_no")], R.FIND_ALL,
-                     {"n": ("sum", F.lit(1)), "first_line_no": ("min", F.col("line_no"))})
-    grouped = (grouped.where((F.col("n") <= R.FIND_ALL) | (F.col("rank") <= R.FIND_HEAD))
+    grouped = (dir_groups(paths)
                .select("capture_id", F.lit("dir").alias("section"), "dir", "rank", "name",
                        bigint("n").alias("n"), bigint("first_line_no").alias("first_line_no"))
                .join(long, "capture_id", "left_semi"))

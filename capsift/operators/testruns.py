@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from capsift import rules as R
 from capsift.functions.text import bigint, first_chars, number_in, not_blank, trim_ws
-from capsift.operators.lines import capped_tally, carry
+from capsift.operators.lines import CHUNK, capped_tally, carry
 
 FORMATS = ("generic", "cargo", "pytest", "go", "vitest", "playwright")
 
@@ -127,7 +127,8 @@ def _failure_text(fmt: str) -> Column:
             .when(after & line.rlike(R.PLAYWRIGHT_DETAIL), F.concat(F.lit("  "), first_chars(text, 100))))
 
 
-def test_failures(lines: DataFrame, formats: tuple[str, ...] = FORMATS, cap: int = R.TEST_CAP) -> DataFrame:
+def test_failures(lines: DataFrame, formats: tuple[str, ...] = FORMATS, cap: int = R.TEST_CAP,
+                  chunk: int | None = CHUNK) -> DataFrame:
     """First 20 distinct failure lines per capture and format."""
     line = F.col("line")
     marks = {}
@@ -136,7 +137,7 @@ def test_failures(lines: DataFrame, formats: tuple[str, ...] = FORMATS, cap: int
                                  .when(line.rlike(R.PYTEST_BLOCK_CLOSE), False))
     if "playwright" in formats:
         marks["play_failure"] = F.when(line.rlike(R.PLAYWRIGHT_FAIL), F.col("line_no"))
-    rows = carry(lines, marks) if marks else lines
+    rows = carry(lines, marks, chunk) if marks else lines
     entries = F.array(*[F.struct(F.lit(f).alias("format"), _failure_text(f).alias("text")) for f in formats])
     found = (rows.select("capture_id", "line_no", F.inline(entries))
              .where(F.col("text").isNotNull()))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from capsift import rules as R
 from capsift.functions.text import savings_pct, token_estimate
@@ -16,35 +17,48 @@ from capsift.session import durable_dir
 Strategy = Callable[[DataFrame], DataFrame]
 
 
+def narrow(text: compact.Text) -> Strategy:
+    """A column expression over ``raw`` and ``command`` as a strategy."""
+    def apply(captures: DataFrame) -> DataFrame:
+        kept = [c for c in captures.columns if c not in ("raw", "command")]
+        return captures.select(*kept, text(F.col("raw"), F.col("command")).alias("filtered"))
+    return apply
+
+
 def _git_log(captures: DataFrame) -> DataFrame:
     marked = F.col("raw").contains(R.LOG_BLOCK_END)
-    return compact.git_log_blocks(captures.where(marked)).unionByName(render.history_text(captures.where(~marked)))
+    plain = render.history_text(captures.where(~marked))
+    return narrow(compact.git_log_blocks)(captures.where(marked)).select(*plain.columns).unionByName(plain)
 
 
-#: Strategies the router picks.  Each takes captures and returns
-#: ``capture_id, filtered``; add an entry to extend the router's reach.
-ROUTED: dict[str, Strategy] = {
-    "git-status": compact.git_status, "git-log": _git_log, "git-diff": render.git_diff_text,
-    "git-simple": compact.git_simple, "gradle-tasks": render.tasks_text, "gradle": compact.gradle,
+#: Routed strategies that are column expressions over one cell: no shuffle.
+NARROW: dict[str, compact.Text] = {
+    "git-status": compact.git_status, "git-simple": compact.git_simple, "gradle": compact.gradle,
     "logcat": compact.logcat, "adb-devices": compact.adb_devices, "adb-install": compact.adb_install,
-    "test": compact.test_generic, "build": compact.build, "ls": render.ls_text, "find": render.find_text,
-    "grep": render.grep_text, "docker": compact.docker, "logs": render.log_text, "json": compact.json,
+    "test": compact.test_generic, "build": compact.build, "docker": compact.docker, "json": compact.json,
     "generic": compact.generic, "passthrough": compact.passthrough,
 }
 
+#: Routed strategies that group lines and so need a shuffle.
+GROUPED: dict[str, Strategy] = {
+    "git-log": _git_log, "git-diff": render.git_diff_text, "gradle-tasks": render.tasks_text,
+    "ls": render.ls_text, "find": render.find_text, "grep": render.grep_text, "logs": render.log_text,
+}
+
 #: Formats with a dedicated reader, chosen by the caller and not by the router.
 DEDICATED: dict[str, Strategy] = {
-    "cargo": render.runner_text("cargo"), "pytest": render.runner_text("pytest"), "go": render.runner_text("go"),
-    "vitest": render.runner_text("vitest"), "playwright": render.runner_text("playwright"),
+    **{fmt: render.runner_text(fmt) for fmt in ("cargo", "pytest", "go", "vitest", "playwright")},
     "tsc": render.tsc_text, "lint": render.lint_text, "ruff": render.ruff_text, "golangci": render.golangci_text,
-    "next": compact.next_build, "prettier": compact.prettier, "npm": compact.npm, "pnpm": compact.pnpm,
-    "pip": compact.pip, "prisma": compact.prisma, "docker-images": compact.docker_images,
-    "kubectl": compact.kubectl, "gh": compact.gh, "curl": compact.curl, "env": compact.env,
-    "diff": render.diff_text, "summary": compact.summary, "read": compact.read,
-    "read-head": compact.read_start, "read-signatures": compact.read_signatures,
+    "diff": render.diff_text,
+    **{name: narrow(text) for name, text in {
+        "next": compact.next_build, "prettier": compact.prettier, "npm": compact.npm, "pnpm": compact.pnpm,
+        "pip": compact.pip, "prisma": compact.prisma, "docker-images": compact.docker_images,
+        "kubectl": compact.kubectl, "gh": compact.gh, "curl": compact.curl, "env": compact.env,
+        "summary": compact.summary, "read": compact.read, "read-head": compact.read_start,
+        "read-signatures": compact.read_signatures}.items()},
 }
 
-STRATEGIES: dict[str, Strategy] = {**ROUTED, **DEDICATED}
+STRATEGIES: dict[str, Strategy] = {**{name: narrow(text) for name, text in NARROW.items()}, **GROUPED, **DEDICATED}
 
 #: A command that was not found printed no output of its own format.
 NOT_FOUND = 127
@@ -53,43 +67,68 @@ NOT_FOUND = 127
 def compress_with(captures: DataFrame, strategy: str | Strategy) -> DataFrame:
     """One strategy for all captures: the path of a dedicated reader."""
     fn = STRATEGIES[strategy] if isinstance(strategy, str) else strategy
-    return fn(captures)
+    return fn(captures).select("capture_id", "filtered")
 
 
-def stage_routed(captures: DataFrame) -> DataFrame:
-    """Routed captures, written once and partitioned by strategy.
-
-    Without it every strategy would scan and route all texts again; from here a
-    strategy's branch reads its own partition only.  The table sits in the
-    shared folder, so losing executors costs no recomputation.
-    """
+def routed_captures(captures: DataFrame) -> DataFrame:
+    """``capture_id, command, raw, strategy, raw_tokens``."""
     routed = route_strategy(captures)
     if "exit_code" in captures.columns:
         missing = (F.col("exit_code") == NOT_FOUND) & (F.col("strategy") == "docker")
         routed = routed.withColumn("strategy", F.when(missing, "generic").otherwise(F.col("strategy")))
-    path = f"{durable_dir(captures.sparkSession)}/routed-{uuid.uuid4().hex[:12]}"
-    routed.write.partitionBy("strategy").parquet(path)
-    return captures.sparkSession.read.schema(routed.schema).parquet(path)
+    return routed.select("capture_id", "command", "raw", "strategy", token_estimate(F.col("raw")).alias("raw_tokens"))
 
 
-def compress(captures: DataFrame, strategies: Mapping[str, Strategy] | None = None, staged: bool = True) -> DataFrame:
-    """``capture_id, strategy, filtered, raw_tokens, filtered_tokens, savings_pct``.
+def narrow_texts(routed: DataFrame, texts: Mapping[str, compact.Text] = NARROW) -> DataFrame:
+    """All narrow strategies in one scan: one CASE, whose taken branch alone runs."""
+    text = F
+    for name, fn in texts.items():
+        text = text.when(F.col("strategy") == name, fn(F.col("raw"), F.col("command")))
+    rows = routed.where(F.col("strategy").isin(*texts))
+    return rows.select("capture_id", "strategy", "raw_tokens", text.alias("filtered"))
 
-    ``captures`` holds ``capture_id, command, raw``.  ``staged=False`` skips the
-    written table, for inputs small enough to scan once per strategy.
-    """
-    strategies = strategies or ROUTED
-    routed = stage_routed(captures) if staged else route_strategy(captures)
-    sizes = routed.select("capture_id", "strategy", token_estimate(F.col("raw")).alias("raw_tokens"))
-    texts = None
-    for name, fn in strategies.items():
-        part = fn(routed.where(F.col("strategy") == name))
-        texts = part if texts is None else texts.unionByName(part)
-    out = texts.join(sizes, "capture_id").withColumn("filtered_tokens", token_estimate(F.col("filtered")))
+
+def _measured(texts: DataFrame) -> DataFrame:
+    out = texts.withColumn("filtered_tokens", token_estimate(F.col("filtered")))
     return out.select("capture_id", "strategy", "filtered", "raw_tokens", "filtered_tokens",
                       savings_pct(F.col("raw_tokens"), F.col("filtered_tokens")).alias("savings_pct"))
 
 
+def compress(captures: DataFrame, extra: Mapping[str, Strategy] | None = None, parallel: int = 8) -> DataFrame:
+    """``capture_id, strategy, filtered, raw_tokens, filtered_tokens, savings_pct``.
+
+    ``captures`` holds ``capture_id, command, raw``.  Narrow strategies run in
+    one scan.  The captures that need grouping are written once, partitioned by
+    strategy, so that each grouping strategy reads its own part of them and not
+    the whole input again.  Results are written to the shared folder: a lost
+    executor repeats one strategy's tasks at most.  ``extra`` adds or replaces
+    grouping strategies.
+    """
+    spark = captures.sparkSession
+    base = f"{durable_dir(spark)}/compress-{uuid.uuid4().hex[:12]}"
+    texts, staged = f"{base}/texts", f"{base}/staged"
+    grouped = {**GROUPED, **(extra or {})}
+    routed = routed_captures(captures)
+
+    seen = Observation("strategies")  # at most one entry per strategy
+    part = routed.where(F.col("strategy").isin(*grouped)).observe(seen, F.collect_set("strategy").alias("names"))
+    # Files of a useful size per strategy: the rebalance splits large ones.
+    part.hint("rebalance", "strategy").write.partitionBy("strategy").parquet(staged)
+    schema = _measured(narrow_texts(routed)).schema
+
+    def save(rows: DataFrame) -> None:
+        _measured(rows).write.mode("append").parquet(texts)
+
+    jobs = [narrow_texts(routed)]
+    if seen.get["names"]:
+        parts = spark.read.schema(routed.schema).parquet(staged)
+        jobs += [grouped[name](parts.where(F.col("strategy") == name)) for name in sorted(seen.get["names"])]
+    # The jobs are independent; submitting a few at once fills idle executors.
+    with ThreadPoolExecutor(parallel) as pool:
+        list(pool.map(save, jobs))
+    return spark.read.schema(schema).parquet(texts)
+
+
 def with_header(compressed: DataFrame, exit_code: str = "exit_code") -> DataFrame:
     """Adds ``shown``: the text under its exit code or compression rate."""
     rate = F.format_string("[%d%% compression: %d→%d tokens]", "savings_pct", "raw_tokens", "filtered_tokens")

@@ -39,14 +39,14 @@ union all select capture_id, 1, 1001, '' from r where r = 1 and severity = 'erro
 def render(spark, sf_dir):
     """Log summaries as text, one per source."""
     lines = view(spark, sf_dir, "v_log_lines")
-    return ops.page_text(ops.log_page(lines, lines.select("capture_id").distinct()))
+    return ops.page_text(ops.log_page(lines))
 
 
 @register("render_tokens", query("v_log_lines", *_log_text("v_log_lines"), final=f"select capture_id, {tokens('filtered')} as filtered_tokens from tx"))
 def render_tokens(spark, sf_dir):
     """Their tokens, summed without building any text."""
     lines = view(spark, sf_dir, "v_log_lines")
-    return ops.page_tokens(ops.log_page(lines, lines.select("capture_id").distinct()))
+    return ops.page_tokens(ops.log_page(lines))
 
 
 _RAW = ("c", "select capture_id, command, tool, stdout || case when stderr <> '' then chr(10) || stderr else '' end as raw from v_captures")
