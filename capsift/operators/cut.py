@@ -120,7 +120,7 @@ def generic_lines(lines: DataFrame) -> DataFrame:
     branch is cut to its cap before a capture's rows meet.
     """
     short = (capped(lines, ["capture_id"], [F.col("line_no")], R.GENERIC_PASS,
-                    {"total": ("sum", F.lit(1))})
+                    {"total": ("sum", F.lit(1))}, limit_first=True)
              .where(F.col("total") <= R.GENERIC_PASS)
              .select("capture_id", F.lit("pass").alias("section"), "rank", "line", "line_no",
                      bigint("total").alias("total")))
@@ -149,7 +149,7 @@ def signature_lines(lines: DataFrame) -> DataFrame:
     found = lines.where(is_signature).select(
         "capture_id", "line_no", "line", F.lit("signature").alias("section"))
     head = (capped(lines.withColumn("_hit", is_signature.cast("int")), ["capture_id"],
-                   [F.col("line_no")], R.SIGNATURE_FALLBACK, {"hits": ("max", F.col("_hit"))})
+                   [F.col("line_no")], R.SIGNATURE_FALLBACK, {"hits": ("max", F.col("_hit"))}, limit_first=True)
             .where(F.col("hits") == 0)
             .select("capture_id", "line_no", "line", F.lit("fallback").alias("section")))
     return found.unionByName(head)

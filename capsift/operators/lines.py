@@ -3,8 +3,8 @@
 ``lines`` is ``capture_id, line_no, line``.  One capture may hold a large share
 of all rows, so nothing here sorts or collects a whole capture in one task:
 
-* :func:`capped` ranks inside (key, run of ``CHUNK`` line numbers) first and
-  only lets the survivors meet per key;
+* :func:`capped` ranks inside (key, run of ``CHUNK`` line numbers) or inside
+  each scan task first, and only lets the survivors meet per key;
 * :func:`carry` takes running state across a capture chunk by chunk, with a
   small table of per-chunk summaries bridging the borders;
 * :func:`tally` leaves repeats to the partial aggregation before the shuffle.
@@ -35,16 +35,28 @@ def chunk_of(line_no: str = "line_no", size: int = CHUNK) -> Column:
 
 def capped(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
            totals: Mapping[str, tuple[str, Column]] | None = None,
-           split: Column | None = None) -> DataFrame:
+           split: Column | None = None, limit_first: bool = False) -> DataFrame:
     """First ``k`` rows per key, with ``rank`` and whole-group ``totals``.
 
     ``totals`` maps an output column to ``("sum" | "min" | "max", expression)``
     and covers the whole group, also the rows that are cut.  ``split`` divides a
     key's rows (default: runs of line numbers) so that a hot key is ranked by
     many tasks; each passes on at most ``k`` rows and its partial totals.
+
+    ``limit_first`` suits rows that are most of a text: every scan task keeps
+    ``k`` rows per key before anything is shuffled, and totals come from a
+    second, combining pass.  Without it the rows are shuffled once and read
+    once, which is better for rows that a filter made rare.
     """
     totals = dict(totals or {})
     fold = {"sum": F.sum, "min": F.min, "max": F.max}
+    if limit_first or not totals:
+        ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        ranked = ranked.where(F.col("rank") <= k).withColumn("rank", bigint("rank"))
+        if not totals:
+            return ranked
+        sums = rows.groupBy(*keys).agg(*[fold[how](expr).alias(name) for name, (how, expr) in totals.items()])
+        return ranked.join(sums, list(keys))
     local, per_key = Window.partitionBy(*keys, "_split"), Window.partitionBy(*keys)
     # Ranking comes before the totals in each step: both then share one sort.
     out = rows.withColumn("_split", chunk_of() if split is None else split)
@@ -80,7 +92,7 @@ def capped_tally(rows: DataFrame, keys: Sequence[str], k: int, text: str = "line
 
 def capped_list(rows: DataFrame, keys: Sequence[str] = ("capture_id",), k: int = 20) -> DataFrame:
     """First ``k`` rows per key by line number, with ``total`` and ``more``."""
-    return capped(rows, keys, [F.col("line_no")], k, {"total": ("sum", F.lit(1))}).withColumn(
+    return capped(rows, keys, [F.col("line_no")], k, {"total": ("sum", F.lit(1))}, limit_first=True).withColumn(
         "more", bigint(F.greatest(F.lit(0), F.col("total") - k)))
 
 

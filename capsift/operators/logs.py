@@ -86,7 +86,7 @@ def logcat_summary(lines: DataFrame) -> DataFrame:
     long = sizes.where(F.col("n_lines") > R.LOGCAT_PASS).select("capture_id")
     listed = listed.join(long, "capture_id", "left_semi")
     short = (capped(lines, ["capture_id"], [F.col("line_no")], R.LOGCAT_PASS,
-                    {"total": ("sum", F.lit(1))}).where(F.col("total") <= R.LOGCAT_PASS))
+                    {"total": ("sum", F.lit(1))}, limit_first=True).where(F.col("total") <= R.LOGCAT_PASS))
     recent = (tail_lines(full, R.LOGCAT_RECENT).withColumnRenamed("from_end", "rank")
               .withColumn("total", F.lit(R.LOGCAT_RECENT))
               .join(long, "capture_id", "left_semi")

@@ -62,7 +62,8 @@ def paths_by_dir(paths: DataFrame) -> DataFrame:
     Captures of at most 30 paths are marked ``short`` and list every path.
     """
     sizes = paths.groupBy("capture_id").agg(F.count(F.lit(1)).alias("total"))
-    brief = (capped(paths, ["capture_id"], [F.col("line_no")], R.FIND_PASS, {"total": ("sum", F.lit(1))})
+    brief = (capped(paths, ["capture_id"], [F.col("line_no")], R.FIND_PASS, {"total": ("sum", F.lit(1))},
+                    limit_first=True)
              .where(F.col("total") <= R.FIND_PASS)
              .select("capture_id", F.lit("short").alias("section"), "dir", "rank", "name",
                      bigint("total").alias("n"), bigint("line_no").alias("first_line_no")))

@@ -106,7 +106,7 @@ def compress(captures: DataFrame, extra: Mapping[str, Strategy] | None = None, p
     """
     spark = captures.sparkSession
     base = f"{durable_dir(spark)}/compress-{uuid.uuid4().hex[:12]}"
-    texts, staged = f"{base}/texts", f"{base}/staged"
+    staged = f"{base}/staged"
     grouped = {**GROUPED, **(extra or {})}
     routed = routed_captures(captures)
 
@@ -116,17 +116,21 @@ def compress(captures: DataFrame, extra: Mapping[str, Strategy] | None = None, p
     part.hint("rebalance", "strategy").write.partitionBy("strategy").parquet(staged)
     schema = _measured(narrow_texts(routed)).schema
 
-    def save(rows: DataFrame) -> None:
-        _measured(rows).write.mode("append").parquet(texts)
-
-    jobs = [narrow_texts(routed)]
+    jobs = {"narrow": narrow_texts(routed)}
     if seen.get["names"]:
         parts = spark.read.schema(routed.schema).parquet(staged)
-        jobs += [grouped[name](parts.where(F.col("strategy") == name)) for name in sorted(seen.get["names"])]
+        jobs |= {name: grouped[name](parts.where(F.col("strategy") == name)) for name in sorted(seen.get["names"])}
+
+    def save(name: str) -> str:
+        # One folder per job: jobs that share one would clear each other's pending files.
+        path = f"{base}/texts/{name}"
+        _measured(jobs[name]).write.parquet(path)
+        return path
+
     # The jobs are independent; submitting a few at once fills idle executors.
     with ThreadPoolExecutor(parallel) as pool:
-        list(pool.map(save, jobs))
-    return spark.read.schema(schema).parquet(texts)
+        paths = list(pool.map(save, jobs))
+    return spark.read.schema(schema).parquet(*paths)
 
 
 def with_header(compressed: DataFrame, exit_code: str = "exit_code") -> DataFrame:

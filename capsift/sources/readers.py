@@ -31,8 +31,11 @@ def read_captures(spark: SparkSession, path: str, fmt: str = "parquet", schema:
 
 
 def text_captures(spark: SparkSession, path: str) -> DataFrame:
-    """One capture per text file below ``path``; the id is a hash of the path."""
-    files = (spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(path)
+    """One capture per text file below ``path``; the id is a hash of the path.
+
+    Spark's file sources skip files of zero bytes, so those give no row.
+    """
+    files = (spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
              .select(F.col("_metadata.file_path").alias("path"), F.col("value")))
     return files.select(F.xxhash64("path").alias("capture_id"), "path",
                         F.replace("value", F.lit(_CR), F.lit("")).alias("raw"))
@@ -42,6 +45,7 @@ def listing(spark: SparkSession, path: str, show_all: bool = False) -> DataFrame
     """``path, dir, name, ext, size, modified`` of the files below ``path``.
 
     Only file metadata is read: the content column is pruned from the scan.
+    Spark's file sources skip files of zero bytes, so those are not listed.
     """
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
              .select("path", "length", "modificationTime"))
