@@ -5,34 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from capsift import rules as R
-from capsift.functions.text import bigint, trim_ws
+from capsift.functions.text import bigint, groups, trim_ws
 from capsift.operators.lines import capped, capped_tally
 
 
-def _fields(pattern: str, tool: str, file=None, row=None, col=None, severity=None, rule=None, message=None):
-    """A diagnostic struct from a pattern; integers name groups, strings are constants."""
-    line = F.col("line")
+#: tool -> (pattern, groups, cheap test that must hold first, where each field comes from);
+#: integers name groups, strings are constants.
+_FORMATS = {
+    "tsc": (R.TSC, 6, lambda s: s.contains("): "), {"file": 1, "row": 2, "col": 3, "severity": 4, "rule": 5, "message": 6}),
+    "eslint": (R.ESLINT, 5, lambda s: s.rlike(r"^\s+\d"), {"row": 1, "col": 2, "severity": 3, "message": 4, "rule": 5}),
+    "biome": (R.BIOME, 4, lambda s: s.contains("━"), {"file": 1, "row": 2, "col": 3, "severity": "error", "rule": "lint", "message": 4}),
+    "ruff": (R.RUFF, 5, lambda s: s.rlike(r":\d+: [A-Z]\d"), {"file": 1, "row": 2, "col": 3, "severity": "error", "rule": 4, "message": 5}),
+}
+
+
+def _diagnostic(tool: str, fields: dict) -> Column:
+    parts = F.col(f"_{tool}")
 
-    def value(part):
-        if isinstance(part, int):
-            return F.regexp_extract(line, pattern, part)
-        return F.lit(part).cast("string")
+    def value(name: str) -> Column:
+        source = fields.get(name)
+        return F.get(parts, F.lit(source)) if isinstance(source, int) else F.lit(source).cast("string")
 
-    return F.when(line.rlike(pattern), F.struct(
-        F.lit(tool).alias("tool"), value(severity).alias("severity"), trim_ws(value(file)).alias("file"),
-        value(row).cast("bigint").alias("row"), value(col).cast("bigint").alias("col"),
-        value(rule).alias("rule"), trim_ws(value(message)).alias("message")))
+    return F.when(parts.isNotNull(), F.struct(
+        F.lit(tool).alias("tool"), value("severity").alias("severity"), trim_ws(value("file")).alias("file"),
+        value("row").cast("bigint").alias("row"), value("col").cast("bigint").alias("col"),
+        value("rule").alias("rule"), trim_ws(value("message")).alias("message")))
 
 
 def diagnostics(lines: DataFrame) -> DataFrame:
-    """One row per recognised diagnostic line; narrow, no shuffle."""
-    found = F.coalesce(
-        _fields(R.TSC, "tsc", file=1, row=2, col=3, severity=4, rule=5, message=6),
-        _fields(R.ESLINT, "eslint", row=1, col=2, severity=3, message=4, rule=5),
-        _fields(R.BIOME, "biome", file=1, row=2, col=3, severity="error", rule="lint", message=4),
-        _fields(R.RUFF, "ruff", file=1, row=2, col=3, severity="error", rule=4, message=5))
-    return (lines.select("capture_id", "line_no", found.alias("d")).where(F.col("d").isNotNull())
-            .select("capture_id", "line_no", "d.*"))
+    """One row per recognised diagnostic line; narrow, no shuffle.
+
+    Each pattern runs at most once per line, behind a cheap test.
+    """
+    line = F.col("line")
+    rows = lines.select("capture_id", "line_no", *[
+        F.when(hint(line), groups(line, pattern, n)).alias(f"_{tool}")
+        for tool, (pattern, n, hint, _) in _FORMATS.items()])
+    found = F.coalesce(*[_diagnostic(tool, fields) for tool, (_, _, _, fields) in _FORMATS.items()])
+    return rows.select("capture_id", "line_no", F.inline(F.array_compact(F.array(found))))
 
 
 def json_diagnostics(captures: DataFrame) -> DataFrame:

@@ -51,8 +51,6 @@ def _opened(rows: DataFrame, i: int) -> DataFrame:
 
 def _parts(captures: DataFrame, keep_text: bool) -> DataFrame:
     rows = captures.select("capture_id", "raw", F.try_parse_json("raw").alias("value_0"))
-    if not keep_text:
-        rows = rows.where(F.col("value_0").isNotNull())
     rows = rows.withColumn("path_0", F.lit("$")).withColumn("depth_0", F.lit(0))
     rows = _described(rows, 0)
     levels = R.JSON_DEPTH

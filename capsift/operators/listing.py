@@ -5,29 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from capsift import rules as R
-from capsift.functions.text import bigint, human_size, trim_ws
+from capsift.functions.text import bigint, contains_any, groups, human_size, trim_ws
 from capsift.operators.lines import CHUNK, capped, carry, filled
 
 
 def listing_entries(lines: DataFrame, show_all: bool = False) -> DataFrame:
     """Entries of ``ls -la`` or Windows ``dir`` output; narrow, no shuffle."""
     line = F.col("line")
-    parts = F.split(line, r"\s+", -1)
-    unix = line.rlike(r"^[dl\-]") & (F.size(parts) >= 9)
-    unix_name = trim_ws(F.array_join(F.slice(parts, F.lit(9), F.greatest(F.size(parts), F.lit(1))), " "))
-    win_dir = ~unix & line.rlike(R.WINDOWS_DIR)
-    win_file = (~unix & ~win_dir & line.rlike(R.WINDOWS_LINE) & line.rlike(R.WINDOWS_FILE))
-    is_dir = F.when(unix, line.startswith("d")).otherwise(win_dir)
-    name = (F.when(unix, unix_name)
-            .when(win_dir, trim_ws(F.regexp_extract(line, R.WINDOWS_DIR, 1)))
-            .when(win_file, trim_ws(F.regexp_extract(line, R.WINDOWS_FILE, 2))))
-    size = (F.when(unix, F.get(parts, F.lit(4)).try_cast("bigint"))
-            .when(win_file, F.regexp_replace(F.regexp_extract(line, R.WINDOWS_FILE, 1), ",", "").try_cast("bigint")))
-    rows = (filled(lines).select("capture_id", "line_no", name.alias("name"), is_dir.alias("is_dir"),
-                                 bigint(F.coalesce(size, F.lit(0))).alias("size"))
-            .where(F.col("name").isNotNull() & ~F.col("name").isin("", ".", "..")))
-    if not show_all:
-        rows = rows.where(~F.col("name").isin(*R.NOISE_DIRS))
+    rows = filled(lines).select("capture_id", "line_no", "line", F.when(
+        line.rlike(R.LS_LINE), "ls").when(line.contains("<DIR>"), "dir").when(
+        line.rlike(R.WINDOWS_LINE) & ~contains_any(line, "File(s)", "Dir(s)"), "file").alias("_kind"))
+    kind = F.col("_kind")
+    # One array of fields per line, whatever the format: name, size, is a directory.
+    rows = rows.where(kind.isNotNull()).select(
+        "capture_id", "line_no", kind, F.when(kind == "ls", F.split(line, r"\s+", -1)).when(
+            kind == "dir", groups(line, r"^.*" + R.WINDOWS_DIR, 1)).otherwise(groups(line, R.WINDOWS_FILE_LINE, 2)).alias("_p"),
+        line.startswith("d").alias("_d"))
+    p = F.col("_p")
+    name = F.when(kind == "ls", F.when(F.size(p) >= 9, F.array_join(F.slice(p, F.lit(9), F.greatest(F.size(p), F.lit(1))), " "))
+                  ).when(kind == "dir", F.get(p, F.lit(1))).otherwise(F.get(p, F.lit(2)))
+    size = F.when(kind == "ls", F.get(p, F.lit(4))).when(kind == "file", F.replace(F.get(p, F.lit(1)), F.lit(","), F.lit("")))
+    rows = rows.select("capture_id", "line_no", F.struct(
+        trim_ws(name).alias("name"), ((kind == "dir") | ((kind == "ls") & F.col("_d"))).alias("is_dir"),
+        bigint(F.coalesce(size.try_cast("bigint"), F.lit(0))).alias("size")).alias("_e"))
+    dropped = ("", ".", "..") + (() if show_all else R.NOISE_DIRS)
+    rows = rows.select("capture_id", "line_no", F.inline(F.filter(
+        F.array("_e"), lambda e: e["name"].isNotNull() & ~e["name"].isin(*dropped))))
     ext = F.regexp_extract(F.col("name"), r"(\.[^.]*)$", 1)
     return (rows.withColumn("ext", F.when(~F.col("is_dir"), F.when(ext == "", "no ext").otherwise(ext)))
             .withColumn("size_text", F.when(~F.col("is_dir"), human_size(F.col("size")))))

@@ -72,14 +72,16 @@ def logcat_summary(lines: DataFrame) -> DataFrame:
     whole, captures without any hit give their last ten lines (``recent``).
     """
     sizes = lines.groupBy("capture_id").agg(F.count(F.lit(1)).alias("n_lines"))
-    line = F.col("line")
-    fatal = line.rlike(R.LOGCAT_FATAL)
-    error = ~fatal & line.rlike(R.LOGCAT_ERROR)
-    warning = ~fatal & ~error & line.rlike(R.LOGCAT_WARNING)
+    line, low = F.col("line"), F.lower("line")
     full = filled(lines).select("capture_id", "line_no", trim_ws(line).alias("line"))
-    hits = classed(full, [
-        F.when(fatal | line.rlike(R.LOGCAT_CRASH), "fatal"),
-        F.when(error, "error"), F.when(warning, "warning")])
+    # Every test runs once per line; regexes only where their letters occur.
+    tests = full.select("*", (low.contains("fatal") | (low.contains("f/") & line.rlike(R.LOGCAT_FATAL))).alias("f"),
+                        (low.contains("error") | (low.contains("e/") & line.rlike(R.LOGCAT_ERROR))).alias("e"),
+                        (low.contains("warn") | (low.contains("w/") & line.rlike(R.LOGCAT_WARNING))).alias("w"),
+                        (contains_any(low, "androidruntime", "anr in") | (
+                            low.contains("process:") & line.rlike(R.LOGCAT_CRASH))).alias("c"))
+    hits = classed(tests, [F.when(F.col("f") | F.col("c"), "fatal"), F.when(F.col("e") & ~F.col("f"), "error"),
+                           F.when(F.col("w") & ~F.col("e") & ~F.col("f"), "warning")]).drop("f", "e", "w", "c")
     listed = within_caps(capped_tally(hits, ["capture_id", "section"], 20), R.LOGCAT_CAPS)
     listed = listed.select("capture_id", "section", "rank", "line", bigint("total").alias("total"),
                            bigint("n_distinct").alias("n_distinct"))

@@ -5,18 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from capsift import rules as R
-from capsift.functions.text import bigint, compact_path, number_in, snippet
+from capsift.functions.text import bigint, compact_path, snippet
 from capsift.operators.lines import capped, filled
 
 
 def parse_matches(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``file, row, content`` out of ``file:row:content`` lines; narrow."""
     line = F.col("line")
-    return filled(lines).where(line.rlike(R.GREP_LINE)).select(
-        "capture_id", "line_no", *keep, F.regexp_extract(line, R.GREP_LINE, 1).alias("file"),
-        bigint(F.coalesce(F.nullif(F.regexp_extract(line, R.GREP_LINE, 2), F.lit("")).cast("bigint"),
-                          F.lit(0))).alias("row"),
-        F.regexp_extract(line, R.GREP_LINE, 3).alias("content"))
+    drive = line.rlike(R.GREP_DRIVE)  # the colon after a drive letter ends no file name
+    at = F.when(drive, F.instr(line, ":") + F.locate(":", F.substring(line, 3, 1 << 30))
+                ).otherwise(F.instr(line, ":"))
+    at = F.when(drive & (F.locate(":", F.substring(line, 3, 1 << 30)) == 0), F.instr(line, ":")).otherwise(at)
+    rows = filled(lines).where(line.contains(":")).select(
+        "capture_id", "line_no", *keep, "line", at.alias("_at"))
+    rest = F.substring(line, F.col("_at") + 1, F.length(line))
+    rows = rows.select("capture_id", "line_no", *keep, F.substring(line, F.lit(1), F.col("_at") - 1).alias("file"),
+                       rest.alias("_rest"), F.regexp_extract(rest, R.GREP_ROW, 1).alias("_row"))
+    has_row = F.col("_row") != ""
+    return rows.select(
+        "capture_id", "line_no", *keep, "file",
+        F.when(has_row, F.col("_row").cast("bigint")).otherwise(F.lit(0).cast("bigint")).alias("row"),
+        F.when(has_row, F.substring(F.col("_rest"), F.length("_row") + 2, F.length("_rest"))).otherwise(
+            F.col("_rest")).alias("content"))
 
 
 def matches_by_file(lines: DataFrame, pattern: str | None = None,
@@ -28,7 +38,7 @@ def matches_by_file(lines: DataFrame, pattern: str | None = None,
     """
     keep = ("pattern",) if "pattern" in lines.columns else ()
     by_file = capped(parse_matches(lines, keep), ["capture_id", "file"], [F.col("line_no")], per_file,
-                     {"n_in_file": ("sum", F.lit(1))}).withColumnRenamed("rank", "file_rank")
+                     {"n_in_file": ("sum", F.lit(1))}, limit_first=True).withColumnRenamed("rank", "file_rank")
     first = F.col("file_rank") == 1
     listed = capped(by_file, ["capture_id"], [F.col("file"), F.col("file_rank")], overall,
                     {"n_files": ("sum", first.cast("int")),

@@ -136,8 +136,18 @@ def mask_env(lines: DataFrame, contains: str | None = None) -> DataFrame:
 
 
 def mask_text(captures: DataFrame) -> DataFrame:
-    """Inline ``name = value`` secrets masked anywhere in whole texts."""
-    raw = F.col("raw")
-    return captures.select(
-        "capture_id", F.regexp_replace(raw, R.INLINE_SECRET, "$1" + R.MASK).alias("masked"),
-        bigint(F.regexp_count(raw, F.lit(R.INLINE_SECRET))).alias("n_masked"))
+    """Inline ``name = value`` secrets masked anywhere in whole texts.
+
+    One pass: values become a marker, the markers are counted and then spelled
+    out.  A text that holds the marker itself is masked and counted directly.
+    """
+    raw, marker = F.col("raw"), "\x02"
+    rows = captures.select("capture_id", "raw", raw.contains(marker).alias("_odd"),
+                           F.regexp_replace(raw, R.INLINE_SECRET, "$1" + marker).alias("_marked"))
+    marked, odd = F.col("_marked"), F.col("_odd")
+    spelled = F.replace(marked, F.lit(marker), F.lit(R.MASK))
+    count = F.length(marked) - F.length(F.replace(marked, F.lit(marker), F.lit("")))
+    return rows.select(
+        "capture_id",
+        F.when(odd, F.regexp_replace(raw, R.INLINE_SECRET, "$1" + R.MASK)).otherwise(spelled).alias("masked"),
+        bigint(F.when(odd, F.regexp_count(raw, F.lit(R.INLINE_SECRET))).otherwise(count)).alias("n_masked"))

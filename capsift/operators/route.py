@@ -10,7 +10,11 @@ from capsift.functions.text import line_count, trim_ws
 
 def strategy_of(command: Column, raw: Column) -> Column:
     """First matching route; ``json`` only when the output parses as JSON."""
-    cmd = F.lower(trim_ws(command))
+    return strategy_of_normal(F.lower(trim_ws(command)), raw)
+
+
+def strategy_of_normal(cmd: Column, raw: Column) -> Column:
+    """The same for a command that is trimmed and in lower case already."""
     out = F
     for label, pattern in R.ROUTES:
         out = out.when(cmd.rlike(pattern), label)
@@ -20,7 +24,8 @@ def strategy_of(command: Column, raw: Column) -> Column:
 
 def route_strategy(captures: DataFrame) -> DataFrame:
     """Adds ``strategy``; narrow, the rules fold into one CASE expression."""
-    return captures.withColumn("strategy", strategy_of(F.col("command"), F.coalesce("raw", F.lit(""))))
+    rows = captures.withColumn("_cmd", F.lower(trim_ws(F.col("command"))))
+    return rows.withColumn("strategy", strategy_of_normal(F.col("_cmd"), F.coalesce("raw", F.lit("")))).drop("_cmd")
 
 
 def route_tool(commands: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from capsift import rules as R
-from capsift.functions.text import bigint, first_chars, number_in, not_blank, trim_ws
+from capsift.functions.text import bigint, first_chars, groups, number_in, not_blank, trim_ws
 from capsift.operators.lines import CHUNK, capped_tally, carry
 
 FORMATS = ("generic", "cargo", "pytest", "go", "vitest", "playwright")
@@ -27,25 +27,30 @@ def _zero(col: str | Column) -> Column:
 def _counters(lines: DataFrame) -> DataFrame:
     """One row per capture holding what every format needs, in one aggregation."""
     line = F.col("line")
-    passed, failed = number_in(line, R.PASSED), number_in(line, R.FAILED)
-    jest, cargo = line.rlike(R.JEST_SUMMARY), line.rlike(R.CARGO_SUMMARY)
-    counts = line.rlike(R.PASSED) | line.rlike(R.FAILED)
-    plain = ~jest & ~cargo & line.rlike(R.PASSED)
-    cargo_passed = F.regexp_extract(line, R.CARGO_SUMMARY, 2)
-    cargo_failed = F.regexp_extract(line, R.CARGO_SUMMARY, 3)
-    pytest = line.contains(R.PYTEST_RULE) & counts
+    # Numbers are read once per line, and only next to their word.
+    lines = lines.select(
+        "capture_id", "line_no", "line",
+        F.when(line.contains("passed"), number_in(line, R.PASSED)).alias("p"),
+        F.when(line.contains("failed"), number_in(line, R.FAILED)).alias("f"),
+        (line.contains("Tests:") & line.rlike(R.JEST_SUMMARY)).alias("jest"),
+        F.when(line.contains("test result:"), groups(line, "^.*" + R.CARGO_SUMMARY + ".*$", 3)).alias("cargo"))
+    passed, failed, jest, cargo = F.col("p"), F.col("f"), F.col("jest"), F.col("cargo").isNotNull()
+    plain = ~jest & ~cargo & passed.isNotNull()
+    cargo_passed, cargo_failed = F.get("cargo", F.lit(2)), F.get("cargo", F.lit(3))
+    pytest = line.contains(R.PYTEST_RULE) & (passed.isNotNull() | failed.isNotNull())
     go_json = line.contains(R.GO_JSON)
     event = F.from_json(F.when(line.startswith("{"), line), "Action string, Test string")
     action, has_test = event["Action"], F.coalesce(event["Test"], F.lit("")) != ""
-    vitest, play = line.rlike(R.VITEST_SUMMARY), line.rlike(R.PLAYWRIGHT_SUMMARY)
+    summary = passed.isNotNull() | failed.isNotNull()
+    vitest, play = summary & line.rlike(R.VITEST_SUMMARY), summary & line.rlike(R.PLAYWRIGHT_SUMMARY)
     play_tick = line.rlike(R.PLAYWRIGHT_PASS) & line.rlike(R.PLAYWRIGHT_TIMING)
     return lines.groupBy("capture_id").agg(
         F.count_if(jest).alias("jest_n"), F.count_if(cargo).alias("cargo_n"),
         F.max_by(jest, F.when(jest | cargo, F.col("line_no"))).alias("jest_last"),
         _last(passed, jest).alias("jest_passed"), _last(failed, jest).alias("jest_failed"),
         _last(number_in(line, R.JEST_TOTAL), jest).alias("jest_total"),
-        _total(F.nullif(cargo_passed, F.lit("")).cast("bigint"), cargo).alias("cargo_passed"),
-        _total(F.nullif(cargo_failed, F.lit("")).cast("bigint"), cargo).alias("cargo_failed"),
+        _total(cargo_passed.cast("bigint"), cargo).alias("cargo_passed"),
+        _total(cargo_failed.cast("bigint"), cargo).alias("cargo_failed"),
         F.min_by(F.struct(passed.alias("p"), failed.alias("f")),
                  F.when(plain, F.col("line_no"))).alias("plain"),
         _last(passed, pytest).alias("pytest_passed"), _last(failed, pytest).alias("pytest_failed"),
@@ -61,8 +66,8 @@ def _counters(lines: DataFrame) -> DataFrame:
         F.count_if(line.rlike(R.VITEST_PASS)).alias("vitest_ticks"),
         F.count_if(line.rlike(R.VITEST_FAIL)).alias("vitest_crosses"),
         F.count_if(play).alias("play_n"),
-        _last(passed, line.rlike(R.PASSED)).alias("play_passed"),
-        _last(failed, line.rlike(R.FAILED)).alias("play_failed"),
+        _last(passed, passed.isNotNull()).alias("play_passed"),
+        _last(failed, failed.isNotNull()).alias("play_failed"),
         F.count_if(play_tick).alias("play_ticks"),
         F.count_if(line.rlike(R.PLAYWRIGHT_FAIL)).alias("play_crosses"))
 

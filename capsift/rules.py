@@ -219,12 +219,14 @@ RUFF_SCHEMA = "array<struct<filename:string,message:string,code:string,location:
 GOLANGCI_SCHEMA = "struct<Issues:array<struct<FromLinter:string,Text:string,Pos:struct<Filename:string,Line:bigint>>>>"
 
 # --- search results, listings, tables ---------------------------------------------------------
-GREP_LINE = r"^((?:[A-Za-z]:[\\/])?[^:]*):(?:(\d+):)?(.*)$"
+GREP_DRIVE = r"^[A-Za-z]:[\\/]"
+GREP_ROW = r"^(\d+):"
 GREP_PER_FILE, GREP_OVERALL = 5, 50
 FIND_PASS, FIND_ALL, FIND_HEAD = 30, 5, 3
 EXT_CAP = 5
 WINDOWS_DIR = r"<DIR>\s+(.+)$"
-WINDOWS_FILE = r"\s+([\d,]+)\s+([^\s].+)$"
+WINDOWS_FILE_LINE = r"^\S+\s.*?\s([\d,]+)\s+(\S.+)$"
+LS_LINE = r"^[dl\-][rwxsStT\-]{9}"
 WINDOWS_LINE = r"^\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}\s"
 TASK_CAP = 8
 
