@@ -9,13 +9,18 @@ from capsift.functions.text import bigint, contains_any, normalize_log_line, tri
 from capsift.operators.lines import capped, capped_tally, classed, filled, tail_lines, within_caps
 
 
-def with_severity(lines: DataFrame) -> DataFrame:
-    """``severity`` per line: error, warn, info or null; blank lines dropped."""
-    low = F.lower("line")
-    return filled(lines).withColumn(
-        "severity",
-        F.when(contains_any(low, "error", "fatal", "panic"), "error")
-        .when(low.contains("warn"), "warn").when(low.contains("info"), "info"))
+def with_severity(lines: DataFrame, wanted: tuple[str, ...] = ("error", "warn", "info")) -> DataFrame:
+    """Lines of the ``wanted`` severities, with ``severity``.
+
+    The class is exploded out of an array instead of filtered on: a filter would
+    be pushed below and lower-case every line a second time.
+    """
+    low = F.col("_low")
+    severity = (F.when(contains_any(low, "error", "fatal", "panic"), "error")
+                .when(low.contains("warn"), "warn").when(low.contains("info"), "info"))
+    rows = lines.withColumn("_low", F.lower("line"))
+    return rows.select(*lines.columns, F.explode(F.filter(
+        F.array(severity), lambda s: s.isin(*wanted))).alias("severity"))
 
 
 def template_counts(lines: DataFrame, info: bool = False) -> DataFrame:
@@ -25,7 +30,7 @@ def template_counts(lines: DataFrame, info: bool = False) -> DataFrame:
     """
     wanted = ("error", "warn", "info") if info else ("error", "warn")
     template = F.when(F.col("severity") == "info", "").otherwise(normalize_log_line(F.col("line")))
-    return (with_severity(lines).where(F.col("severity").isin(*wanted)).withColumn("template", template)
+    return (with_severity(lines, wanted).withColumn("template", template)
             .groupBy("capture_id", "severity", "template")
             .agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("line_no"),
                  F.min_by("line", "line_no").alias("first_line")))
@@ -51,7 +56,7 @@ def log_templates(lines: DataFrame, caps: dict[str, int] | None = None) -> DataF
 def log_totals(lines: DataFrame) -> DataFrame:
     """Per capture: totals and unique counts of errors and warnings, info count."""
     info = F.col("severity") == "info"
-    grouped = (with_severity(lines).where(F.col("severity").isNotNull())
+    grouped = (with_severity(lines)
                .withColumn("template", F.when(~info, normalize_log_line(F.col("line"))))
                .groupBy("capture_id", "severity", "template").agg(F.count(F.lit(1)).alias("n")))
 

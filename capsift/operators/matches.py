@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from capsift import rules as R
 from capsift.functions.text import bigint, compact_path, snippet
-from capsift.operators.lines import capped, filled
+from capsift.operators.lines import capped
 
 
 def parse_matches(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -16,7 +16,7 @@ def parse_matches(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     at = F.when(drive, F.instr(line, ":") + F.locate(":", F.substring(line, 3, 1 << 30))
                 ).otherwise(F.instr(line, ":"))
     at = F.when(drive & (F.locate(":", F.substring(line, 3, 1 << 30)) == 0), F.instr(line, ":")).otherwise(at)
-    rows = filled(lines).where(line.contains(":")).select(
+    rows = lines.where(line.contains(":")).select(
         "capture_id", "line_no", *keep, "line", at.alias("_at"))
     rest = F.substring(line, F.col("_at") + 1, F.length(line))
     rows = rows.select("capture_id", "line_no", *keep, F.substring(line, F.lit(1), F.col("_at") - 1).alias("file"),
@@ -38,7 +38,7 @@ def matches_by_file(lines: DataFrame, pattern: str | None = None,
     """
     keep = ("pattern",) if "pattern" in lines.columns else ()
     by_file = capped(parse_matches(lines, keep), ["capture_id", "file"], [F.col("line_no")], per_file,
-                     {"n_in_file": ("sum", F.lit(1))}, limit_first=True).withColumnRenamed("rank", "file_rank")
+                     {"n_in_file": ("sum", F.lit(1))}).withColumnRenamed("rank", "file_rank")
     first = F.col("file_rank") == 1
     listed = capped(by_file, ["capture_id"], [F.col("file"), F.col("file_rank")], overall,
                     {"n_files": ("sum", first.cast("int")),

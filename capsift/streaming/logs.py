@@ -18,7 +18,7 @@ def stream_log_templates(lines: DataFrame, window: str = "1 hour", delay: str =
     timed = lines.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     if dedupe:
         timed = timed.dropDuplicatesWithinWatermark(["capture_id", "line_no"])
-    marked = with_severity(timed).where(F.col("severity").isin("error", "warn"))
+    marked = with_severity(timed, ("error", "warn"))
     return (marked.withColumn("template", normalize_log_line(F.col("line")))
             .groupBy(F.window("ts", window).alias("w"), "severity", "template")
             .agg(bigint(F.count(F.lit(1))).alias("n"))
