@@ -136,19 +136,17 @@ def diff_condense(lines: DataFrame, plain: bool = True, hunk_cap: int = R.DIFF_H
     Context shows only after the first change of its hunk.
     """
     rows, line = _diff_state(lines, plain, chunk), F.col("line")
-    body = rows.where(F.col("in_hunk") & F.col("after_change") & ~line.startswith("\\"))
-    shown = capped(body, ["capture_id", "mark_at"], [F.col("line_no")], hunk_cap,
-                   {"n_hunk": ("sum", F.lit(1))})
-    shown = shown.select("capture_id", "line_no", "file", "file_at", F.col("mark_at").alias("hunk_at"), F.lit("line").alias("kind"), "line",
-                         (F.col("n_hunk") >= hunk_cap).alias("truncated"))
+    kind = (F.when(F.col("is_header"), "file").when(F.col("is_hunk"), "hunk")
+            .when(F.col("in_hunk") & F.col("after_change") & ~line.startswith("\\"), "line"))
+    # Headers are groups of one here, so one pass ranks them along with the hunks.
+    shown = capped(rows.withColumn("kind", kind).where(F.col("kind").isNotNull()),
+                   ["capture_id", "mark_at", "kind"], [F.col("line_no")], hunk_cap, {"n_hunk": ("sum", F.lit(1))})
     info = trim_ws(F.coalesce(F.get(F.split(line, "@@", -1), F.lit(1)), F.lit("")))
-    heads = rows.where("is_header or is_hunk").select(
-        "capture_id", "line_no", "file", "file_at", F.col("mark_at").alias("hunk_at"),
-        F.when(F.col("is_header"), "file").otherwise("hunk").alias("kind"),
-        F.when(F.col("is_header"), F.col("file")).otherwise(info).alias("line"),
-        F.lit(False).alias("truncated"))
-    out = capped(heads.unionByName(shown), ["capture_id"], [F.col("line_no")], cap,
-                 {"n_rows": ("sum", F.lit(1))})
+    shown = shown.select(
+        "capture_id", "line_no", "file", "file_at", F.col("mark_at").alias("hunk_at"), "kind",
+        F.when(F.col("kind") == "file", F.col("file")).when(F.col("kind") == "hunk", info).otherwise(line).alias("line"),
+        ((F.col("kind") == "line") & (F.col("n_hunk") >= hunk_cap)).alias("truncated"))
+    out = capped(shown, ["capture_id"], [F.col("line_no")], cap, {"n_rows": ("sum", F.lit(1))})
     return out.select("capture_id", "rank", bigint("line_no").alias("line_no"), "file",
                       bigint("file_at").alias("file_at"), bigint("hunk_at").alias("hunk_at"), "kind", "line",
                       "truncated", bigint("n_rows").alias("n_rows"))
