@@ -72,7 +72,7 @@ def compress_with(captures: DataFrame, strategy: str | Strategy) -> DataFrame:
 
 def routed_captures(captures: DataFrame) -> DataFrame:
     """``capture_id, command, raw, strategy, raw_tokens``."""
-    routed = route_strategy(captures)
+    routed = route_strategy(captures.withColumn("raw", F.coalesce("raw", F.lit(""))))
     if "exit_code" in captures.columns:
         missing = (F.col("exit_code") == NOT_FOUND) & (F.col("strategy") == "docker")
         routed = routed.withColumn("strategy", F.when(missing, "generic").otherwise(F.col("strategy")))
