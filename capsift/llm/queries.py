@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from capsift.llm import chat, decontaminate, langid, licenses, mixing, topk, toxicity
+from capsift.llm import chat, decontaminate, langid, licenses, mixing, simhash, topk, toxicity
 from capsift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,11 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+@query("op3_simhash_near_dedup")
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
 @query("op4_chat_format", chat.ORACLE)
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = chat.with_injected(table(spark, sf_dir, "conversations"))
