@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from capsift.llm import chat, decontaminate, langid, licenses, mixing, repeats, simhash, topk, toxicity
+from capsift.llm import chat, decontaminate, langid, licenses, mixing, repeats, simhash, tokens, topk, toxicity
 from capsift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,11 @@ def op7_repeated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.report(table(spark, sf_dir, "documents"))
 
 
+@query("op8_token_counts")
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.recount(table(spark, sf_dir, "documents"))
+
+
 @query("op9_topk", topk.ORACLE)
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantized(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")

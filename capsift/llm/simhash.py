@@ -62,15 +62,16 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, text`` -> ``doc_id, fp``; the 64 bits as a signed long."""
+    """``doc_id, text`` -> ``doc_id, text_key, fp``; the 64 bits as a signed long."""
     def hashed(batches):
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             raw = data.tobytes() if len(offsets) > 1 else b""
             found = [fingerprint(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(found, pa.int64())],
+                                             ["doc_id", "text_key", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(hashed, "doc_id long, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(hashed, "doc_id long, text_key long, fp long")
 
 
 def distance(point: np.uint64, points: np.ndarray) -> np.ndarray:
@@ -210,7 +211,7 @@ def neighbours(distinct: DataFrame, folder: str, reach: int = DISTANCE) -> DataF
 
 
 def near_duplicates(docs: DataFrame, reach: int = DISTANCE) -> DataFrame:
-    """``doc_id, fp, component_id``: the smallest id that chained links reach."""
+    """``doc_id, text_key, fp, component_id``: the smallest id that chained links reach."""
     folder = scratch(docs.sparkSession)
     hashed = stored(fingerprints(docs), folder, "fingerprints")
     distinct = stored(hashed.groupBy("fp").agg(F.min("doc_id").alias("first_id")), folder, "distinct")
@@ -219,7 +220,7 @@ def near_duplicates(docs: DataFrame, reach: int = DISTANCE) -> DataFrame:
     rooted = stored(rooted, folder, "rooted")
     smallest = stored(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), folder, "smallest")
     named = stored(rooted.join(smallest, "root").select("fp", "component_id"), folder, "named")
-    return hashed.join(named, "fp").select("doc_id", "fp", "component_id")
+    return hashed.join(named, "fp").select("doc_id", "text_key", "fp", "component_id")
 
 
 def report(docs: DataFrame) -> DataFrame:
