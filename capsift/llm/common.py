@@ -83,7 +83,8 @@ def distinct_text_sample(df: DataFrame, by: str, cap: int) -> DataFrame:
     sizes = keyed.groupBy(by).agg(F.approx_count_distinct("text_key", 0.02).alias("n_texts"))
     share = F.lit(float(cap)) / F.col("n_texts")
     draw = F.shiftrightunsigned(F.xxhash64("text_key", F.lit("sample")), 11).cast("double") / float(1 << 53)
-    return keyed.join(sizes, by).filter(draw < share).drop("n_texts")
+    # one row per group that is learned, so the sizes go to the texts and no text is shuffled
+    return keyed.join(F.broadcast(sizes), by).filter(draw < share).drop("n_texts")
 
 
 def packed(df: DataFrame, **more: Column) -> DataFrame:

@@ -71,13 +71,17 @@ class Model:
 
     def __init__(self, languages: list[str], bits: np.ndarray, labels: np.ndarray, landmarks: np.ndarray):
         self.languages = languages
-        size = np.sqrt(np.maximum(bits.sum(1), 1)).astype(np.float32)
-        unit = bits.astype(np.float32) / size[:, None]
-        marks = unit[landmarks]
+        def unit(rows: np.ndarray) -> np.ndarray:
+            dense = bits[rows].astype(np.float32)
+            dense /= np.sqrt(np.maximum(dense.sum(1), 1.0))[:, None]
+            return dense
+
+        marks = unit(landmarks)
         values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
         keep = values > 1e-6 * values[-1]
         root = vectors[:, keep] / np.sqrt(values[keep])  # K_mm to the power -1/2
-        features = (unit @ marks.T).astype(np.float64) @ root
+        kernels = [unit(rows) @ marks.T for rows in np.array_split(np.arange(len(bits)), -(-len(bits) // ROWS_PER_BLOCK))]
+        features = np.concatenate(kernels).astype(np.float64) @ root
         wanted = np.where(labels[:, None] == np.arange(len(languages)), 1.0, -1.0)
         gram = features.T @ features + RIDGE * len(features) * np.eye(features.shape[1])
         self.weights = (marks.T @ (root @ np.linalg.solve(gram, features.T @ wanted))).astype(np.float32)
