@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from capsift.plans import catalog
 from capsift.plans.compress import narrow_texts, routed_captures
 from capsift.plans.views import view
 from capsift.sources.readers import captures
@@ -15,6 +16,9 @@ NARROW = ["src_captures", "explode_lines", "compress_generic", "summary_6", "rea
           "json_structure", "json_or_text", "commit_log", "table_rows", "listing_entries", "sink_ledger", "sink_blocked"]
 
 
+catalog.load()
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -25,7 +29,7 @@ def test_narrow_queries_do_not_shuffle(spark, name):
     assert "Exchange" not in text and "CartesianProduct" not in text and "NestedLoop" not in text
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - {
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - {
     "compress", "compress_runs", "capture_savings", "stream_ledger_daily", "stream_log_templates"}))
 def test_no_query_crosses_or_calls_python(spark, name):
     text = plan(entry.queries()[name](spark, SF_DIR))

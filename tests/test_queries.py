@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from capsift.plans import catalog
 from conftest import SF_DIR
 from tools.compare import compare, connect
 
@@ -12,14 +13,18 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+catalog.load()
+
+
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_matches_sql(spark, con, name):
     ok, text = compare(spark, con, SF_DIR, name)
     assert ok and "types differ" not in text, text
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
+    assert set(catalog.QUERIES) <= set(entry.queries())
 
 
 def test_entry_runs(spark):
