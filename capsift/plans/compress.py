@@ -65,9 +65,18 @@ NOT_FOUND = 127
 
 
 def compress_with(captures: DataFrame, strategy: str | Strategy) -> DataFrame:
-    """One strategy for all captures: the path of a dedicated reader."""
+    """One strategy for all captures: the path of a dedicated reader.
+
+    Null ``raw`` is empty text.  Where an ``exit_code`` says that the command was not
+    found, the text is cut generically: no reader may call a missing tool a success.
+    """
     fn = STRATEGIES[strategy] if isinstance(strategy, str) else strategy
-    return fn(captures).select("capture_id", "filtered")
+    captures = captures.withColumn("raw", F.coalesce("raw", F.lit("")))
+    if "exit_code" not in captures.columns:
+        return fn(captures).select("capture_id", "filtered")
+    missing = F.coalesce(F.col("exit_code") == NOT_FOUND, F.lit(False))
+    kept = fn(captures.where(~missing)).select("capture_id", "filtered")
+    return kept.unionByName(STRATEGIES["generic"](captures.where(missing)).select("capture_id", "filtered"))
 
 
 def routed_captures(captures: DataFrame) -> DataFrame:

@@ -42,3 +42,11 @@ def test_every_strategy_takes_any_text(spark, make_captures):
     captures = make_captures((1, "x", "plain words"), (2, "x", ""), (3, "x", "a\n" * 50), (4, "x", "{\"a\": [1]}"))
     for name in STRATEGIES:
         assert compress_with(captures, name).where("filtered is not null").select("capture_id").distinct().count() == 4, name
+
+
+def test_missing_command_is_no_success(spark):
+    text = "bash: X: command not found"
+    captures = spark.createDataFrame([(1, "x", text, 127), (2, "x", None, 0)], "capture_id long, command string, raw string, exit_code int")
+    for name in ("tsc", "ruff", "cargo", "kubectl"):
+        found = {r.capture_id: r.filtered for r in compress_with(captures, name).collect()}
+        assert found[1] == text and set(found) >= {1}
