@@ -11,9 +11,11 @@ for byte combine to one class with a count, before anything is shuffled by ancho
 thousands of copies cost one segment.  Where an anchor has several classes, one segment of
 each goes, with its text, to a block in which the Burrows-Wheeler interval expansion of
 ``bwt`` finds the windows that repeat.  An anchor of more than ``GROUP`` classes is dealt
-over several groups by the hash of the class; windows that a group of such an anchor
-found alone are compared across its groups by their content hash, counted in a plain
-aggregate.  No key gathers all its rows in one task.
+over several groups by the hash of the class.  Its segments are first cut to their reach:
+what stands before the anchor (read backwards) and after it is sorted over the cluster, and
+the longest prefix that a side shares with a neighbour bounds every window that can be
+repeated.  Windows within reach that a group found alone are compared across the groups by
+their content hash, counted in a plain aggregate.  No key gathers all its rows in one task.
 
 Rows of equal id and text count as separate documents and get equal results.  Null texts
 are empty.  Texts shorter than ``MIN_LEN`` bytes have no window and keep every byte.
@@ -139,7 +141,7 @@ def segment_table(docs: DataFrame, min_len: int) -> DataFrame:
     return docs.mapInArrow(cut, "doc_id long, text_key long, anchor long, kind long, lo int, hi int, windows int, n int")
 
 
-_TEXTS = "anchor long, salt int, salts int, n long, doc_id long, text_key long, lo int, bytes binary"
+_TEXTS = "anchor long, kind long, salt int, salts int, n long, doc_id long, text_key long, lo int, bytes binary"
 _FOUND = "doc_id long, text_key long, start int, stop int, content long, alone boolean"
 
 
@@ -159,12 +161,104 @@ def _cut_texts(min_len: int):
                 rows = pa.array(owner[part])
                 texts = [data[a:b].tobytes() for a, b in zip(start[part].tolist(), stop[part].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [*[field(c).slice(at, len(texts)) for c in ("anchor", "salt", "salts", "n")], batch.column("doc_id").take(rows),
+                    [*[field(c).slice(at, len(texts)) for c in ("anchor", "kind", "salt", "salts", "n")], batch.column("doc_id").take(rows),
                      batch.column("text_key").take(rows), field("lo").slice(at, len(texts)), pa.array(texts, pa.binary())],
-                    ["anchor", "salt", "salts", "n", "doc_id", "text_key", "lo", "bytes"])
+                    ["anchor", "kind", "salt", "salts", "n", "doc_id", "text_key", "lo", "bytes"])
     return cut
 
 
+def _place(text: np.ndarray, anchor: int) -> int:
+    """Where the anchor of a segment begins: it is the leftmost of equal grams."""
+    return int(np.flatnonzero(gram_hashes(text).view(np.int64) == anchor)[0])
+
+
+def _views(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint8) for x in column]
+
+
+def _sides(batches):
+    """Two rows per segment: what stands before its anchor, read backwards, and what stands after it."""
+    for batch in batches:
+        anchors, kinds = batch.column("anchor"), batch.column("kind")
+        texts = _views(batch.column("bytes"))
+        places = [_place(text, anchor) for text, anchor in zip(texts, anchors.to_pylist())]
+        before = [text[:at][::-1].tobytes() for text, at in zip(texts, places)]
+        after = [text[at + GRAM:].tobytes() for text, at in zip(texts, places)]
+        for side, parts in enumerate((before, after)):
+            yield pa.RecordBatch.from_arrays([anchors, kinds, pa.array([side] * len(parts), pa.int32()), pa.array(parts, pa.binary())],
+                                             ["anchor", "kind", "side", "part"])
+
+
+def shared_prefixes(parts: list[bytes]) -> np.ndarray:
+    """Bytes that each part, but the last, shares with the next one."""
+    lengths = np.array([len(x) for x in parts])
+    inside = np.arange(max(1, lengths.max())) < lengths[:, None]
+    matrix = np.zeros(inside.shape, np.uint8)
+    matrix[inside] = np.frombuffer(b"".join(parts), np.uint8)
+    same = (matrix[1:] == matrix[:-1]) & inside[1:] & inside[:-1]
+    return np.where(same.all(axis=1), same.shape[1], same.argmin(axis=1))
+
+
+def _reaches(batches):
+    """Sorted sides -> the longest prefix that a side shares with a neighbour of its anchor.
+
+    The neighbours beyond a partition are unknown: its first and last side reach as far as they go.
+    """
+    def rows(anchor, kind, side, reach):
+        return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(kind), pa.array(side, pa.int32()), pa.array(reach, pa.int32())],
+                                          ["anchor", "kind", "side", "reach"])
+
+    held, before = None, 0
+    for batch in batches:
+        anchor, kind, side = (batch.column(c).to_numpy() for c in ("anchor", "kind", "side"))
+        parts = batch.column("part").to_pylist()
+        if not parts:
+            continue
+        if held:
+            anchor, kind, side = (np.concatenate([[x], y]) for x, y in zip(held, (anchor, kind, side)))
+            parts = [held[3], *parts]
+        else:
+            before = len(parts[0])
+        same = (anchor[1:] == anchor[:-1]) & (side[1:] == side[:-1])
+        after = np.where(same, shared_prefixes(parts), 0)
+        yield rows(anchor[:-1], kind[:-1], side[:-1], np.maximum(np.append(before, after[:-1])[:len(after)], after))
+        before = after[-1] if len(after) else before
+        held = (anchor[-1], kind[-1], side[-1], parts[-1])
+    if held:
+        yield rows(*([x] for x in held[:3]), [len(held[3])])
+
+
+def _within_reach(min_len: int):
+    """Segments cut to ``before`` bytes ahead of the anchor and ``after`` behind it; those without a window go."""
+    def cut(batches):
+        for batch in batches:
+            texts = _views(batch.column("bytes"))
+            anchors, before, after = (batch.column(c).to_pylist() for c in ("anchor", "before", "after"))
+            places = np.array([_place(text, anchor) for text, anchor in zip(texts, anchors)], np.int64)
+            start = places - np.array(before, np.int64)
+            stop = places + GRAM + np.array(after, np.int64)
+            keep = np.flatnonzero(stop - start >= min_len)
+            part = batch.take(pa.array(keep))
+            kept = [texts[i][start[i]:stop[i]].tobytes() for i in keep.tolist()]
+            names = ["anchor", "kind", "salt", "salts", "n", "doc_id", "text_key"]
+            lo = part.column("lo").to_numpy() + start[keep]
+            yield pa.RecordBatch.from_arrays([*map(part.column, names), pa.array(lo, pa.int32()), pa.array(kept, pa.binary())], [*names, "lo", "bytes"])
+    return cut
+
+
+def within_reach(texts: DataFrame, min_len: int) -> DataFrame:
+    """Segments of anchors that have many classes, without the windows that agree with no other class.
+
+    The class breaks ties of the sort, so sides that are equal spread over partitions as well.
+    """
+    sides = texts.select("anchor", "kind", "bytes").mapInArrow(_sides, "anchor long, kind long, side int, part binary")
+    order = ["anchor", "side", "part", "kind"]
+    reaches = sides.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_reaches, "anchor long, kind long, side int, reach int")
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("reach")))
+    reach = reaches.groupBy("anchor", "kind").agg(of(0).alias("before"), of(1).alias("after"))
+    return texts.join(reach, ["anchor", "kind"]).mapInArrow(_within_reach(min_len), _TEXTS)
+
+
 def _whole_groups(batches):
     """Tables of at most about ``TRANSFORM_BYTES`` that hold groups of (anchor, salt) whole."""
     held = None
@@ -245,10 +339,12 @@ def repeated_spans(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
     classes = stored(mixed.groupBy("anchor", "kind").agg(F.sum("n").alias("n"), F.min(place).alias("place")), folder, "classes")
     salts = classes.groupBy("anchor").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
     salts = stored(salts, folder, "salts")
-    dealt = classes.join(salts, "anchor").select("anchor", F.pmod("kind", "salts").cast("int").alias("salt"), "salts", "n", "place.*")
-    wanted = dealt.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "salt", "salts", "n", "lo", "windows")).alias("wanted"))
+    dealt = classes.join(salts, "anchor").select("anchor", "kind", F.pmod("kind", "salts").cast("int").alias("salt"), "salts", "n", "place.*")
+    wanted = dealt.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "kind", "salt", "salts", "n", "lo", "windows")).alias("wanted"))
     wanted = stored(wanted, folder, "wanted")
     texts = _beside(long, wanted, "inner").select("doc_id", "text_key", "text", "wanted").mapInArrow(_cut_texts(min_len), _TEXTS)
+    texts = stored(texts, folder, "texts")
+    texts = texts.filter("salts = 1").unionByName(within_reach(texts.filter("salts > 1"), min_len))
     dealt_texts = texts.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
     found = stored(dealt_texts.mapInArrow(_find(min_len), _FOUND), folder, "found")
 

@@ -199,6 +199,22 @@ def test_repeats(spark, none, monkeypatch, group):
     assert repeats.report(none).count() == 0
 
 
+def test_reach_of_a_common_passage(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "GROUP", 3)
+    random = np.random.default_rng(5)
+    letters = lambda n: "".join(chr(97 + x) for x in random.integers(0, 26, n))
+    passage, short, ends = letters(460), letters(380), [letters(90) for _ in range(3)]
+    rows = [(i, letters(int(random.integers(300, 700))) + ends[i % 3][:int(random.integers(0, 90))] + (short if i % 4 == 0 else passage)
+             + ends[i % 2][:int(random.integers(0, 90))] + letters(int(random.integers(0, 300))), None, None, 0) for i in range(90)]
+    got = repeats.report(spark.createDataFrame(rows, DOCS).repartition(7)).collect()
+    want = plain_repeats([r[1].encode() for r in rows], 400)
+    assert sorted((r.doc_id, *r[1:]) for r in got) == sorted((r[0], *w) for r, w in zip(rows, want))
+
+
+def test_shared_prefixes():
+    assert repeats.shared_prefixes([b"", b"ab", b"abc", b"abd", b"abd", b"b\0", b"b"]).tolist() == [0, 2, 2, 3, 0, 1]
+
+
 def test_interval_expansion():
     rng = np.random.default_rng(1)
     for trial in range(20):
