@@ -8,6 +8,8 @@ capture may be far larger than a cell.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from capsift import rules as R
@@ -155,8 +157,15 @@ def signature_lines(lines: DataFrame) -> DataFrame:
     return found.unionByName(head)
 
 
+#: Anchors, groups with options or look-around, and possessive counts may fit a line but not the text around it.
+_LINE_BOUND = re.compile(r"[\^$]|\(\?|\\[AzZG]|[*+?}]\+")
+
+
 def search(captures: DataFrame, pattern: str) -> DataFrame:
-    """Lines matching ``pattern``; texts without a hit are dropped unsplit."""
-    hit = captures.where(F.col("raw").rlike("(?m)" + pattern))
+    """Lines matching ``pattern``, each line on its own.
+
+    Where a match in a line is also one in the whole text, texts without a hit are dropped unsplit.
+    """
+    hit = captures if _LINE_BOUND.search(pattern) else captures.where(F.col("raw").rlike(pattern))
     lines = hit.select("capture_id", F.posexplode(F.split("raw", "\n", -1)).alias("line_no", "line"))
     return lines.where(F.col("line").rlike(pattern)).withColumn("line_no", bigint("line_no"))
