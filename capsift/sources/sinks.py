@@ -7,18 +7,17 @@ from pyspark.sql import DataFrame, functions as F
 from capsift.operators.ledger import recent_failures
 
 
-def append_ledger(rows: DataFrame, path: str, files_per_date: int = 8) -> None:
+def append_ledger(rows: DataFrame, path: str) -> None:
     """Appends usage rows as parquet under ``date=...``.
 
-    Rows of one date are spread over ``files_per_date`` writers, so a busy day
-    is not written by one task and a quiet one leaves no swarm of small files.
+    Adaptive execution splits a busy day by its measured size and joins quiet ones,
+    so writers grow with the data and a quiet day leaves no swarm of small files.
     """
     dated = rows.withColumn("date", F.to_date("ts"))
-    spread = F.pmod(F.xxhash64("id"), F.lit(files_per_date))
-    dated.repartition("date", spread).write.mode("append").partitionBy("date").parquet(path)
+    dated.hint("rebalance", "date").write.mode("append").partitionBy("date").parquet(path)
 
 
 def write_failures(captures: DataFrame, path: str, n: int | None = None) -> None:
     """Raw output of failed captures; the newest ``n`` when given, else all."""
     failed = captures.where(F.col("exit_code") != 0) if n is None else recent_failures(captures, n)
-    failed.write.mode("append").partitionBy("tool").parquet(path)
+    failed.hint("rebalance", "tool").write.mode("append").partitionBy("tool").parquet(path)
