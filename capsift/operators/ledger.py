@@ -13,10 +13,15 @@ def usage_columns(raw_tokens: Column, filtered_tokens: Column) -> list[Column]:
             F.greatest(F.lit(0).cast("bigint"), raw_tokens - filtered_tokens).alias("tokens_saved")]
 
 
+def _dated(rows: DataFrame, keep: tuple[str, ...] = ()) -> list[str]:
+    """Columns to carry along; ``ts`` is one of them where the rows have it."""
+    return [*(["ts"] if "ts" in rows.columns and "ts" not in keep else []), *keep]
+
+
 def usage_rows(compressed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Ledger rows for captures that carry ``raw`` and ``filtered`` text."""
     return compressed.select(
-        F.col("capture_id").alias("id"), *keep, F.col("command").alias("raw_cmd"), "tool",
+        F.col("capture_id").alias("id"), *_dated(compressed, keep), F.col("command").alias("raw_cmd"), "tool",
         *usage_columns(token_estimate(F.col("raw")), token_estimate(F.col("filtered"))),
         F.lit(False).alias("blocked"), F.lit(None).cast("string").alias("block_reason"))
 
@@ -32,7 +37,7 @@ def blocked_rows(verdicts: DataFrame, id_col: str = "command_id") -> DataFrame:
     """Zero-token ledger rows for commands the audit refused."""
     zero = F.lit(0).cast("bigint")
     return verdicts.where(~F.col("safe")).select(
-        F.col(id_col).alias("id"), F.col("command").alias("raw_cmd"), F.lit("run").alias("tool"),
+        F.col(id_col).alias("id"), *_dated(verdicts), F.col("command").alias("raw_cmd"), F.lit("run").alias("tool"),
         zero.alias("raw_tokens"), zero.alias("filtered_tokens"), zero.alias("tokens_saved"),
         F.lit(True).alias("blocked"), F.col("reason").alias("block_reason"))
 

@@ -87,7 +87,7 @@ def logcat_summary(lines: DataFrame) -> DataFrame:
                             low.contains("process:") & line.rlike(R.LOGCAT_CRASH))).alias("c"))
     hits = classed(tests, [F.when(F.col("f") | F.col("c"), "fatal"), F.when(F.col("e") & ~F.col("f"), "error"),
                            F.when(F.col("w") & ~F.col("e") & ~F.col("f"), "warning")]).drop("f", "e", "w", "c")
-    listed = within_caps(capped_tally(hits, ["capture_id", "section"], 20), R.LOGCAT_CAPS)
+    listed = within_caps(capped_tally(hits, ["capture_id", "section"], max(R.LOGCAT_CAPS.values())), R.LOGCAT_CAPS)
     listed = listed.select("capture_id", "section", "rank", "line", bigint("total").alias("total"),
                            bigint("n_distinct").alias("n_distinct"))
     long = sizes.where(F.col("n_lines") > R.LOGCAT_PASS).select("capture_id")

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from capsift import rules as R
 from capsift.functions.text import savings_pct, token_estimate
@@ -64,17 +64,21 @@ STRATEGIES: dict[str, Strategy] = {**{name: narrow(text) for name, text in NARRO
 NOT_FOUND = 127
 
 
+def not_found(captures: DataFrame) -> Column:
+    """Whether the exit code, or the whole text, says that the command does not exist."""
+    says = F.col("raw").rlike(R.NOT_FOUND_TEXT)
+    return says | F.coalesce(F.col("exit_code") == NOT_FOUND, F.lit(False)) if "exit_code" in captures.columns else says
+
+
 def compress_with(captures: DataFrame, strategy: str | Strategy) -> DataFrame:
     """One strategy for all captures: the path of a dedicated reader.
 
-    Null ``raw`` is empty text.  Where an ``exit_code`` says that the command was not
-    found, the text is cut generically: no reader may call a missing tool a success.
+    Null ``raw`` is empty text.  Where the command was not found, the text is cut
+    generically: no reader may call a missing tool a success.
     """
     fn = STRATEGIES[strategy] if isinstance(strategy, str) else strategy
     captures = captures.withColumn("raw", F.coalesce("raw", F.lit("")))
-    if "exit_code" not in captures.columns:
-        return fn(captures).select("capture_id", "filtered")
-    missing = F.coalesce(F.col("exit_code") == NOT_FOUND, F.lit(False))
+    missing = not_found(captures)
     kept = fn(captures.where(~missing)).select("capture_id", "filtered")
     return kept.unionByName(STRATEGIES["generic"](captures.where(missing)).select("capture_id", "filtered"))
 
@@ -82,9 +86,7 @@ def compress_with(captures: DataFrame, strategy: str | Strategy) -> DataFrame:
 def routed_captures(captures: DataFrame) -> DataFrame:
     """``capture_id, command, raw, strategy, raw_tokens``."""
     routed = route_strategy(captures.withColumn("raw", F.coalesce("raw", F.lit(""))))
-    if "exit_code" in captures.columns:
-        missing = (F.col("exit_code") == NOT_FOUND) & (F.col("strategy") == "docker")
-        routed = routed.withColumn("strategy", F.when(missing, "generic").otherwise(F.col("strategy")))
+    routed = routed.withColumn("strategy", F.when(not_found(routed), "generic").otherwise(F.col("strategy")))
     return routed.select("capture_id", "command", "raw", "strategy", token_estimate(F.col("raw")).alias("raw_tokens"))
 
 
@@ -119,16 +121,15 @@ def compress(captures: DataFrame, extra: Mapping[str, Strategy] | None = None, p
     grouped = {**GROUPED, **(extra or {})}
     routed = routed_captures(captures)
 
-    seen = Observation("strategies")  # at most one entry per strategy
-    part = routed.where(F.col("strategy").isin(*grouped)).observe(seen, F.collect_set("strategy").alias("names"))
+    part = routed.where(F.col("strategy").isin(*grouped))
     # Files of a useful size per strategy: the rebalance splits large ones.
     part.hint("rebalance", "strategy").write.partitionBy("strategy").parquet(staged)
     schema = _measured(narrow_texts(routed)).schema
 
     jobs = {"narrow": narrow_texts(routed)}
-    if seen.get["names"]:
-        parts = spark.read.schema(routed.schema).parquet(staged)
-        jobs |= {name: grouped[name](parts.where(F.col("strategy") == name)) for name in sorted(seen.get["names"])}
+    parts = spark.read.schema(routed.schema).parquet(staged)
+    names = sorted(row[0] for row in parts.select("strategy").distinct().collect())  # folder names: one per strategy
+    jobs |= {name: grouped[name](parts.where(F.col("strategy") == name)) for name in names}
 
     def save(name: str) -> str:
         # One folder per job: jobs that share one would clear each other's pending files.

@@ -181,6 +181,11 @@ LOGCAT_WARNING = r"(?i)" + WB + r"W/|WARN"
 LOGCAT_CAPS = {"fatal": 20, "error": 20, "warning": 10}
 LOGCAT_PASS, LOGCAT_RECENT = 20, 10
 
+# --- missing commands ---------------------------------------------------------------------
+#: A whole text that only says so; the same words inside a longer output are no sign.
+NOT_FOUND_TEXT = (r"^\s*(\S+: (line )?(\d+: )?\S+: (command )?not found|zsh: command not found: \S+"
+                  r"|'?[^'\n]+'? is not recognized as [^\n]*(\noperable program or batch file\.)?)\s*$")
+
 # --- tests --------------------------------------------------------------------------------
 TEST_CAP = 20
 PASSED = r"(\d+)\s+passed"

@@ -8,6 +8,8 @@ from capsift import rules as R
 from capsift.functions.text import bigint
 
 _CR = "\r"
+#: Scheme and authority of a qualified path.
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
 
 
 def raw_of(stdout: Column, stderr: Column) -> Column:
@@ -41,6 +43,12 @@ def text_captures(spark: SparkSession, path: str) -> DataFrame:
                         F.replace("value", F.lit(_CR), F.lit("")).alias("raw"))
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The absolute path below scheme and authority, as the path's own file system resolves it."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(root).toUri().getPath()
+
+
 def listing(spark: SparkSession, path: str, show_all: bool = False) -> DataFrame:
     """``path, dir, name, ext, size, modified`` of the files below ``path``.
 
@@ -59,6 +67,6 @@ def listing(spark: SparkSession, path: str, show_all: bool = False) -> DataFrame
         return rows
     noise = F.array(*[F.lit(n) for n in R.NOISE_DIRS])
     # Folders above the root are the caller's choice; only those below it count.
-    root = path.split(":")[-1].rstrip("/")
-    below = F.regexp_replace(F.col("path"), r"^[a-z0-9]*:?/*" + root.lstrip("/").replace(".", r"\.") + "/?", "")
-    return rows.where(~F.arrays_overlap(F.split(below, "/", -1), noise))
+    depth = len([part for part in _qualified(spark, path).split("/") if part])
+    parts = F.filter(F.split(F.regexp_replace("path", _SCHEME, ""), "/", -1), lambda part: part != "")
+    return rows.where(~F.arrays_overlap(F.slice(parts, depth + 1, F.greatest(F.size(parts) - depth, F.lit(0))), noise))

@@ -12,7 +12,10 @@ def append_ledger(rows: DataFrame, path: str) -> None:
 
     Adaptive execution splits a busy day by its measured size and joins quiet ones,
     so writers grow with the data and a quiet day leaves no swarm of small files.
+    Rows need a ``ts``; usage and blocked rows have it where their input does.
     """
+    if "ts" not in rows.columns:
+        raise ValueError("ledger rows need a column ts: give the captures or commands one")
     dated = rows.withColumn("date", F.to_date("ts"))
     dated.hint("rebalance", "date").write.mode("append").partitionBy("date").parquet(path)
 

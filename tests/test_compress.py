@@ -50,3 +50,14 @@ def test_missing_command_is_no_success(spark):
     for name in ("tsc", "ruff", "cargo", "kubectl"):
         found = {r.capture_id: r.filtered for r in compress_with(captures, name).collect()}
         assert found[1] == text and set(found) >= {1}
+    plain = spark.createDataFrame([(1, "x", "sh: 1: tsc: not found"), (2, "x", "a.ts(1,2): error TS1: tool not found\nmore")],
+                                  "capture_id long, command string, raw string")
+    found = {r.capture_id: r.filtered for r in compress_with(plain, "tsc").collect()}
+    assert found[1] == "sh: 1: tsc: not found" and "TS1" in found[2] and found[2] != plain.collect()[1].raw
+    routed = spark.createDataFrame([(1, "make build", text, 127)], "capture_id long, command string, raw string, exit_code int")
+    assert [(r.strategy, r.filtered) for r in compress(routed).collect()] == [("generic", text)]
+
+
+def test_cargo_without_tests_passes(spark, make_captures):
+    raw = "running 0 tests\n\ntest result: ok. 0 passed; 0 failed; 0 ignored"
+    assert compress_with(make_captures((1, "cargo test", raw)), "cargo").first().filtered == "PASSED: 0 tests"

@@ -97,3 +97,38 @@ def test_replayed_lines_count_once(spark, tmp_path):
     plain = spark.createDataFrame(stream_log_templates(lines, dedupe=False).collect(), once.schema)
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, plain.collect()))
     assert both.agg(F.sum("n")).first()[0] > once.agg(F.sum("n")).first()[0]
+
+
+@pytest.mark.parametrize("root", ["a+b/build", "c[1]/build/", "build/x.y"])
+def test_listing_judges_folders_below_the_root(spark, tmp_path, root):
+    """Noise names above the root, and signs of a pattern in it, change nothing."""
+    for name in ("one.txt", "build/two.txt", "sub/three.txt"):
+        path = tmp_path / root / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("x")
+    at = str(tmp_path / root).replace("[", "\\[").replace("]", "\\]")  # the reader takes brackets as a glob
+    assert {r["name"] for r in readers.listing(spark, at).collect()} == {"one.txt", "three.txt"}
+
+
+def test_usage_and_blocked_rows_are_appended(spark, tmp_path):
+    stamp = dt.datetime(2024, 1, 5, 10)
+    runs = spark.createDataFrame([(1, stamp, "ls", "run", "a" * 40, "a")], "capture_id long, ts timestamp, command string, tool string, raw string, filtered string")
+    refused = spark.createDataFrame([(2, stamp, "rm -rf /", False, "no")], "command_id long, ts timestamp, command string, safe boolean, reason string")
+    path = str(tmp_path / "ledger")
+    sinks.append_ledger(ledger.usage_rows(runs), path)
+    sinks.append_ledger(ledger.blocked_rows(refused), path)
+    got = ledger.ledger_summary(spark.read.parquet(path)).first()
+    assert (got.runs, got.blocked_runs, got.raw_tokens) == (2, 1, 10)
+    with pytest.raises(ValueError):
+        sinks.append_ledger(ledger.usage_rows(runs.drop("ts")), path)
+
+
+def test_stream_goes_on_in_its_folder(spark, tmp_path):
+    rows = view(spark, SF_DIR, "v_ledger").withColumn("ts", F.col("ts").cast("timestamp"))
+    source, folder = str(tmp_path / "in"), str(tmp_path / "state")
+    daily = lambda: stream_ledger_daily(read_stream(spark, source + "/"))
+    rows.where("id % 2 = 0").write.parquet(source)
+    run_available(spark, daily(), "t", "complete", folder)
+    rows.where("id % 2 = 1").write.mode("append").parquet(source)
+    got = run_available(spark, daily(), "t", "complete", folder)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, ledger_daily(rows, None).collect()))
