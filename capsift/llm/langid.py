@@ -70,9 +70,11 @@ class Model:
     """Languages and the folded weights: presence bits times ``weights`` over the root of the bits is the margin."""
 
     def __init__(self, languages: list[str], bits: np.ndarray, labels: np.ndarray, landmarks: np.ndarray):
+        """``bits``: packed presence bits, one row per text; only a block of them is unpacked at a time."""
         self.languages = languages
+
         def unit(rows: np.ndarray) -> np.ndarray:
-            dense = bits[rows].astype(np.float32)
+            dense = np.unpackbits(bits[rows], axis=1).astype(np.float32)
             dense /= np.sqrt(np.maximum(dense.sum(1), 1.0))[:, None]
             return dense
 
@@ -113,7 +115,7 @@ def fit(df: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     rows = sorted(zip(*(rows.column(c).to_pylist() for c in ("lang", "text_key", "bits"))))
     languages = sorted({lang for lang, _, _ in rows})
     labels = np.array([languages.index(lang) for lang, _, _ in rows])
-    bits = np.unpackbits(np.frombuffer(b"".join(b for _, _, b in rows), np.uint8).reshape(len(rows), -1), axis=1).astype(bool)
+    bits = np.frombuffer(b"".join(b for _, _, b in rows), np.uint8).reshape(len(rows), -1)
     each = max(1, LANDMARKS // len(languages))
     landmarks = np.concatenate([np.flatnonzero(labels == k)[:each] for k in range(len(languages))])
     return Model(languages, bits, labels, landmarks)
