@@ -1,13 +1,15 @@
-r"""License scans: MinHash bands over overlapping word windows, then exact containment; no Python.
+r"""License scans: MinHash sketches over overlapping word windows, then exact containment; no Python.
 
 Words are runs of ``[a-z0-9]`` after ASCII lower-casing, shingles five words.  Windows
 are two strides long and overlap by one, a stride being the longest template, so every
 copy of a template lies whole in some window.  A window is reduced to the shingles that
-occur in any template (all others can only dilute it), and windows that keep none are
-gone before the first shuffle.  32 bands of one row find a window that shares the part
-``j`` of its shingles with a template with probability ``1 - (1 - j) ** 32``: over 0.999
-from j = 0.2 on, where up to four more templates crowd the same window.  Retrieved pairs
-are verified by counting the template's distinct shingles in the window.
+occur in any template, and windows that keep none are gone before the first shuffle.
+
+A template's sketch is its bottom MinHash values: the smallest of its shingle hashes, one
+more than a match may lack.  So a window with enough of the template holds one of them,
+whatever else it holds: no match is missed, however short the template and however
+crowded its window.  Retrieved pairs are verified by counting the template's distinct
+shingles in the window.
 
 Defined cases: a null or wordless text matches nothing, templates under five words can't
 be matched, rows that repeat id and text count once, ties go to the earliest window.
@@ -21,7 +23,6 @@ from pyspark.sql import functions as F
 from capsift.llm.common import ascii_lower, scratch, stored
 
 SHINGLE = 5
-BANDS = 32
 MIN_CONTAINMENT = 0.8
 
 # FIXED VALUES: sentences of public license notices, by SPDX-like name.
@@ -61,13 +62,12 @@ def shingles_of(text: Column) -> Column:
     return once(F.transform(words(text), lambda w: F.xxhash64(w)), shingle_hashes)
 
 
-def bands_of(shingle: str, bands: int) -> list[Column]:
-    return [F.min(F.xxhash64(shingle, F.lit(b))).alias(f"b{b}") for b in range(bands)]
-
-
-def banded(signatures: DataFrame, bands: int) -> DataFrame:
-    kept = [c for c in signatures.columns if not c.startswith("b") or not c[1:].isdigit()]
-    return signatures.select(*kept, F.posexplode(F.array(*[f"b{b}" for b in range(bands)])).alias("band", "value"))
+def sketches(shingles: DataFrame, min_containment: float) -> DataFrame:
+    """``license, shingle``: the smallest hashes of each template, one more than a window that contains enough of it can lack."""
+    whole = shingles.groupBy("license").agg(F.array_sort(F.collect_set("shingle")).alias("whole"))
+    n = F.size("whole")
+    lacking = n - F.floor(n * F.lit(float(min_containment))).cast("int")  # rounded up, so that no match is missed
+    return whole.select("license", F.explode(F.slice("whole", F.lit(1), F.greatest(lacking, F.lit(0)) + 1)).alias("shingle"))
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> tuple[DataFrame, int]:
@@ -78,8 +78,7 @@ def template_table(spark: SparkSession, templates: dict[str, str]) -> tuple[Data
     return shingles, longest or SHINGLE
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, bands: int = BANDS,
-         min_containment: float = MIN_CONTAINMENT) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_containment: float = MIN_CONTAINMENT) -> DataFrame:
     """``doc_id, license, n_matched, n_shingles, containment, first_word``: the best window per document and license."""
     spark, folder = docs.sparkSession, scratch(docs.sparkSession)
     shingles, stride = template_table(spark, TEMPLATES if templates is None else templates)
@@ -93,9 +92,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, bands: int =
     windows = stored(windows, folder, "windows")
     key = ["doc_id", "text_key", "window"]
 
-    signatures = banded(windows.groupBy(*key).agg(*bands_of("shingle", bands)), bands)
-    wanted = banded(shingles.groupBy("license").agg(*bands_of("shingle", bands)), bands)
-    retrieved = signatures.join(wanted, ["band", "value"]).select(*key, "license").distinct()
+    retrieved = windows.join(sketches(shingles, min_containment), "shingle").select(*key, "license").distinct()
 
     sizes = shingles.groupBy("license").agg(F.count("*").alias("n_shingles"))
     counted = (windows.join(shingles, "shingle").groupBy(*key, "license")

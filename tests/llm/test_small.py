@@ -66,6 +66,22 @@ def test_licenses(spark, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_short_license_beside_every_long_one_at_every_offset(spark):
+    mit, rows = licenses.TEMPLATES["mit"], []
+    for name, long in sorted(licenses.TEMPLATES.items()):
+        for offset in range(60):
+            rows += [(len(rows) + side, "x " * offset + pair, name, None, 0) for side, pair in enumerate((f"{mit} {long}", f"{long} {mit}"))]
+    found = {(r.doc_id, r.license): r for r in licenses.scan(spark.createDataFrame(rows, DOCS).repartition(8)).collect()}
+    assert all(found[i, "mit"].containment == 1 and found[i, name].containment == 1 for i, _, name, _, _ in rows)
+
+
+def test_license_sketches_reach_every_match(spark):
+    template = " ".join(f"w{i}" for i in range(44))  # 40 shingles, of which a match may lack 8
+    rows = [(i, " ".join(f"w{j}" for j in range(i, 36 + i)), None, None, 0) for i in range(9)] + [(9, " ".join(f"w{j}" for j in range(35)), None, None, 0)]
+    found = licenses.scan(spark.createDataFrame(rows, DOCS), {"long": template}).collect()
+    assert {r.doc_id: r.n_matched for r in found} == dict.fromkeys(range(9), 32)
+
+
 # --- SimHash --------------------------------------------------------------------------
 def plain_fingerprint(text):
     words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
