@@ -211,7 +211,10 @@ def neighbours(distinct: DataFrame, folder: str, reach: int = DISTANCE) -> DataF
 
 
 def near_duplicates(docs: DataFrame, reach: int = DISTANCE) -> DataFrame:
-    """``doc_id, text_key, fp, component_id``: the smallest id that chained links reach."""
+    """``doc_id, text_key, fp, root, component_id``: the smallest fingerprint and the smallest id that chained links reach.
+
+    The root tells components apart; ids may be null or repeated in several of them.
+    """
     folder = scratch(docs.sparkSession)
     hashed = stored(fingerprints(docs), folder, "fingerprints")
     distinct = stored(hashed.groupBy("fp").agg(F.min("doc_id").alias("first_id")), folder, "distinct")
@@ -219,8 +222,8 @@ def near_duplicates(docs: DataFrame, reach: int = DISTANCE) -> DataFrame:
     rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     rooted = stored(rooted, folder, "rooted")
     smallest = stored(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), folder, "smallest")
-    named = stored(rooted.join(smallest, "root").select("fp", "component_id"), folder, "named")
-    return hashed.join(named, "fp").select("doc_id", "text_key", "fp", "component_id")
+    named = stored(rooted.join(smallest, "root").select("fp", "root", "component_id"), folder, "named")
+    return hashed.join(named, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -24,13 +24,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one whose id names it; of repeated rows of that id one.
+    """One document of each group: the one with the smallest id, without any id the one with the smallest text hash.
 
-    The choice is made on ids and text hashes; the documents are shuffled once, by both.
+    The choice is made on ids and text hashes, per group and not per id, as ids may be null or
+    repeated; the documents are shuffled once, by both.
     """
     named = lambda doc_id: F.coalesce(doc_id.cast("string"), F.lit("none"))
     groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    firsts = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(named(F.col("doc_id")).alias("id_key")).agg(F.min("text_key").alias("text_key"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("first")
+    firsts = groups.groupBy("root").agg(first).select(named(F.col("first.doc_id")).alias("id_key"), "first.text_key")
     rows = packed(docs, id_key=named(F.col("doc_id")), text_key=F.xxhash64("text"))
     return unpacked(rows.join(firsts, ["id_key", "text_key"]).dropDuplicates(["id_key", "text_key"]), docs.columns)
 
