@@ -12,14 +12,11 @@ from pyspark.sql import functions as F
 from capsift.llm import decontaminate, langid, mixing, repeats, simhash
 from capsift.llm.common import packed, scratch, stored, table, unpacked
 
-#: Language ID rejects texts without a letter, and texts that no language's model comes near.
-MIN_LANGUAGE_SCORE = 0.2
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model knows."""
-    rows = langid.identify(packed(docs, doc_id=F.col("doc_id"), text=F.col("text"), lang=F.col("lang")).select("doc", "doc_id", "text", "lang"))
-    kept = rows.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE))
+    """Documents in a language that the model knows; rejects texts without a letter, and texts that come near no language."""
+    rows = langid.identify(packed(docs, doc_id=F.col("doc_id"), text=F.col("text"), lang=F.col("lang")).select("doc", "doc_id", "text", "lang"), near=True)
+    kept = rows.filter((F.col("lang_pred") != langid.UNKNOWN) & F.col("near"))
     return unpacked(kept, docs.columns)
 
 
