@@ -13,8 +13,8 @@ case).  The model uses bins that occur in ``MIN_TEXTS`` positives, more often th
 unlabelled by ``MIN_Z`` standard errors, and whose texts the class prior makes toxic more
 often than not (``prior * share of positives / share of unlabelled``, the estimate that
 needs no negatives): other words are too rare or too common to learn from.  The fit takes at most about ``POSITIVES`` distinct
-toxic and ``UNLABELLED`` distinct other texts, chosen by the hash of the text; of a text
-with more than ``FEATURES`` distinct bins the fit (never the score) takes that many.
+toxic and ``UNLABELLED`` distinct other texts, chosen by the hash of the text, and all
+bins of each: as numbers or, where that is shorter, as one bit per bin (at most 32 KB).
 The prior is the toxic share of the labelled rows that may be learned from.
 
 Defined cases: null and empty texts score by the bias alone; rows labelled both ways
@@ -23,6 +23,8 @@ count as toxic; null labels are unlabelled; without a toxic example every score
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +36,6 @@ from capsift.llm.common import BLOCK_BYTES, blocks, crc_remainder, distinct_text
 BITS = 18
 BINS = 1 << BITS
 POSITIVES, UNLABELLED = 4_000, 12_000
-FEATURES = 16_384
 PREFIXES = (4, 5, 6)
 MIN_Z, MIN_TEXTS = 6.0, 5
 STEPS, BATCH, RATE = 2_000, 1_024, 0.05
@@ -110,10 +111,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def telling(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> np.ndarray:
+def telling(positives: Collection[np.ndarray], unlabelled: Collection[np.ndarray], prior: float) -> np.ndarray:
     """Which bins the model uses."""
     n_p, n_u = len(positives), len(unlabelled)
-    p, u = (np.bincount(np.concatenate(rows), minlength=BINS) for rows in (positives, unlabelled))
+    p, u = np.zeros(BINS, np.int64), np.zeros(BINS, np.int64)
+    for total, rows in ((p, positives), (u, unlabelled)):
+        for row in rows:  # of distinct bins
+            total[row] += 1
     both, p_share, u_share = (p + u) / (n_p + n_u), p / n_p, u / n_u
     error = np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n_p + 1 / n_u))
     return (p >= MIN_TEXTS) & (p_share - u_share >= MIN_Z * error) & (2 * prior * p_share >= u_share)
@@ -138,7 +142,7 @@ class _Rows:
         return row, self.bins[np.repeat(self.starts[chosen], sizes) + within]
 
 
-def train(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int = 7) -> Model:
+def train(positives: Collection[np.ndarray], unlabelled: Collection[np.ndarray], prior: float, seed: int = 7) -> Model:
     """Minimises the non-negative risk with the sigmoid loss by Adam steps on mini-batches."""
     rng = np.random.default_rng(seed)
     used = telling(positives, unlabelled, prior)
@@ -172,7 +176,30 @@ def train(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: floa
     return Model(whole, bias)
 
 
-def _bins_of(df: DataFrame) -> list[np.ndarray]:
+def encoded(bins: np.ndarray) -> bytes:
+    """Distinct bins, in at most ``BINS / 8`` bytes."""
+    if len(bins) * 4 < BINS // 8:
+        return bins.astype(np.int32).tobytes()
+    held = np.zeros(BINS, bool)
+    held[bins] = True
+    return np.packbits(held).tobytes()
+
+
+class Encoded:
+    """Rows of bins, decoded one at a time."""
+
+    def __init__(self, rows: list[bytes]):
+        self.rows = rows
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __iter__(self):
+        for row in self.rows:
+            yield np.frombuffer(row, np.int32) if len(row) < BINS // 8 else np.flatnonzero(np.unpackbits(np.frombuffer(row, np.uint8)))
+
+
+def _bins_of(df: DataFrame) -> Encoded:
     """Bins of the distinct sampled texts, in the order of their keys."""
     def features(batches):
         for batch in batches:
@@ -180,13 +207,13 @@ def _bins_of(df: DataFrame) -> list[np.ndarray]:
             rows = []
             for a, b, pairs in distinct_bins(data, offsets):
                 parts = np.split(pairs & (BINS - 1), np.searchsorted(pairs >> BITS, np.arange(1, b - a)))
-                rows += [part[:FEATURES].astype(np.int32).tobytes() for part in parts]
+                rows += map(encoded, parts)
             yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(rows, pa.binary())], ["text_key", "bins"])
 
     found = df.select("text_key", "text").mapInArrow(features, "text_key long, bins binary")
     rows = found.groupBy("text_key").agg(F.first("bins").alias("bins")).toArrow()
     pairs = sorted(zip(rows.column("text_key").to_pylist(), rows.column("bins").to_pylist()))
-    return [np.frombuffer(b, np.int32) for _, b in pairs]
+    return Encoded([b for _, b in pairs])
 
 
 def held_out(doc_id):

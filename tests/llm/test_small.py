@@ -307,3 +307,13 @@ def test_word_bins_match_whole_and_in_pieces(monkeypatch):
     whole = next(toxicity.distinct_bins(data, offsets))[2]
     monkeypatch.setattr(toxicity, "BLOCK_BYTES", 16)
     assert np.array_equal(whole, next(toxicity.distinct_bins(data, offsets))[2])
+
+
+def test_the_fit_takes_all_bins_of_a_text(spark):
+    texts = [" ".join(f"{i:x}q" for i in range(n)) for n in (5, 3_000, 60_000)] + [""]
+    got = toxicity._bins_of(spark.createDataFrame(list(enumerate(texts)), "text_key long, text string"))
+    assert len(got) == len(texts)
+    for text, bins in zip(texts, got):
+        data = np.frombuffer(text.encode(), np.uint8)
+        assert np.array_equal(bins, np.unique(toxicity.word_bins(data, np.array([0, len(data)]))[1]))
+    assert max(map(len, got)) > 16_384
