@@ -57,7 +57,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-ORACLE_SQL = None  # kernels, fingerprints and suffixes are beyond SQL; tests compare with brute force
+ORACLE_SQL = None  # kernels, fingerprints and suffixes are beyond SQL; tests compare the first two stages with known rows
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
