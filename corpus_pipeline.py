@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from capsift.llm import decontaminate, langid, mixing, repeats, simhash
 from capsift.llm.common import packed, scratch, stored, table, unpacked
 
+#: Bytes from which on a repeated passage goes: some 50 words of five bytes.  Near copies are
+#: gone before, so that what repeats is shorter than the 400 bytes that ``op7`` reports on.
+REPEAT_BYTES = 250
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows; rejects texts without a letter, and texts that come near no language."""
@@ -35,8 +39,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the long passages that repeat."""
-    return repeats.drop_repeats(docs)
+    """Documents without the passages of ``REPEAT_BYTES`` or more that repeat."""
+    return repeats.drop_repeats(docs, REPEAT_BYTES)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
