@@ -165,8 +165,9 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without those in which an item's window occurs."""
-    return find(docs, benchmark, **options).filter(F.size("items") == 0).select(*docs.columns)
+    """``docs`` without those in which an item's window occurs; passages of items without an id count as well."""
+    named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
+    return find(docs, named, **options).filter(F.size("items") == 0).select(*docs.columns)
 
 
 def drop_spans(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
