@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from capsift.llm import chat, decontaminate, langid, licenses, mixing, repair, repeats, simhash, tokens, topk, toxicity
+from capsift.llm import chat, decontaminate, langid, licenses, mixing, ranked, repair, repeats, simhash, tokens, topk, toxicity
 from capsift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+@query("op11_ranked_search", ranked.ORACLE)
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op12_structure_repair", repair.ORACLE)
 def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.report(repair.damage(table(spark, sf_dir, "conversations")))
