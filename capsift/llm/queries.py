@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from capsift.llm import chat, decontaminate, langid, licenses, mixing, ranked, repair, repeats, simhash, tokens, topk, toxicity
+from capsift.llm import chat, decontaminate, langid, licenses, mixing, quality, ranked, repair, repeats, simhash, tokens, topk, toxicity
 from capsift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_structure_repair", repair.ORACLE)
 def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.report(repair.damage(table(spark, sf_dir, "conversations")))
+
+
+@query("op13_quality")
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
