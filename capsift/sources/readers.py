@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from capsift import rules as R
 from capsift.functions.text import bigint
+from capsift.sources.tree import tree
 
 _CR = "\r"
-#: Scheme and authority of a qualified path.
-_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
 
 
 def raw_of(stdout: Column, stderr: Column) -> Column:
@@ -33,40 +32,29 @@ def read_captures(spark: SparkSession, path: str, fmt: str = "parquet", schema:
 
 
 def text_captures(spark: SparkSession, path: str) -> DataFrame:
-    """One capture per text file below ``path``; the id is a hash of the path.
+    """One capture per text file below ``path``, empty files too; the id is a hash of the path.
 
-    Spark's file sources skip files of zero bytes, so those give no row.
+    Names that begin with ``.`` or ``_`` are left out, as Spark's readers do.
     """
     files = (spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
              .select(F.col("_metadata.file_path").alias("path"), F.col("value")))
-    return files.select(F.xxhash64("path").alias("capture_id"), "path",
-                        F.replace("value", F.lit(_CR), F.lit("")).alias("raw"))
+    inside = F.substring(F.col("path"), F.length("root") + 1, F.length("path"))
+    empty = (tree(spark, path).where(~F.col("is_dir") & (F.col("size") == 0) & ~inside.rlike("(^|/)[._]"))
+             .select(F.col("uri").alias("path"), F.lit("").alias("value")))
+    return files.unionByName(empty).select(F.xxhash64("path").alias("capture_id"), "path",
+                                           F.replace("value", F.lit(_CR), F.lit("")).alias("raw"))
 
 
-def _qualified(spark: SparkSession, path: str) -> str:
-    """The absolute path below scheme and authority, as the path's own file system resolves it."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(root).toUri().getPath()
+def listing(spark: SparkSession, path: str, show_all: bool = False, folders: bool = False) -> DataFrame:
+    """``path, dir, name, ext, size, is_dir, modified`` of the files below ``path``, hidden and empty ones too.
 
-
-def listing(spark: SparkSession, path: str, show_all: bool = False) -> DataFrame:
-    """``path, dir, name, ext, size, modified`` of the files below ``path``.
-
-    Only file metadata is read: the content column is pruned from the scan.
-    Spark's file sources skip files of zero bytes, so those are not listed.
+    ``folders`` lists folders as well, with ``is_dir`` and no ``ext``.  Noise folders below the
+    root (never the root itself) are not even opened.  No file content is read.
     """
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-             .select("path", "length", "modificationTime"))
+    rows = tree(spark, path, () if show_all else R.NOISE_DIRS)
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     ext = F.regexp_extract(name, r"(\.[^.]*)$", 1)
-    rows = files.select(
+    return (rows if folders else rows.where(~F.col("is_dir"))).select(
         "path", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir"), name.alias("name"),
-        F.when(ext == "", "no ext").otherwise(ext).alias("ext"), bigint("length").alias("size"),
-        F.lit(False).alias("is_dir"), F.col("modificationTime").alias("modified"))
-    if show_all:
-        return rows
-    noise = F.array(*[F.lit(n) for n in R.NOISE_DIRS])
-    # Folders above the root are the caller's choice; only those below it count.
-    depth = len([part for part in _qualified(spark, path).split("/") if part])
-    parts = F.filter(F.split(F.regexp_replace("path", _SCHEME, ""), "/", -1), lambda part: part != "")
-    return rows.where(~F.arrays_overlap(F.slice(parts, depth + 1, F.greatest(F.size(parts) - depth, F.lit(0))), noise))
+        F.when(~F.col("is_dir"), F.when(ext == "", "no ext").otherwise(ext)).alias("ext"), bigint("size").alias("size"),
+        "is_dir", "modified")
