@@ -28,6 +28,14 @@ def route_strategy(captures: DataFrame) -> DataFrame:
     return rows.withColumn("strategy", strategy_of_normal(F.col("_cmd"), F.coalesce("raw", F.lit("")))).drop("_cmd")
 
 
+def reader_of(command: Column) -> Column:
+    """The reader that belongs to the tool a command runs; null where none does."""
+    cmd, out = trim_ws(command), F
+    for reader, pattern in R.TOOL_READERS:
+        out = out.when(cmd.rlike(pattern), reader)
+    return out
+
+
 def route_tool(commands: DataFrame) -> DataFrame:
     """Dedicated handler of a shell command with its remaining arguments.
 

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Mapping
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from capsift import rules as R
 from capsift.functions.text import savings_pct, token_estimate
-from capsift.operators import compact, render
-from capsift.operators.route import route_strategy
-from capsift.session import durable_dir
+from capsift.operators import cells, compact
+from capsift.operators.route import reader_of, route_strategy
 
 Strategy = Callable[[DataFrame], DataFrame]
 
@@ -25,40 +22,31 @@ def narrow(text: compact.Text) -> Strategy:
     return apply
 
 
-def _git_log(captures: DataFrame) -> DataFrame:
-    marked = F.col("raw").contains(R.LOG_BLOCK_END)
-    plain = render.history_text(captures.where(~marked))
-    return narrow(compact.git_log_blocks)(captures.where(marked)).select(*plain.columns).unionByName(plain)
-
-
-#: Routed strategies that are column expressions over one cell: no shuffle.
+#: What the router chooses from; a column expression over one cell each.
 NARROW: dict[str, compact.Text] = {
-    "git-status": compact.git_status, "git-simple": compact.git_simple, "gradle": compact.gradle,
-    "logcat": compact.logcat, "adb-devices": compact.adb_devices, "adb-install": compact.adb_install,
-    "test": compact.test_generic, "build": compact.build, "docker": compact.docker, "json": compact.json,
-    "generic": compact.generic, "passthrough": compact.passthrough,
-}
-
-#: Routed strategies that group lines and so need a shuffle.
-GROUPED: dict[str, Strategy] = {
-    "git-log": _git_log, "git-diff": render.git_diff_text, "gradle-tasks": render.tasks_text,
-    "ls": render.ls_text, "find": render.find_text, "grep": render.grep_text, "logs": render.log_text,
+    "git-status": compact.git_status, "git-log": cells.git_log, "git-diff": cells.git_diff, "git-simple": compact.git_simple,
+    "gradle-tasks": cells.tasks, "gradle": compact.gradle, "logcat": compact.logcat, "adb-devices": compact.adb_devices,
+    "adb-install": compact.adb_install, "test": compact.test_generic, "build": compact.build, "ls": cells.ls, "find": cells.find,
+    "grep": cells.grep, "docker": cells.docker, "logs": cells.logs, "json": compact.json, "generic": compact.generic,
+    "passthrough": compact.passthrough,
 }
 
-#: Formats with a dedicated reader, chosen by the caller and not by the router.
-DEDICATED: dict[str, Strategy] = {
-    **{fmt: render.runner_text(fmt) for fmt in ("cargo", "pytest", "go", "vitest", "playwright")},
-    "tsc": render.tsc_text, "lint": render.lint_text, "ruff": render.ruff_text, "golangci": render.golangci_text,
-    "diff": render.diff_text,
-    **{name: narrow(text) for name, text in {
-        "next": compact.next_build, "prettier": compact.prettier, "npm": compact.npm, "pnpm": compact.pnpm,
-        "pip": compact.pip, "prisma": compact.prisma, "docker-images": compact.docker_images,
-        "kubectl": compact.kubectl, "gh": compact.gh, "curl": compact.curl, "env": compact.env,
-        "summary": compact.summary, "read": compact.read, "read-head": compact.read_start,
-        "read-signatures": compact.read_signatures}.items()},
+#: Routed strategies that need a shuffle: none.  Strategies of a caller's own may.
+GROUPED: dict[str, Strategy] = {}
+
+#: Formats with a reader of their own, chosen by the tool or by the caller.
+DEDICATED: dict[str, compact.Text] = {
+    "cargo": cells.cargo, "pytest": cells.pytest, "go": cells.go, "vitest": cells.vitest, "playwright": cells.playwright,
+    "tsc": cells.tsc, "lint": cells.lint, "ruff": cells.ruff, "golangci": cells.golangci, "diff": cells.diff,
+    "next": compact.next_build, "prettier": compact.prettier, "npm": compact.npm, "pnpm": compact.pnpm,
+    "pip": compact.pip, "prisma": compact.prisma, "docker-images": compact.docker_images,
+    "kubectl": cells.kubectl, "gh": compact.gh, "curl": compact.curl, "env": compact.env,
+    "summary": compact.summary, "read": compact.read, "read-head": compact.read_start,
+    "read-signatures": compact.read_signatures,
 }
 
-STRATEGIES: dict[str, Strategy] = {**{name: narrow(text) for name, text in NARROW.items()}, **GROUPED, **DEDICATED}
+READERS: dict[str, compact.Text] = {**NARROW, **DEDICATED}
+STRATEGIES: dict[str, Strategy] = {name: narrow(text) for name, text in READERS.items()}
 
 #: A command that was not found printed no output of its own format.
 NOT_FOUND = 127
@@ -83,10 +71,20 @@ def compress_with(captures: DataFrame, strategy: str | Strategy) -> DataFrame:
     return kept.unionByName(STRATEGIES["generic"](captures.where(missing)).select("capture_id", "filtered"))
 
 
-def routed_captures(captures: DataFrame) -> DataFrame:
-    """``capture_id, command, raw, strategy, raw_tokens``."""
+def routed_captures(captures: DataFrame, by: str = "command") -> DataFrame:
+    """``capture_id, command, raw, strategy, raw_tokens``.
+
+    ``by="command"`` takes the router's 19 strategies; ``by="tool"`` the reader that the
+    capture's ``tool`` names, else the one that belongs to its command, else the router's.
+    """
     routed = route_strategy(captures.withColumn("raw", F.coalesce("raw", F.lit(""))))
-    routed = routed.withColumn("strategy", F.when(not_found(routed), "generic").otherwise(F.col("strategy")))
+    chosen = F.col("strategy")
+    if by == "tool":
+        named = F.when(F.col("tool").isin(*READERS), F.col("tool")) if "tool" in captures.columns else F.lit(None).cast("string")
+        chosen = F.coalesce(named, reader_of(F.col("command")), chosen)
+    elif by != "command":
+        raise ValueError("by is 'command' or 'tool'")
+    routed = routed.withColumn("strategy", F.when(not_found(routed), "generic").otherwise(chosen))
     return routed.select("capture_id", "command", "raw", "strategy", token_estimate(F.col("raw")).alias("raw_tokens"))
 
 
@@ -105,42 +103,19 @@ def _measured(texts: DataFrame) -> DataFrame:
                       savings_pct(F.col("raw_tokens"), F.col("filtered_tokens")).alias("savings_pct"))
 
 
-def compress(captures: DataFrame, extra: Mapping[str, Strategy] | None = None, parallel: int = 8) -> DataFrame:
+def compress(captures: DataFrame, extra: Mapping[str, Strategy] | None = None, by: str = "command") -> DataFrame:
     """``capture_id, strategy, filtered, raw_tokens, filtered_tokens, savings_pct``.
 
-    ``captures`` holds ``capture_id, command, raw``.  Narrow strategies run in
-    one scan.  The captures that need grouping are written once, partitioned by
-    strategy, so that each grouping strategy reads its own part of them and not
-    the whole input again.  Results are written to the shared folder: a lost
-    executor repeats one strategy's tasks at most.  ``extra`` adds or replaces
-    grouping strategies.
+    ``captures`` holds ``capture_id, command, raw`` (and ``tool``, which ``by="tool"`` reads).
+    All readers run in one scan without a shuffle.  ``extra`` adds strategies of the caller's
+    own or puts them in place of others; each of these scans the input once more.
     """
-    spark = captures.sparkSession
-    base = f"{durable_dir(spark)}/compress-{uuid.uuid4().hex[:12]}"
-    staged = f"{base}/staged"
-    grouped = {**GROUPED, **(extra or {})}
-    routed = routed_captures(captures)
-
-    part = routed.where(F.col("strategy").isin(*grouped))
-    # Files of a useful size per strategy: the rebalance splits large ones.
-    part.hint("rebalance", "strategy").write.partitionBy("strategy").parquet(staged)
-    schema = _measured(narrow_texts(routed)).schema
-
-    jobs = {"narrow": narrow_texts(routed)}
-    parts = spark.read.schema(routed.schema).parquet(staged)
-    names = sorted(row[0] for row in parts.select("strategy").distinct().collect())  # folder names: one per strategy
-    jobs |= {name: grouped[name](parts.where(F.col("strategy") == name)) for name in names}
-
-    def save(name: str) -> str:
-        # One folder per job: jobs that share one would clear each other's pending files.
-        path = f"{base}/texts/{name}"
-        _measured(jobs[name]).write.parquet(path)
-        return path
-
-    # The jobs are independent; submitting a few at once fills idle executors.
-    with ThreadPoolExecutor(parallel) as pool:
-        paths = list(pool.map(save, jobs))
-    return spark.read.schema(schema).parquet(*paths)
+    routed, extra = routed_captures(captures, by), extra or {}
+    texts = READERS if by == "tool" else NARROW
+    found = narrow_texts(routed, {name: text for name, text in texts.items() if name not in extra})
+    for name, strategy in extra.items():
+        found = found.unionByName(strategy(routed.where(F.col("strategy") == name)).select(*found.columns))
+    return _measured(found)
 
 
 def with_header(compressed: DataFrame, exit_code: str = "exit_code") -> DataFrame:

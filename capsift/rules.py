@@ -79,6 +79,45 @@ HANDLERS = (
     ("find", r"^(find|fd)\s+", r"^(find|fd)\s+"),
     ("json", r"^cat\s+.*\.json", r"^cat\s+"),
 )
+#: (reader, pattern that selects it): first match wins, command trimmed
+TOOL_READERS = (
+    ("git-status", r"^git\s+status"),
+    ("git-log", r"^git\s+log"),
+    ("git-diff", r"^git\s+diff"),
+    ("git-simple", r"^git\s+(add|commit|push|pull)"),
+    ("cargo", r"^cargo\s+test"),
+    ("build", r"^cargo\s+(build|clippy)"),
+    ("pytest", r"^pytest(\s|$)"),
+    ("go", r"^go\s+test"),
+    ("build", r"^go\s+(build|vet)"),
+    ("npm", r"^npm\s+(run|install|ci)"),
+    ("pnpm", r"^pnpm\s+"),
+    ("tsc", r"^(npx\s+)?tsc(\s|$)"),
+    ("lint", r"^(npx\s+)?(eslint|biome)\s+"),
+    ("ruff", r"^ruff\s+(check|format)"),
+    ("golangci", r"^golangci-lint\s+"),
+    ("docker", r"^docker\s+ps"),
+    ("docker-images", r"^docker\s+images"),
+    ("logs", r"^docker\s+logs"),
+    ("logs", r"^kubectl\s+logs"),
+    ("kubectl", r"^kubectl\s+(get|describe)"),
+    ("gh", r"^gh\s+(pr|issue|run)\s+(list|view)"),
+    ("ls", r"^(ls|dir)(\s|$)"),
+    ("grep", r"^(grep|rg)\s+"),
+    ("find", r"^(find|fd)\s+"),
+    ("json", r"^cat\s+.*\.json"),
+    ("vitest", r"^npx\s+vitest(\s|$)"),
+    ("playwright", r"^npx\s+playwright(\s|$)"),
+    ("next", r"^(npx\s+)?next\s"),
+    ("prettier", r"^(npx\s+)?prettier\s"),
+    ("pip", r"^pip3?\s"),
+    ("prisma", r"^(npx\s+)?prisma\s"),
+    ("curl", r"^curl\s"),
+    ("env", r"^(env|printenv)(\s|$)"),
+    ("diff", r"^diff\s"),
+)
+#: the command whose output is a log; the tool's name goes in
+LOGS_OF = r"^\s*(%s\s+)?(-\S+[\s=]+\S+\s+)*logs(\s|$)"
 GREP_ARGS = r"""(?:grep|rg)\s+(?:-\S+\s+)*["']?([^"'\s]+)["']?\s*(.*)"""
 
 # --- command audit ---------------------------------------------------------------
