@@ -15,7 +15,8 @@ over several groups by the hash of the class.  Its segments are first cut to the
 what stands before the anchor (read backwards) and after it is sorted over the cluster, and
 the longest prefix that a side shares with a neighbour bounds every window that can be
 repeated.  Windows within reach that a group found alone are compared across the groups by
-their content hash, counted in a plain aggregate.  No key gathers all its rows in one task.
+their content hash, counted in a plain aggregate (64 bits, so two unlike windows among a billion
+would be taken for equal with a chance of some 3 percent).  No key gathers all its rows in one task.
 
 Rows of equal id and text count as separate documents and get equal results.  Null texts
 are empty.  Texts shorter than ``MIN_LEN`` bytes have no window and keep every byte.
