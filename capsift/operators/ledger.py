@@ -27,10 +27,21 @@ def usage_rows(compressed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def capture_savings(compressed: DataFrame, captures: DataFrame) -> DataFrame:
-    """Ledger rows from ``compressed`` (token counts) joined to their captures."""
-    return compressed.join(captures.select("capture_id", "command", "tool"), "capture_id").select(
-        F.col("capture_id").alias("id"), F.col("command").alias("raw_cmd"), "tool", "strategy",
-        *usage_columns(F.col("raw_tokens"), F.col("filtered_tokens")))
+    """Ledger rows from ``compressed`` (token counts) joined to their captures, ready to be appended."""
+    about = captures.select("capture_id", *_dated(captures), "command", "tool")
+    return compressed.select("capture_id", "strategy", "raw_tokens", "filtered_tokens").join(about, "capture_id").select(
+        F.col("capture_id").alias("id"), *_dated(about), F.col("command").alias("raw_cmd"), "tool", "strategy",
+        *usage_columns(F.col("raw_tokens"), F.col("filtered_tokens")),
+        F.lit(False).alias("blocked"), F.lit(None).cast("string").alias("block_reason"))
+
+
+def beside_published(savings: DataFrame) -> DataFrame:
+    """Savings per strategy with the published range and whether its lower end is reached."""
+    low, high = F, F
+    for name, (least, most) in R.SAVINGS_BANDS.items():
+        low, high = low.when(F.col("strategy") == name, least), high.when(F.col("strategy") == name, most)
+    return savings.select("*", bigint(low).alias("published_low"), bigint(high).alias("published_high"),
+                          (F.col("pct") >= low).alias("reaches"))
 
 
 def blocked_rows(verdicts: DataFrame, id_col: str = "command_id") -> DataFrame:

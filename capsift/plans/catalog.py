@@ -24,4 +24,4 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def load() -> None:
     """Imports the modules that fill the catalogue."""
     from capsift.plans import (  # noqa: F401
-        q_audit, q_builds, q_compress, q_cuts, q_git, q_json, q_ledger, q_lists, q_logs, q_noise)
+        q_audit, q_builds, q_compress, q_cuts, q_git, q_json, q_ledger, q_lists, q_logs, q_noise, q_tools)

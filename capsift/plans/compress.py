@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -88,11 +89,17 @@ def routed_captures(captures: DataFrame, by: str = "command") -> DataFrame:
     return routed.select("capture_id", "command", "raw", "strategy", token_estimate(F.col("raw")).alias("raw_tokens"))
 
 
+@lru_cache(maxsize=256)
+def _text(fn: compact.Text, gateway: int) -> Column:
+    """A reader's expression; putting one together takes a thousand calls to the JVM, so each is made once."""
+    return fn(F.col("raw"), F.col("command"))
+
+
 def narrow_texts(routed: DataFrame, texts: Mapping[str, compact.Text] = NARROW) -> DataFrame:
     """All narrow strategies in one scan: one CASE, whose taken branch alone runs."""
-    text = F
+    text, gateway = F, id(routed.sparkSession.sparkContext._gateway)
     for name, fn in texts.items():
-        text = text.when(F.col("strategy") == name, fn(F.col("raw"), F.col("command")))
+        text = text.when(F.col("strategy") == name, _text(fn, gateway))
     rows = routed.where(F.col("strategy").isin(*texts))
     return rows.select("capture_id", "strategy", "raw_tokens", text.alias("filtered"))
 

@@ -2,7 +2,7 @@
 
 The tables hold no tool output, so operators that parse a tool's format read
 text composed from table rows.  Each view is one SELECT that Spark and a plain
-SQL engine evaluate alike; ``{TS}``, ``{K}`` and ``{DOC_LINES}`` mark the few
+SQL engine evaluate alike; ``{TS}``, ``{K}``, ``{JOINED}`` and ``{DOC_LINES}`` mark the few
 spots that need one spelling per engine.
 """
 
@@ -18,12 +18,14 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 _SPELLING = {
     "spark": {
         "{TS}": "date_format(ts, 'yyyy-MM-dd HH:mm:ss')",
+        "{JOINED}": "array_join(transform(array_sort(collect_list(struct(line_no, line))), x -> x.line), chr(10))",
         "{K}": "lateral view explode(array(0, 1, 2, 3, 4, 5, 6, 7, 8)) ks as k",
         "{DOC_LINES}": "select doc_id as capture_id, cast(pos as bigint) as line_no, line\n"
                        "from documents lateral view posexplode(split(text, chr(10), -1)) t as pos, line",
     },
     "duckdb": {
         "{TS}": "strftime(ts, '%Y-%m-%d %H:%M:%S')",
+        "{JOINED}": "string_agg(line, chr(10) order by line_no)",
         "{K}": ", unnest([0, 1, 2, 3, 4, 5, 6, 7, 8]) ks(k)",
         "{DOC_LINES}": "select doc_id as capture_id, cast(generate_subscripts(l, 1) - 1 as bigint) as line_no,\n"
                        "  unnest(l) as line from (select doc_id, string_split(text, chr(10)) as l from documents)",

@@ -291,3 +291,14 @@ INSTALL_TAIL, SIMPLE_HEAD = 3, 5
 JSON_DEPTH = 3
 LEDGER_DAYS, LEDGER_HISTORY, COMMAND_WIDTH = 30, 20, 60
 FAILURES_KEPT = 20
+#: published typical savings in percent, lowest and highest
+SAVINGS_BANDS = {
+    "git-status": (75, 92), "git-log": (75, 92), "git-diff": (75, 92), "git-simple": (75, 92),
+    "diff": (70, 70),
+    "test": (90, 90), "pytest": (90, 90), "vitest": (90, 90), "playwright": (90, 90),
+    "cargo": (80, 80), "go": (80, 80),
+    "build": (80, 80), "gradle": (80, 80),
+    "tsc": (85, 85), "lint": (85, 85), "ruff": (85, 85), "golangci": (85, 85),
+    "ls": (80, 80), "find": (60, 60), "grep": (80, 80),
+    "json": (85, 85), "read": (50, 70), "summary": (70, 70),
+}

@@ -14,6 +14,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Noting the call site of every column expression costs several calls to the JVM each.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
