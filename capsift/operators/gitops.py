@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from capsift import rules as R
 from capsift.functions.text import bigint, first_chars, not_blank, number_in, trim_ws, truncate_line
-from capsift.operators.lines import CHUNK, capped, carry, classed, within_caps
+from capsift.operators.lines import CHUNK, capped, carry, chunk_of, classed, within_caps
 
 
 def status_summary(lines: DataFrame) -> DataFrame:
@@ -68,47 +68,108 @@ def commit_log_verbose(lines: DataFrame, chunk: int | None = CHUNK) -> DataFrame
 # --- diffs --------------------------------------------------------------------
 
 
-def _plain_headers(lines: DataFrame, chunk: int | None) -> DataFrame:
-    """Marks the ``---`` / ``+++`` header pairs of diffs without ``diff --git``.
+_NEVER = 1 << 62
 
-    Before the first hunk any ``+++`` line is a header; later only one right
-    after a ``---`` line, which then is a header too and no removed text.
+
+def _file_name(line: Column) -> Column:
+    git = F.coalesce(F.get(F.split(line, " b/", -1), F.lit(1)), F.lit("unknown"))
+    path = F.split(F.substring(line, F.lit(5), F.length(line)), "\t", -1)[0]
+    return F.when(line.startswith("diff --git"), git).otherwise(F.regexp_replace(path, "^b/", ""))
+
+
+def _chunk_borders(rows: DataFrame, plain: bool, size: int) -> DataFrame:
+    """What each chunk of a diff needs to know of its neighbours, one row per chunk.
+
+    One pass gives each chunk's first and last marks; for diffs made without git also the
+    numbers of its ``---`` and ``+++`` lines, at most a chunk's.  Which of the ``+++`` lines is the
+    chunk's last header depends on what came before: both answers are worked out, and windows
+    over the chunks of a capture choose.
     """
-    line, no = F.col("line"), F.col("line_no")
-    minus, plus = line.startswith("--- "), line.startswith("+++ ")
-    rows = carry(lines, {
-        "git_at": F.when(line.startswith("diff --git"), no),
-        "hunk_at": F.when(line.startswith("@@"), no), "minus_at": F.when(minus, no)}, chunk)
-    backward = carry(rows.withColumn("line_no", -no), {"plus_at": F.when(plus, -no)}, chunk)
-    rows = backward.withColumn("line_no", -no)
-    loose, before_hunks = F.col("git_at").isNull(), F.col("hunk_at").isNull()
-    return rows.select(
-        *lines.columns,
-        F.coalesce(loose & plus & (before_hunks | (F.col("minus_at") == no - 1)), F.lit(False)).alias("is_plain"),
-        F.coalesce(loose & minus & ~before_hunks & (F.col("plus_at") == no + 1), F.lit(False)).alias("is_old_name"))
+    line, no, chunk = F.col("line"), F.col("line_no"), F.col("_chunk")
+    git, hunk = line.startswith("diff --git"), line.startswith("@@")
+    old, new = line.startswith("--- "), line.startswith("+++ ")
+    header = F.struct(no.alias("at"), _file_name(line).alias("name"))
+    sums = {
+        "first_git": F.min(F.when(git, no)), "last_git": F.max_by(header, F.when(git, no)),
+        "first_hunk": F.min(F.when(hunk, no)), "last_hunk": F.max(F.when(hunk, no)),
+        "last_change": F.max(F.when(line.startswith("+") | line.startswith("-"), no))}
+    if plain:
+        sums |= {"olds": F.collect_list(F.when(old, no)), "news": F.collect_list(F.when(new, header)),
+                 "begins_new": F.max((no == chunk * size) & new), "ends_old": F.max((no == chunk * size + size - 1) & old)}
+    ends = rows.groupBy("capture_id", "_chunk").agg(*[value.alias(name) for name, value in sums.items()])
+    none = F.lit(None).cast("struct<at:bigint,name:string>")
+    if plain:
+        numbers = F.transform("news", lambda x: x["at"])
+        before_git = F.coalesce("first_git", F.lit(_NEVER))
+        paired = F.array_max(F.filter(F.array_intersect(numbers, F.transform("olds", lambda x: x + 1)), lambda n: n < before_git))
+        early = F.array_max(F.filter(numbers, lambda n: n < F.least(before_git, F.coalesce("first_hunk", F.lit(_NEVER)))))
+        first = F.when(F.col("begins_new"), chunk * size)
+        named = lambda at: F.get(F.filter("news", lambda x: x["at"] == at), F.lit(0))
+        ends = ends.withColumns({
+            "late_end": named(paired), "late_end_after_old": named(F.coalesce(paired, first)), "early_end": named(F.greatest(paired, early))})
+    chunks = Window.partitionBy("capture_id").orderBy("_chunk")
+    earlier = chunks.rowsBetween(Window.unboundedPreceding, -1)
+    seen = lambda name: F.coalesce(F.max(F.col(name).isNotNull()).over(earlier), F.lit(False))
+    beside = lambda fn, name, step: F.coalesce(fn(name).over(chunks) & (fn("_chunk").over(chunks) == chunk + step), F.lit(False))
+    ends = ends.withColumns({
+        "git_before": seen("first_git"), "hunk_before": seen("first_hunk"),
+        "old_before": beside(F.lag, "ends_old", -1) if plain else F.lit(False),
+        "new_after": beside(F.lead, "begins_new", 1) if plain else F.lit(False)})
+    file_end = F.when(F.col("first_git").isNotNull(), F.col("last_git"))
+    if plain:
+        file_end = (file_end.when(F.col("git_before"), none).when(~F.col("hunk_before"), F.col("early_end"))
+                    .when(F.col("old_before"), F.col("late_end_after_old")).otherwise(F.col("late_end")))
+    ends = ends.withColumn("file_end", file_end)
+    at = F.greatest("file_end.at", "last_hunk")
+    mark_end = F.when(at.isNotNull(), F.struct(at.alias("at"), F.coalesce(at == F.col("last_hunk"), F.lit(False)).alias("in_hunk")))
+    ends = ends.withColumn("mark_end", mark_end)
+    carried = {"file_before": "file_end", "mark_before": "mark_end", "change_before": "last_change"}
+    return ends.select("capture_id", "_chunk", "git_before", "hunk_before", "old_before", "new_after", *[
+        F.last(end, ignorenulls=True).over(earlier).alias(name) for name, end in carried.items()])
 
 
 def _diff_state(lines: DataFrame, plain: bool, chunk: int | None) -> DataFrame:
     """Each diff line with its file and hunk, carried from the last header.
 
-    Inside a hunk ``---`` and ``+++`` are removed and added text, not headers.
+    Inside a hunk ``---`` and ``+++`` are removed and added text, not headers.  In diffs without
+    ``diff --git`` any ``+++`` line before the first hunk is a header, later only one right after
+    a ``---`` line, which then is the old name and no removed text.
     """
     line, no = F.col("line"), F.col("line_no")
     git, hunk = line.startswith("diff --git"), line.startswith("@@")
-    name = F.coalesce(F.get(F.split(line, " b/", -1), F.lit(1)), F.lit("unknown"))
-    rows = lines.select("capture_id", "line_no", "line")
+    old, new = line.startswith("--- "), line.startswith("+++ ")
+    keys = ["capture_id", "_chunk"]
+    rows = lines.select("capture_id", "line_no", "line", (F.lit(0) if chunk is None else chunk_of(size=chunk)).alias("_chunk"))
+    if chunk is None:
+        before = {name: F.lit(False) for name in ("git_before", "hunk_before", "old_before", "new_after")}
+        before |= {"file_before": F.lit(None).cast("struct<at:bigint,name:string>"),
+                   "mark_before": F.lit(None).cast("struct<at:bigint,in_hunk:boolean>"), "change_before": F.lit(None).cast("bigint")}
+        rows = rows.withColumns(before)
+    else:
+        rows = rows.join(_chunk_borders(rows, plain, chunk), keys)
+    inside = Window.partitionBy(*keys).orderBy("line_no")
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     header = git
     if plain:
-        rows = _plain_headers(rows, chunk).where(~F.col("is_old_name")).drop("is_old_name")
-        path = F.split(F.substring(line, F.lit(5), F.length(line)), "\t", -1)[0]
-        name = F.when(git, name).otherwise(F.regexp_replace(path, "^b/", ""))
-        header = git | F.col("is_plain")
+        size = chunk or _NEVER
+        beside = lambda fn, test, step: fn(test).over(inside) & (fn(no).over(inside) == no + step)
+        rows = rows.withColumns({
+            "_git": F.col("git_before") | F.max(git).over(upto), "_hunk": F.col("hunk_before") | F.max(hunk).over(upto),
+            "_after_old": F.coalesce(beside(F.lag, old, -1), F.col("old_before") & (no == F.col("_chunk") * size)),
+            "_before_new": F.coalesce(beside(F.lead, new, 1), F.col("new_after") & (no == F.col("_chunk") * size + size - 1))})
+        loose = ~F.col("_git")
+        rows = rows.where(~(loose & old & F.col("_hunk") & F.col("_before_new")))
+        header = git | (loose & new & (~F.col("_hunk") | F.col("_after_old")))
     rows = rows.withColumn("is_header", header)
     starts = F.col("is_header")
-    rows = carry(rows, {
-        "file": F.when(starts, F.struct(no.alias("at"), name.alias("name"))),
-        "mark": F.when(starts | hunk, F.struct(no.alias("at"), (hunk & ~starts).alias("in_hunk"))),
-        "change_at": F.when(line.startswith("+") | line.startswith("-"), no)}, chunk)
+
+    def carried(value: Column, before: str) -> Column:
+        return F.coalesce(F.last(value, ignorenulls=True).over(upto), F.col(before))
+
+    rows = rows.withColumns({
+        "file": carried(F.when(starts, F.struct(bigint(no).alias("at"), _file_name(line).alias("name"))), "file_before"),
+        "mark": carried(F.when(starts | hunk, F.struct(bigint(no).alias("at"), (hunk & ~starts).alias("in_hunk"))), "mark_before"),
+        "change_at": carried(F.when(line.startswith("+") | line.startswith("-"), bigint(no)), "change_before")})
     return rows.where(F.col("file").isNotNull()).select(
         "capture_id", "line_no", "line", "is_header", hunk.alias("is_hunk"),
         F.col("file.at").alias("file_at"), F.col("file.name").alias("file"),
@@ -119,8 +180,7 @@ def _diff_state(lines: DataFrame, plain: bool, chunk: int | None) -> DataFrame:
 def diff_stat(lines: DataFrame, plain: bool = True, chunk: int | None = CHUNK) -> DataFrame:
     """Added and removed lines per file, over the whole capture.
 
-    ``plain=False`` saves the two scans that find the headers of diffs made
-    without git, for input known to hold none.
+    ``plain=False`` looks for no headers of diffs made without git.
     """
     rows, line = _diff_state(lines, plain, chunk), F.col("line")
     return rows.groupBy("capture_id", "file_at", "file").agg(

@@ -107,3 +107,24 @@ def test_diffs_equal_sequential_reading(spark, chunk):
     for r in gitops.diff_stat(df, plain=False, chunk=chunk).collect():
         got.setdefault(r.capture_id, {})[r.file_at, r.file] = (r.added, r.removed)
     assert got == {cid: brute_diff(lines) for cid, lines in texts.items() if brute_diff(lines)}
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 3, 7, 64])
+def test_plain_diffs_do_not_depend_on_chunks(spark, chunk):
+    """Headers of diffs made without git at every place of a chunk, borders too."""
+    rng = random.Random(12)
+    parts = ["--- a/x", "+++ b/x", "--- a/y\tt", "+++ b/y\tt", "@@ -1 +1 @@", "+a", "-b", " c", "--- c"]
+    texts = {cid: [rng.choice(parts + (["diff --git a/z b/z"] if cid % 3 == 0 else [])) for _ in range(rng.randint(1, 40))] for cid in range(60)}
+    rows = [(cid, i, line) for cid, lines in texts.items() for i, line in enumerate(lines)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "capture_id long, line_no long, line string").repartition(3)
+    for fn in (gitops.diff_stat, gitops.diff_condense):
+        assert sorted(map(tuple, fn(df, chunk=chunk).collect())) == sorted(map(tuple, fn(df, chunk=None).collect()))
+
+
+def test_diffs_read_their_lines_twice(spark, tmp_path):
+    spark.createDataFrame([(1, 0, "x")], "capture_id long, line_no long, line string").write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    for fn in (gitops.diff_stat, gitops.diff_condense):
+        for plain in (True, False):
+            assert fn(df, plain)._jdf.queryExecution().executedPlan().toString().count("FileScan") <= 2
