@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, functions as F
 
 from capsift import rules as R
 from capsift.functions.text import bigint, trim_ws
-from capsift.operators.lines import capped, capped_list, capped_tally, classed, filled, within_caps
+from capsift.operators.lines import capped, capped_list, capped_tally, classed, filled, most, with_caps, within_caps
+
+Caps = Mapping[str, int | None]
 
 
 def _trimmed(lines: DataFrame) -> DataFrame:
@@ -18,18 +22,26 @@ def _issue_columns(rows: DataFrame) -> DataFrame:
                        bigint("total").alias("total"), bigint("n_distinct").alias("n_distinct"))
 
 
-def build_issues(lines: DataFrame) -> DataFrame:
-    """Distinct error and warning lines; totals count every such line."""
+def build_issues(lines: DataFrame, caps: Caps | None = None) -> DataFrame:
+    """Distinct error and warning lines; totals count every such line.
+
+    ``caps`` replaces the default caps by section, ``None`` for all rows.
+    """
+    caps = with_caps(R.BUILD_CAPS, caps)
     line = F.col("line")
     section = (F.when(line.rlike(R.BUILD_ERROR) & ~line.startswith("0 error"), "error")
                .when(line.rlike(R.BUILD_WARNING) & ~line.startswith("0 warning"), "warning"))
     rows = _trimmed(lines).withColumn("section", section).where(F.col("section").isNotNull())
-    listed = capped_tally(rows, ["capture_id", "section"], max(R.BUILD_CAPS.values()))
-    return _issue_columns(within_caps(listed, R.BUILD_CAPS))
+    listed = capped_tally(rows, ["capture_id", "section"], most(*caps.values()))
+    return _issue_columns(within_caps(listed, caps))
+
 
+def gradle_issues(lines: DataFrame, caps: Caps | None = None, short: int | None = R.GRADLE_WARNING_SHORT) -> DataFrame:
+    """Result and time lines, failed tasks, errors and warnings of a Gradle build.
 
-def gradle_issues(lines: DataFrame) -> DataFrame:
-    """Result and time lines, failed tasks, errors and warnings of a Gradle build."""
+    More warning lines than their cap are cut to the first ``short``; ``None`` stands for all rows.
+    """
+    caps = with_caps(R.GRADLE_CAPS, caps)
     line = F.col("line")
     rows = classed(_trimmed(lines), [
         F.when(line.rlike(R.GRADLE_RESULT), "result"),
@@ -43,19 +55,19 @@ def gradle_issues(lines: DataFrame) -> DataFrame:
                  F.count(F.lit(1)).alias("total"))
             .withColumn("rank", F.lit(1)).withColumn("n_distinct", F.lit(1)))
     tasks = (capped_list(rows.where(kind == "failed_task"), ["capture_id", "section"],
-                         R.GRADLE_CAPS["failed_task"])
+                         most(caps["failed_task"]))
              .withColumn("n_distinct", F.col("total")).drop("more"))
     issues = capped_tally(rows.where(kind.isin("error", "warning")), ["capture_id", "section"],
-                          R.GRADLE_CAPS["error"]).drop("n", "first_line_no")
-    issues = within_caps(issues, R.GRADLE_CAPS).where(
-        (kind == "error") | (F.col("total") <= R.GRADLE_CAPS["warning"])
-        | (F.col("rank") <= R.GRADLE_WARNING_SHORT))
+                          most(caps["error"], caps["warning"])).drop("n", "first_line_no")
+    issues = within_caps(issues, caps).where(
+        (kind == "error") | (F.col("total") <= most(caps["warning"])) | (F.col("rank") <= most(short)))
     out = issues.unionByName(tasks).unionByName(last)
     return _issue_columns(out.withColumn("rank", bigint("rank")))
 
 
-def next_issues(lines: DataFrame) -> DataFrame:
+def next_issues(lines: DataFrame, caps: Caps | None = None) -> DataFrame:
     """Errors and warnings of a Next.js build, plus its success line if any."""
+    caps = with_caps(R.NEXT_CAPS, caps)
     line = F.col("line")
     done = line.rlike(R.NEXT_TICK) & line.rlike(R.NEXT_DONE)
     kept = _trimmed(lines).where(~line.rlike(R.NEXT_PROGRESS) & ~line.rlike(R.NEXT_ROUTE))
@@ -63,7 +75,7 @@ def next_issues(lines: DataFrame) -> DataFrame:
         F.when(done, "success"),
         F.when(~done & line.rlike(R.NEXT_ERROR), "error"),
         F.when(~done & line.rlike(R.NEXT_WARNING), "warning")])
-    listed = capped(rows, ["capture_id", "section"], [F.col("line_no")], max(R.NEXT_CAPS.values()),
+    listed = capped(rows, ["capture_id", "section"], [F.col("line_no")], most(*caps.values()),
                     {"total": ("sum", F.lit(1))})
-    listed = within_caps(listed, {**R.NEXT_CAPS, "success": 1})
+    listed = within_caps(listed, {**caps, "success": 1})
     return _issue_columns(listed.withColumn("n_distinct", F.col("total")))

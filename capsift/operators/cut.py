@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from capsift import rules as R
 from capsift.functions.text import bigint, not_blank, token_estimate, trim_ws
-from capsift.operators.lines import capped, capped_tally, filled
+from capsift.operators.lines import capped, capped_tally, filled, most
 
 
 def _split(raw: Column) -> Column:
@@ -114,44 +114,44 @@ def tail_n(captures: DataFrame, k: int = R.INSTALL_TAIL) -> DataFrame:
     return _report(captures, tail_text(F.col("raw"), k))
 
 
-def generic_lines(lines: DataFrame) -> DataFrame:
+def generic_lines(lines: DataFrame, whole: int = R.GENERIC_PASS, front: int = R.GENERIC_HEAD, end: int = R.GENERIC_TAIL) -> DataFrame:
     """The generic cut over a line table: ``section, rank, line, total``.
 
-    Sections: ``pass`` (at most 40 lines, kept as they are), ``distinct`` (at
-    most 40 distinct), else ``head`` and ``tail`` of the distinct lines.  Every
+    Sections: ``pass`` (at most ``whole`` lines, kept as they are), ``distinct`` (at
+    most ``whole`` distinct), else the ``front`` ``head`` and ``end`` ``tail`` of the distinct lines.  Every
     branch is cut to its cap before a capture's rows meet.
     """
-    short = (capped(lines, ["capture_id"], [F.col("line_no")], R.GENERIC_PASS,
+    short = (capped(lines, ["capture_id"], [F.col("line_no")], whole,
                     {"total": ("sum", F.lit(1))}, limit_first=True)
-             .where(F.col("total") <= R.GENERIC_PASS)
+             .where(F.col("total") <= whole)
              .select("capture_id", F.lit("pass").alias("section"), "rank", "line", "line_no",
                      bigint("total").alias("total")))
     sizes = lines.groupBy("capture_id").agg(F.count(F.lit(1)).alias("n_lines"))
-    first = capped_tally(filled(lines), ["capture_id"], R.GENERIC_PASS)
+    first = capped_tally(filled(lines), ["capture_id"], max(whole, front))
     n = F.col("n_distinct")
-    head = (first.where((n <= R.GENERIC_PASS) | (F.col("rank") <= R.GENERIC_HEAD))
+    head = (first.where((n <= whole) | (F.col("rank") <= front))
             .select("capture_id",
-                    F.when(n <= R.GENERIC_PASS, "distinct").otherwise("head").alias("section"),
+                    F.when(n <= whole, "distinct").otherwise("head").alias("section"),
                     "rank", "line", "line_no", bigint(n).alias("total")))
     last = (capped(filled(lines).groupBy("capture_id", "line").agg(F.min("line_no").alias("line_no")),
-                   ["capture_id"], [F.col("line_no").desc()], R.GENERIC_TAIL,
+                   ["capture_id"], [F.col("line_no").desc()], end,
                    {"total": ("sum", F.lit(1))})
-            .where(F.col("total") > R.GENERIC_PASS)
+            .where(F.col("total") > whole)
             .select("capture_id", F.lit("tail").alias("section"),
                     bigint(F.col("total") - F.col("rank") + 1).alias("rank"), "line", "line_no",
                     bigint("total").alias("total")))
     many = head.unionByName(last).join(
-        sizes.where(F.col("n_lines") > R.GENERIC_PASS).select("capture_id"), "capture_id", "left_semi")
+        sizes.where(F.col("n_lines") > whole).select("capture_id"), "capture_id", "left_semi")
     return short.unionByName(many)
 
 
-def signature_lines(lines: DataFrame) -> DataFrame:
-    """Declaration lines; captures without any give their first 30 lines."""
+def signature_lines(lines: DataFrame, fallback: int | None = R.SIGNATURE_FALLBACK) -> DataFrame:
+    """Declaration lines; captures without any give their first ``fallback`` lines, ``None`` for all."""
     is_signature = F.col("line").rlike(R.SIGNATURES[0]) | F.col("line").rlike(R.SIGNATURES[1])
     found = lines.where(is_signature).select(
         "capture_id", "line_no", "line", F.lit("signature").alias("section"))
     head = (capped(lines.withColumn("_hit", is_signature.cast("int")), ["capture_id"],
-                   [F.col("line_no")], R.SIGNATURE_FALLBACK, {"hits": ("max", F.col("_hit"))}, limit_first=True)
+                   [F.col("line_no")], most(fallback), {"hits": ("max", F.col("_hit"))}, limit_first=True)
             .where(F.col("hits") == 0)
             .select("capture_id", "line_no", "line", F.lit("fallback").alias("section")))
     return found.unionByName(head)

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from capsift import rules as R
 from capsift.functions.text import bigint, first_chars, not_blank, number_in, trim_ws, truncate_line
-from capsift.operators.lines import CHUNK, capped, carry, chunk_of, classed, within_caps
+from capsift.operators.lines import CHUNK, capped, carry, chunk_of, classed, most, with_caps, within_caps
 
 
-def status_summary(lines: DataFrame) -> DataFrame:
+def status_summary(lines: DataFrame, caps: Mapping[str, int | None] | None = None) -> DataFrame:
     """Porcelain status by section: counts and the first files of each.
 
-    A file may be in two sections; conflicts are counted, not listed.
+    A file may be in two sections.  Conflicts are one row with their number; a cap for
+    ``conflict`` lists their files.  ``caps`` replaces the default caps by section,
+    ``None`` for all rows.
     """
+    listed_conflicts = "conflict" in (caps or {})
+    caps = with_caps(R.STATUS_CAPS, caps)
     line = F.col("line")
     x, y, pair = F.substring(line, 1, 1), F.substring(line, 2, 1), F.substring(line, 1, 2)
     branch, untracked = line.startswith("##"), pair == "??"
@@ -24,10 +30,10 @@ def status_summary(lines: DataFrame) -> DataFrame:
         F.when(entry & pair.isin(*R.STATUS_CONFLICTS), "conflict")])
     rows = rows.withColumn("file", F.substring(line, F.lit(4), F.length(line)))
     listed = within_caps(
-        capped(rows, ["capture_id", "section"], [F.col("line_no")], max(R.STATUS_CAPS.values()),
-               {"total": ("sum", F.lit(1))}), R.STATUS_CAPS)
+        capped(rows, ["capture_id", "section"], [F.col("line_no")], most(*caps.values()),
+               {"total": ("sum", F.lit(1))}), caps)
     file = (F.when(F.col("section") == "branch", trim_ws(F.col("file")))
-            .when(F.col("section") != "conflict", F.col("file")).otherwise(""))
+            .when((F.col("section") != "conflict") | F.lit(listed_conflicts), F.col("file")).otherwise(""))
     return listed.select("capture_id", "section", "rank", file.alias("file"), bigint("total").alias("total"))
 
 

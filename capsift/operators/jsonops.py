@@ -29,7 +29,7 @@ def _described(rows: DataFrame, i: int) -> DataFrame:
     return rows.withColumn(f"length_{i}", bigint(length))
 
 
-def _opened(rows: DataFrame, i: int) -> DataFrame:
+def _opened(rows: DataFrame, i: int, levels: int) -> DataFrame:
     """Level ``i + 1``: members of an object, the first item of a root array.
 
     An object inside an object costs two levels, an array's first item one.
@@ -37,7 +37,7 @@ def _opened(rows: DataFrame, i: int) -> DataFrame:
     """
     kind, depth = F.col(f"type_{i}"), F.col(f"depth_{i}")
     root_array = (kind == "array") & F.col(f"path_{i}").rlike(r"^\$(\[0\])*$")
-    is_open = (depth < R.JSON_DEPTH) & ((kind == "object") | root_array)
+    is_open = (depth < levels) & ((kind == "object") | root_array)
     rows = rows.withColumn("_doc", F.when(is_open, F.col(f"value_{i}")))
     members = rows.sparkSession.tvf.variant_explode_outer(F.col("_doc").outer())
     rows = rows.lateralJoin(members).where((kind == "object") | F.col("pos").isNull() | (F.col("pos") == 0))
@@ -49,13 +49,12 @@ def _opened(rows: DataFrame, i: int) -> DataFrame:
     return _described(rows.drop("_doc", "pos", "key", "value"), i + 1)
 
 
-def _parts(captures: DataFrame, keep_text: bool) -> DataFrame:
+def _parts(captures: DataFrame, keep_text: bool, levels: int = R.JSON_DEPTH) -> DataFrame:
     rows = captures.select("capture_id", "raw", F.try_parse_json("raw").alias("value_0"))
     rows = rows.withColumn("path_0", F.lit("$")).withColumn("depth_0", F.lit(0))
     rows = _described(rows, 0)
-    levels = R.JSON_DEPTH
     for i in range(levels):
-        rows = _opened(rows, i)
+        rows = _opened(rows, i, levels)
     null = F.lit(None).cast("string")
 
     def part(i: int) -> Column:
@@ -74,13 +73,13 @@ def _parts(captures: DataFrame, keep_text: bool) -> DataFrame:
     return rows.select("capture_id", F.inline(F.array_compact(F.array(*parts))))
 
 
-def json_structure(captures: DataFrame) -> DataFrame:
-    """``path, type, length`` of every part down to three levels.
+def json_structure(captures: DataFrame, levels: int = R.JSON_DEPTH) -> DataFrame:
+    """``path, type, length`` of every part down to ``levels`` levels.
 
     One pass over the input, no shuffle.  Values are never shown; captures that
     are no JSON give no row.
     """
-    return _parts(captures, keep_text=False).drop("filtered")
+    return _parts(captures, False, levels).drop("filtered")
 
 
 def json_profile(structure: DataFrame) -> DataFrame:
@@ -90,6 +89,16 @@ def json_profile(structure: DataFrame) -> DataFrame:
         bigint(F.max("length")).alias("max_length"))
 
 
+def json_schema(captures: DataFrame, *keys: str) -> DataFrame:
+    """The schema that all JSON texts (of a key) have in common, merged by the aggregate, and their number.
+
+    Members add up, numbers widen; partial schemas combine before the shuffle.  Texts that are
+    no JSON do not count; without any the schema is ``VOID``.
+    """
+    rows = captures.select(*keys, F.try_parse_json("raw").alias("value"))
+    return rows.groupBy(*keys).agg(F.schema_of_variant_agg("value").alias("schema"), bigint(F.count("value")).alias("n"))
+
+
 def json_or_text(captures: DataFrame) -> DataFrame:
     """Response bodies: JSON as its structure, any other text as its generic cut."""
     return _parts(captures.withColumn("raw", strip_http_headers(F.col("raw"))), keep_text=True)

@@ -144,11 +144,28 @@ def classed(lines: DataFrame, classes: Sequence[Column], name: str = "section")
     return lines.withColumn(name, F.explode(F.array_compact(F.array(*classes)))) 
 
 
-def within_caps(ranked: DataFrame, caps: Mapping[str, int], name: str = "section") -> DataFrame:
-    """Keeps ranks inside the cap of their class."""
-    limit = F.lit(0)
+#: More rows than any group has: the cap that stands for all rows.
+ALL = 1 << 62
+
+
+def most(*caps: int | None) -> int:
+    """The largest cap; ``None`` is all rows."""
+    return max(ALL if k is None else k for k in caps)
+
+
+def with_caps(defaults: Mapping[str, int], caps: Mapping[str, int | None] | None) -> dict[str, int | None]:
+    """The default caps with those of the caller in place; an unknown name is an error."""
+    unknown = set(caps or {}) - set(defaults)
+    if unknown:
+        raise ValueError(f"no such caps: {sorted(unknown)}; there are {sorted(defaults)}")
+    return {**defaults, **(caps or {})}
+
+
+def within_caps(ranked: DataFrame, caps: Mapping[str, int | None], name: str = "section") -> DataFrame:
+    """Keeps ranks inside the cap of their class; a cap of ``None`` keeps them all."""
+    limit = F.lit(0).cast("bigint")
     for label, k in caps.items():
-        limit = F.when(F.col(name) == label, k).otherwise(limit)
+        limit = F.when(F.col(name) == label, F.lit(most(k)).cast("bigint")).otherwise(limit)
     return ranked.where(F.col("rank") <= limit)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from capsift import rules as R
 from capsift.functions.text import bigint, compact_path, snippet
-from capsift.operators.lines import capped
+from capsift.operators.lines import capped, most
 
 
 def parse_matches(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -59,26 +59,26 @@ def split_path(lines: DataFrame, path: str = "line") -> DataFrame:
         F.regexp_extract(p, r"([^/]*)$", 1).alias("name"))
 
 
-def dir_groups(paths: DataFrame) -> DataFrame:
-    """Per directory all names up to five, else the first three; ``n`` counts all."""
-    grouped = capped(paths, ["capture_id", "dir"], [F.col("line_no")], R.FIND_ALL,
+def dir_groups(paths: DataFrame, whole: int | None = R.FIND_ALL, head: int | None = R.FIND_HEAD) -> DataFrame:
+    """Per directory all names up to ``whole``, else the first ``head``; ``n`` counts all, ``None`` keeps all."""
+    grouped = capped(paths, ["capture_id", "dir"], [F.col("line_no")], most(whole, head),
                      {"n": ("sum", F.lit(1)), "first_line_no": ("min", F.col("line_no"))})
-    return grouped.where((F.col("n") <= R.FIND_ALL) | (F.col("rank") <= R.FIND_HEAD))
+    return grouped.where((F.col("n") <= most(whole)) | (F.col("rank") <= most(head)))
 
 
-def paths_by_dir(paths: DataFrame) -> DataFrame:
-    """Paths per directory: all up to five, else the first three.
+def paths_by_dir(paths: DataFrame, short: int = R.FIND_PASS, whole: int | None = R.FIND_ALL, head: int | None = R.FIND_HEAD) -> DataFrame:
+    """Paths per directory: all up to ``whole``, else the first ``head``.
 
-    Captures of at most 30 paths are marked ``short`` and list every path.
+    Captures of at most ``short`` paths are marked ``short`` and list every path.
     """
     sizes = paths.groupBy("capture_id").agg(F.count(F.lit(1)).alias("total"))
-    brief = (capped(paths, ["capture_id"], [F.col("line_no")], R.FIND_PASS, {"total": ("sum", F.lit(1))},
+    brief = (capped(paths, ["capture_id"], [F.col("line_no")], short, {"total": ("sum", F.lit(1))},
                     limit_first=True)
-             .where(F.col("total") <= R.FIND_PASS)
+             .where(F.col("total") <= short)
              .select("capture_id", F.lit("short").alias("section"), "dir", "rank", "name",
                      bigint("total").alias("n"), bigint("line_no").alias("first_line_no")))
-    long = sizes.where(F.col("total") > R.FIND_PASS).select("capture_id")
-    grouped = (dir_groups(paths)
+    long = sizes.where(F.col("total") > short).select("capture_id")
+    grouped = (dir_groups(paths, whole, head)
                .select("capture_id", F.lit("dir").alias("section"), "dir", "rank", "name",
                        bigint("n").alias("n"), bigint("first_line_no").alias("first_line_no"))
                .join(long, "capture_id", "left_semi"))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from capsift import rules as R
 from capsift.functions.text import bigint, trim_ws
 from capsift.operators.cut import generic_lines
-from capsift.operators.lines import capped, capped_list, carry, filled
+from capsift.operators.lines import capped, capped_list, filled, most
 
 
 def drop_noise_dirs(rows: DataFrame, *columns: str, show_all: bool = False) -> DataFrame:
@@ -24,15 +24,12 @@ def filter_status_hints(lines: DataFrame) -> DataFrame:
     """Verbose status without hints; stops after the "nothing to commit" line."""
     text = trim_ws(F.col("line"))
     stop = text.contains("nothing to commit") & text.contains("working tree clean")
-    kept = filled(lines).where(~text.rlike(R.STATUS_HINT)).withColumn("is_stop", stop)
-    # The first stop line at or before each line, seen from the chunk scan.
-    passed = carry(kept, {"last_stop": F.when(F.col("is_stop"), F.col("line_no"))})
-    first_stop = (kept.where("is_stop").groupBy("capture_id").agg(F.min("line_no").alias("first_stop")))
-    open_rows = passed.where(F.col("last_stop").isNull()).select("capture_id", "line_no", "line")
-    stop_rows = (kept.where("is_stop").join(first_stop, "capture_id")
-                 .where(F.col("line_no") == F.col("first_stop"))
-                 .select("capture_id", "line_no", trim_ws(F.col("line")).alias("line")))
-    return open_rows.unionByName(stop_rows)
+    kept = filled(lines).where(~text.rlike(R.STATUS_HINT))
+    # One number per capture that says so; the lines themselves are never sorted.
+    stops = kept.where(stop).groupBy("capture_id").agg(F.min("line_no").alias("stop_at"))
+    at, no = F.col("stop_at"), F.col("line_no")
+    return (kept.join(stops, "capture_id", "left").where(at.isNull() | (no <= at))
+            .select("capture_id", "line_no", F.when(no == at, text).otherwise(F.col("line")).alias("line")))
 
 
 def _rows(df: DataFrame, section: str) -> DataFrame:
@@ -48,19 +45,19 @@ def _generic(lines: DataFrame, found: DataFrame) -> DataFrame:
                       "rank", "line", "total")
 
 
-def drop_npm_noise(lines: DataFrame) -> DataFrame:
-    """npm errors if any, else summary lines, else the generic cut."""
+def drop_npm_noise(lines: DataFrame, errors: int | None = R.NPM_ERROR_CAP, summaries: int | None = R.NPM_SUMMARY_CAP) -> DataFrame:
+    """npm errors if any, else summary lines, else the generic cut; a cap of ``None`` keeps all."""
     line = F.col("line")
     noise = (line.rlike(R.NPM_NOISE) & ~line.rlike("(?i)error")) | line.rlike(R.NPM_SPINNER)
     section = F.when(line.rlike(R.NPM_ERROR), "error").when(line.rlike(R.NPM_SUMMARY), "summary")
     marked = (filled(lines).select("capture_id", "line_no", trim_ws(line).alias("line"))
               .where(~noise).withColumn("section", section).where(F.col("section").isNotNull()))
-    ranked = capped(marked, ["capture_id", "section"], [F.col("line_no")], R.NPM_ERROR_CAP,
+    ranked = capped(marked, ["capture_id", "section"], [F.col("line_no")], most(errors, summaries),
                     {"total": ("sum", F.lit(1))})
     # Both sections are capped by now, so this second look per capture is small.
     best = ranked.groupBy("capture_id").agg(F.min("section").alias("best"))
     listed = (ranked.join(best, "capture_id").where(F.col("section") == F.col("best"))
-              .where((F.col("section") == "error") | (F.col("rank") <= R.NPM_SUMMARY_CAP))
+              .where(F.col("rank") <= F.when(F.col("section") == "error", F.lit(most(errors))).otherwise(F.lit(most(summaries))))
               .select("capture_id", "section", "rank", "line", bigint("total").alias("total")))
     return listed.unionByName(_generic(lines, marked))
 
@@ -70,32 +67,33 @@ def _short_or(kept: DataFrame, limit: int) -> DataFrame:
     return capped_list(kept, ["capture_id"], limit)
 
 
-def drop_pnpm_noise(lines: DataFrame) -> DataFrame:
-    """At most 30 lines pass; more give a summary line and 30 dependencies."""
+def drop_pnpm_noise(lines: DataFrame, whole: int = R.PNPM_PASS, dependencies: int | None = R.PNPM_CAP) -> DataFrame:
+    """At most ``whole`` lines pass; more give a summary line and the first ``dependencies``, ``None`` for all."""
     line = F.col("line")
     kept = filled(lines).where(~trim_ws(line).rlike(R.PNPM_NOISE))
-    short = _short_or(kept, R.PNPM_PASS)
-    passed = _rows(short.where(F.col("total") <= R.PNPM_PASS), "pass")
+    short = _short_or(kept, whole)
+    passed = _rows(short.where(F.col("total") <= whole), "pass")
     is_dep, is_sum = line.rlike(R.PNPM_DEPENDENCY), line.rlike(R.PNPM_SUMMARY)
     stats = kept.groupBy("capture_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(is_dep).alias("total"),
         F.min_by("line", F.when(is_sum, F.col("line_no"))).alias("summary")
-    ).where(F.col("n") > R.PNPM_PASS)
+    ).where(F.col("n") > whole)
     summary = _rows(stats.select(
         "capture_id", F.lit(1).alias("rank"), "total",
         F.coalesce("summary", F.format_string("%d packages", "total")).alias("line")), "summary")
-    deps = capped_list(kept.where(is_dep), ["capture_id"], R.PNPM_CAP)
+    deps = capped_list(kept.where(is_dep), ["capture_id"], most(dependencies))
     deps = _rows(deps.join(stats.select("capture_id"), "capture_id", "left_semi"), "dependency")
     return passed.unionByName(summary).unionByName(deps)
 
 
-def drop_pip_noise(lines: DataFrame) -> DataFrame:
-    """At most 30 lines pass; more give the first 20 and the total."""
+def drop_pip_noise(lines: DataFrame, whole: int = R.PIP_PASS, head: int | None = R.PIP_CAP) -> DataFrame:
+    """At most ``whole`` lines pass; more give the first ``head`` (``None`` for all) and the total."""
     kept = filled(lines).where(~trim_ws(F.col("line")).rlike(R.PIP_NOISE))
-    short = _short_or(kept, R.PIP_PASS)
-    long = F.col("total") > R.PIP_PASS
-    return _rows(short.where(~long), "pass").unionByName(
-        _rows(short.where(long & (F.col("rank") <= R.PIP_CAP)), "head"))
+    ranked = _short_or(kept, most(whole, head))
+    long = F.col("total") > whole
+    return (ranked.where(~long | (F.col("rank") <= most(head)))
+            .select("capture_id", F.when(long, "head").otherwise("pass").alias("section"), bigint("rank").alias("rank"),
+                    "line", bigint("total").alias("total")))
 
 
 def drop_prisma_noise(lines: DataFrame) -> DataFrame:
@@ -108,10 +106,10 @@ def drop_prisma_noise(lines: DataFrame) -> DataFrame:
     return listed.unionByName(_generic(lines, kept))
 
 
-def unformatted_files(lines: DataFrame, cap: int = R.PRETTIER_CAP) -> DataFrame:
+def unformatted_files(lines: DataFrame, cap: int | None = R.PRETTIER_CAP) -> DataFrame:
     """Files a formatter check names: first 20 per capture and their number."""
     kept = filled(lines).where(~F.col("line").rlike(R.PRETTIER_BANNER))
-    return _rows(capped_list(kept, ["capture_id"], cap), "file")
+    return _rows(capped_list(kept, ["capture_id"], most(cap)), "file")
 
 
 def mask_value(name: Column, value: Column, line: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from capsift import rules as R
 from capsift.functions.text import bigint, first_chars, trim_ws
 from capsift.operators.lines import filled
 
@@ -12,7 +13,11 @@ WITH_HEADER = ("docker_ps", "docker_images", "kubectl")
 
 
 def table_rows(lines: DataFrame) -> DataFrame:
-    """``name, status, text`` per row by its ``kind``; narrow, no shuffle."""
+    """``name, status, text`` per row by its ``kind``; narrow, no shuffle.
+
+    A header is line 0, and any line that reads like the kind's header: behind blank
+    lines, or before a further table in the same text.
+    """
     line, kind = F.col("line"), F.col("kind")
     wide = F.split(line, r"\s{2,}", -1)
     words = F.split(trim_ws(line), r"\s+", -1)
@@ -22,7 +27,10 @@ def table_rows(lines: DataFrame) -> DataFrame:
     def at(parts, i):
         return F.get(parts, F.lit(i))
 
-    rows = filled(lines).where(~(kind.isin(*WITH_HEADER) & (F.col("line_no") == 0)))
+    header = kind.isin(*WITH_HEADER) & (F.col("line_no") == 0)
+    for name, pattern in R.TABLE_HEADERS.items():
+        header = header | ((kind == name) & line.rlike(pattern))
+    rows = filled(lines).where(~header)
     rows = rows.where(~((kind == "adb_devices") & line.startswith("List of")))
     ps, images = (kind == "docker_ps") & (n_wide >= 5), (kind == "docker_images") & (n_wide >= 3)
     pods, gh = (kind == "kubectl") & (n_words >= 3), (kind == "gh") & (n_tabs >= 3)

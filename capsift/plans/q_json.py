@@ -45,6 +45,23 @@ def json_profile_props(spark, sf_dir):
     return jsonops.json_profile(jsonops.json_structure(events))
 
 
+def _members(values: str, parent: str = "") -> str:
+    """The merged schema of objects as text, members by name: whole numbers, texts, booleans, nulls, lists of numbers."""
+    plain = "case json_type(v) when 'VARCHAR' then 'STRING' when 'BOOLEAN' then 'BOOLEAN' when 'NULL' then 'VOID' when 'ARRAY' then 'ARRAY<BIGINT>' else 'BIGINT' end"
+    return f"select {parent}k, max({plain}) as t from (select {parent}unnest(json_keys(v)) as k, v as o from {values}) m, lateral (select json_extract(o, '$.\"' || k || '\"') as v) x where json_type(v) <> 'OBJECT' group by all"
+
+
+@register("json_schema", query("v_json", ("j", "select case when capture_id % 2 = 0 then 'even' else 'odd' end as part, raw::json as v from v_json where json_valid(raw)"),
+    ("u", "select part, json_extract(v, '$.user') as v from j"), ("a", _members("j", "part, ")), ("b", _members("u", "part, ")),
+    ("i", "select part, 'OBJECT<' || string_agg(k || ': ' || t, ', ' order by k) || '>' as t from b group by part"),
+    ("w", "select * from a union all select part, 'user', t from i"), ("n", "select part, count(*) as n from j group by part"),
+    final="select part, 'OBJECT<' || string_agg(k || ': ' || t, ', ' order by k) || '>' as schema, max(n) as n from w join n using (part) group by part"))
+def json_schema(spark, sf_dir):
+    """One merged schema for the even and one for the odd captures."""
+    rows = view(spark, sf_dir, "v_json").withColumn("part", F.when(F.col("capture_id") % 2 == 0, "even").otherwise("odd"))
+    return jsonops.json_schema(rows, "part")
+
+
 @register("json_or_text", query("v_json",
     ("b", "select capture_id, raw from v_json where capture_id >= 0 union all select -1 - page_id, 'HTTP/1.1 200 OK' || chr(10) || 'server: x' || chr(10) || chr(10) || html from pages"),
     ("body", "select capture_id, case when starts_with(raw, 'HTTP/') then regexp_replace(raw, '(?s)^HTTP/.*?\\r?\\n\\r?\\n', '') else raw end as raw from b"),

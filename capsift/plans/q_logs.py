@@ -60,6 +60,12 @@ def logcat_summary(spark, sf_dir):
     return logs.logcat_summary(view(spark, sf_dir, "v_logcat_lines"))
 
 
+@register("log_totals_corpus")
+def log_totals_corpus(spark, sf_dir):
+    """Lines and estimated distinct templates of the whole corpus, from one sketch per day."""
+    return logs.log_totals_of(logs.log_sketches(view(spark, sf_dir, "v_log_lines")))
+
+
 @register("stream_log_templates", query("v_log_lines", _SEVERE, final=(
     f"select cast(date_trunc('hour', ts) as varchar) as window_start, severity, {template('line')} as template, "
     "count(*) as n from s where severity in ('error', 'warn') group by all")))

@@ -273,6 +273,11 @@ WINDOWS_FILE_LINE = r"^\S+\s.*?\s([\d,]+)\s+(\S.+)$"
 LS_LINE = r"^[dl\-][rwxsStT\-]{9}"
 WINDOWS_LINE = r"^\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}\s"
 TASK_CAP = 8
+TABLE_HEADERS = {
+    "docker_ps": r"^CONTAINER ID\s",
+    "docker_images": r"^REPOSITORY\s+TAG\s",
+    "kubectl": r"^(NAMESPACE\s+)?NAME(\s{2,}[A-Z][A-Z()\- ]*)+\s*$",
+}
 
 # --- version control ----------------------------------------------------------------------------
 STATUS_LINE = r"^(##|[MADRCU?!][ MADRCU?!] |[ ][MADRCU?!] )"
