@@ -72,7 +72,7 @@ def diag_by_file(found: DataFrame, tool: str, cap: int = R.PER_FILE_CAP) -> Data
                     [F.col("line_no"), F.col("pos")], cap,
                     {"n_in_file": ("sum", F.lit(1)), "first_line_no": ("min", F.col("line_no")),
                      "first_pos": ("min", F.col("pos")),
-                     "n_errors": ("sum", F.when(F.col("severity") == "error", 1).otherwise(0))})
+                     "n_errors": ("sum", F.when(F.col("severity") == "error", 1).otherwise(0))}, limit_first=True)
     return listed.select("capture_id", "file", bigint("first_line_no").alias("first_line_no"),
                          bigint("first_pos").alias("first_pos"), "rank", "severity", "row", "col", "rule", "message",
                          bigint("n_in_file").alias("n_in_file"), bigint("n_errors").alias("n_errors"))
@@ -93,7 +93,7 @@ def diag_by_linter(found: DataFrame, cap: int = R.PER_LINTER_CAP) -> DataFrame:
     listed = capped(found.where(F.col("tool") == "golangci"), ["capture_id", "rule"],
                     [F.col("line_no"), F.col("pos")], cap,
                     {"total": ("sum", F.lit(1)), "first_line_no": ("min", F.col("line_no")),
-                     "first_pos": ("min", F.col("pos"))})
+                     "first_pos": ("min", F.col("pos"))}, limit_first=True)
     place = F.when(F.col("file").isNotNull(), F.concat("file", F.lit(":"), F.col("row").cast("string")))
     return listed.select("capture_id", F.col("rule").alias("linter"), "rank",
                          F.coalesce(place, F.lit("?")).alias("place"), "message",

@@ -31,7 +31,7 @@ def status_summary(lines: DataFrame, caps: Mapping[str, int | None] | None = Non
     rows = rows.withColumn("file", F.substring(line, F.lit(4), F.length(line)))
     listed = within_caps(
         capped(rows, ["capture_id", "section"], [F.col("line_no")], most(*caps.values()),
-               {"total": ("sum", F.lit(1))}), caps)
+               {"total": ("sum", F.lit(1))}, limit_first=True), caps)
     file = (F.when(F.col("section") == "branch", trim_ws(F.col("file")))
             .when((F.col("section") != "conflict") | F.lit(listed_conflicts), F.col("file")).otherwise(""))
     return listed.select("capture_id", "section", "rank", file.alias("file"), bigint("total").alias("total"))

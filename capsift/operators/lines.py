@@ -55,8 +55,10 @@ def capped(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int
         ranked = ranked.where(F.col("rank") <= k).withColumn("rank", bigint("rank"))
         if not totals:
             return ranked
-        sums = rows.groupBy(*keys).agg(*[fold[how](expr).alias(name) for name, (how, expr) in totals.items()])
-        return ranked.join(sums, list(keys))
+        sums = rows.groupBy(*[F.col(key).alias(f"_k{i}") for i, key in enumerate(keys)]).agg(
+            *[fold[how](expr).alias(name) for name, (how, expr) in totals.items()])
+        same = [F.col(key).eqNullSafe(F.col(f"_k{i}")) for i, key in enumerate(keys)]  # a null key is a group too
+        return ranked.join(sums, same).drop(*[f"_k{i}" for i in range(len(keys))])
     local, per_key = Window.partitionBy(*keys, "_split"), Window.partitionBy(*keys)
     # Ranking comes before the totals in each step: both then share one sort.
     out = rows.withColumn("_split", chunk_of() if split is None else split)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from capsift.plans import catalog
-from capsift.plans.compress import narrow_texts, routed_captures
+from capsift.plans.compress import compress, narrow_texts, routed_captures
 from capsift.plans.views import view
 from capsift.sources.readers import captures
 from conftest import SF_DIR
@@ -68,3 +68,16 @@ def test_scans_prune_columns(spark):
 def test_narrow_strategies_share_one_scan(spark):
     text = plan(narrow_texts(routed_captures(captures(view(spark, SF_DIR, "v_captures")))))
     assert text.count("FileScan") == 1 and "Exchange" not in text
+
+
+def test_text_is_cut_per_task_before_it_is_shuffled(spark):
+    for name in ("matches_by_file", "diag_by_file", "diag_by_file_ruff", "diag_by_linter", "next_issues", "status_summary"):
+        text = plan(entry.queries()[name](spark, SF_DIR))
+        assert "WindowGroupLimit" in text and ", Partial" in text, name
+
+
+def test_compression_is_one_scan(spark):
+    df = captures(view(spark, SF_DIR, "v_captures"))
+    for by in ("command", "tool"):
+        text = plan(compress(df, by=by))
+        assert text.count("FileScan") == 1 and "Exchange" not in text
