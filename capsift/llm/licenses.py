@@ -1,18 +1,23 @@
-r"""License scans: MinHash sketches over overlapping word windows, then exact containment; no Python.
+r"""License scans: MinHash bands over overlapping word windows, then exact containment; no Python.
 
 Words are runs of ``[a-z0-9]`` after ASCII lower-casing, shingles five words.  Windows
 are two strides long and overlap by one, a stride being the longest template, so every
 copy of a template lies whole in some window.  A window is reduced to the shingles that
 occur in any template, and windows that keep none are gone before the first shuffle.
 
-A template's sketch is its bottom MinHash values: the smallest of its shingle hashes, one
-more than a match may lack.  So a window with enough of the template holds one of them,
-whatever else it holds: no match is missed, however short the template and however
-crowded its window.  Retrieved pairs are verified by counting the template's distinct
-shingles in the window.
+Templates form classes by the doubling of their number of shingles, and a window's set for a
+class holds the class's shingles alone.  A band is one MinHash value: the least hash of a set
+under the band's own hash function, so a window and a template of similarity ``j`` share a
+band with probability ``j``.  A window that contains enough of a template has at least the ``j``
+that follows from the smallest template of the class, what a match may lack, and the most
+shingles a window can hold of the class; a class has as many bands as make the chance
+that such a window shares none at most ``MISS``.  Pairs of window and license that share a band
+are retrieved, and only they are verified, by counting the template's distinct shingles in the
+window.
 
 Defined cases: a null or wordless text matches nothing, templates under five words can't
-be matched, rows that repeat id and text count once, ties go to the earliest window.
+be matched, without templates there is no result, rows that repeat id and text count once, a
+null id is kept, ties go to the earliest window; further columns are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +29,11 @@ from capsift.llm.common import ascii_lower, scratch, stored
 
 SHINGLE = 5
 MIN_CONTAINMENT = 0.8
+#: The most that the chance of losing a match in the bands may be.
+MISS = 1e-9
+#: Template shingles up to this number are looked up in the scan, more are joined.
+LITERALS = 4096
+KEY = ("doc_id", "text_key", "window")
 
 # FIXED VALUES: sentences of public license notices, by SPDX-like name.
 TEMPLATES = {
@@ -62,12 +72,38 @@ def shingles_of(text: Column) -> Column:
     return once(F.transform(words(text), lambda w: F.xxhash64(w)), shingle_hashes)
 
 
-def sketches(shingles: DataFrame, min_containment: float) -> DataFrame:
-    """``license, shingle``: the smallest hashes of each template, one more than a window that contains enough of it can lack."""
+def classes(shingles: DataFrame, window_shingles: int, min_containment: float, miss: float = MISS) -> DataFrame:
+    """``license, whole, cls, bands``: each template's shingles, its class and the number of bands of that class."""
     whole = shingles.groupBy("license").agg(F.array_sort(F.collect_set("shingle")).alias("whole"))
     n = F.size("whole")
-    lacking = n - F.floor(n * F.lit(float(min_containment))).cast("int")  # rounded up, so that no match is missed
-    return whole.select("license", F.explode(F.slice("whole", F.lit(1), F.greatest(lacking, F.lit(0)) + 1)).alias("shingle"))
+    whole = whole.withColumn("cls", F.floor(F.log2(n)).cast("int"))
+    most = whole.select("cls", F.explode("whole").alias("shingle")).groupBy("cls").agg(F.count_distinct("shingle").alias("universe"))
+    need = F.greatest(F.ceil(n * F.lit(float(min_containment)) - 1e-9), F.lit(1))  # fewer shingles are no match
+    held = F.least(F.col("universe"), F.lit(window_shingles))
+    least = whole.join(most, "cls").groupBy("cls").agg(F.min(F.least(need / (n + held - need), F.lit(1.0))).alias("j"))
+    bands = F.when(F.col("j") < 1, F.ceil(F.log(F.lit(miss)) / F.log1p(-F.col("j")))).otherwise(1)
+    return whole.join(least.select("cls", bands.cast("int").alias("bands")), "cls")
+
+
+def banded(rows: DataFrame, whole: str, *keep: str) -> DataFrame:
+    """``keep, cls, band, value``: one MinHash value of the set ``whole`` per band."""
+    values = F.transform(F.sequence(F.lit(0), F.col("bands") - 1), lambda band: F.array_min(F.transform(whole, lambda s: F.xxhash64(s, band))))
+    return rows.select(*keep, "cls", F.posexplode(values).alias("band", "value"))
+
+
+def retrieve(windows: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs of window and license that share a band; ``windows`` has a row per shingle, ``known`` is what ``classes`` gives."""
+    universe = known.select("cls", "bands", F.explode("whole").alias("shingle")).distinct()
+    sets = windows.join(universe, "shingle").groupBy(*KEY, "cls", "bands").agg(F.collect_set("shingle").alias("held"))  # a window's shingles at most
+    return banded(sets, "held", *KEY).join(banded(known, "whole", "license"), ["cls", "band", "value"]).select(*KEY, "license").distinct()
+
+
+def count(windows: DataFrame, retrieved: DataFrame, shingles: DataFrame) -> DataFrame:
+    """Distinct shingles and first place of each retrieved pair; other pairs are not counted."""
+    right = retrieved.select(*[F.col(c).alias(f"r_{c}") for c in KEY], "license")
+    same = [F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in KEY]
+    return (windows.join(right, same).join(shingles, ["license", "shingle"]).groupBy(*KEY, "license")
+            .agg(F.count_distinct("shingle").alias("n_matched"), F.min("pos").cast("long").alias("first_word")))
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> tuple[DataFrame, int]:
@@ -82,23 +118,21 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_containme
     """``doc_id, license, n_matched, n_shingles, containment, first_word``: the best window per document and license."""
     spark, folder = docs.sparkSession, scratch(docs.sparkSession)
     shingles, stride = template_table(spark, TEMPLATES if templates is None else templates)
-    universe = sorted(r["shingle"] for r in shingles.select("shingle").distinct().collect())  # of the given templates only
-    found = F.filter(F.transform(shingles_of(F.col("text")), lambda h, i: F.struct(i.alias("pos"), h.alias("shingle"))),
-                     lambda s: s["shingle"].isin(*universe) if universe else F.lit(False))
+    known = stored(classes(shingles, 2 * stride - (SHINGLE - 1), min_containment), folder, "classes")
+    universe = [r["shingle"] for r in shingles.select("shingle").distinct().limit(LITERALS + 1).collect()]  # a bounded number
+    placed = F.transform(shingles_of(F.col("text")), lambda h, i: F.struct(i.alias("pos"), h.alias("shingle")))
+    if 0 < len(universe) <= LITERALS:
+        placed = F.filter(placed, lambda s: s["shingle"].isin(*sorted(universe)))
     # the outer form keeps the planner from testing for empty arrays first, which would hash every text twice
-    hits = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.inline_outer(found)).filter(F.col("pos").isNotNull())
+    hits = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.inline_outer(placed)).filter(F.col("pos").isNotNull())
+    if not 0 < len(universe) <= LITERALS:
+        hits = hits.join(shingles.select("shingle").distinct(), "shingle", "left_semi")
     home = F.floor(F.col("pos") / stride).cast("long")
     windows = hits.select("doc_id", "text_key", "pos", "shingle", F.explode(F.array(home, home - 1)).alias("window")).filter("window >= 0")
     windows = stored(windows, folder, "windows")
-    key = ["doc_id", "text_key", "window"]
-
-    retrieved = windows.join(sketches(shingles, min_containment), "shingle").select(*key, "license").distinct()
 
     sizes = shingles.groupBy("license").agg(F.count("*").alias("n_shingles"))
-    counted = (windows.join(shingles, "shingle").groupBy(*key, "license")
-               .agg(F.count_distinct("shingle").alias("n_matched"), F.min("pos").cast("long").alias("first_word")))
-    same = [counted[c].eqNullSafe(retrieved[c]) for c in [*key, "license"]]
-    verified = counted.join(retrieved, same, "left_semi").join(sizes, "license")
+    verified = count(windows, retrieve(windows, known), shingles).join(sizes, "license")
     containment = F.col("n_matched") / F.col("n_shingles")
     verified = verified.withColumn("containment", containment).filter(F.col("containment") >= min_containment)
     best = F.max(F.struct("n_matched", (-F.col("window")).alias("early"), "first_word", "containment", "n_shingles"))
