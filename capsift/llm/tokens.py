@@ -6,7 +6,8 @@ its source, language and version, so totals are sums of deltas and never recompu
 
 A batch of changes is combined per group and written to a folder of its own name; the
 marker that Spark writes last makes it count.  Committing a batch again does nothing, a
-batch that died half way is written anew, and totals read marked folders only.
+batch that died half way is written anew, and totals read marked folders only.  Batches are
+compacted to a base that keeps their names, so totals don't read all batches for ever.
 
 Counts: ``bpe`` versions load a vocabulary file of byte-pair ranks, whose path is a
 parameter, on the driver and broadcast it (the file's size is checked).
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capsift.llm.common import received, scratch, shared, utf8
+from capsift.llm.common import received, scratch, shared, stored, utf8
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MAX_VOCABULARY_BYTES = 64 << 20
@@ -73,44 +74,109 @@ def deltas(changes: DataFrame) -> DataFrame:
     return changes.groupBy(*KEYS).agg(F.sum(docs.cast("long")).alias("n_docs"), F.sum(tokens).alias("n_tokens"))
 
 
+TOTALS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
+
+
 class Rollup:
-    """Totals under ``folder``, which every executor can reach."""
+    """Totals under ``folder``, which every executor can reach; one writer at a time."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def batches(self) -> list[str]:
-        """Committed batches; there are as many as commits, not as rows."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/batch-*/_SUCCESS")
+    def _whole(self, kind: str) -> list[str]:
+        """Names of the folders of a kind that were written whole."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}-*/_SUCCESS")
         found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path)
-        return sorted(status.getPath().getParent().getName().removeprefix("batch-") for status in found or [])
+        return sorted(status.getPath().getParent().getName().removeprefix(f"{kind}-") for status in found or [])
+
+    def _base(self) -> tuple[str | None, set[str]]:
+        """The newest base and the batches that it holds; these are as many as commits, not as rows."""
+        bases = self._whole("base")
+        if not bases:
+            return None, set()
+        path = f"{self.folder}/base-{bases[-1]}"
+        return path, {r["batch"] for r in self.spark.read.schema(f"{TOTALS}, batch string").parquet(path).filter("batch is not null").collect()}
+
+    def batches(self) -> list[str]:
+        """Committed batches, in a base or not."""
+        return sorted(set(self._whole("batch")) | self._base()[1])
+
+    def commit(self, batch: str, changes: DataFrame, verify: bool = False) -> bool:
+        """Adds the changes, once; False if the batch was committed before.
 
-    def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Adds the changes, once; False if the batch was committed before."""
+        ``verify`` reads a batch that comes again and compares it with what was committed
+        (unless a base holds it by now): other changes under the same name are an error.
+        """
         if not batch.replace("-", "").replace("_", "").isalnum():
             raise ValueError("a batch is named with letters, digits, - and _")
         if batch in self.batches():
+            if verify and batch in self._whole("batch"):
+                before = self.spark.read.schema(TOTALS).parquet(f"{self.folder}/batch-{batch}")
+                again = deltas(changes)
+                if not before.exceptAll(again).unionAll(again.exceptAll(before)).isEmpty():
+                    raise ValueError(f"batch {batch} was committed with other changes")
             return False
         deltas(changes).write.mode("overwrite").parquet(f"{self.folder}/batch-{batch}")
         return True
 
+    def _rows(self) -> DataFrame:
+        base, held = self._base()
+        paths = [f"{self.folder}/batch-{batch}" for batch in self._whole("batch") if batch not in held]
+        rows = self.spark.read.schema(TOTALS).parquet(*paths) if paths else self.spark.createDataFrame([], TOTALS)
+        if base:
+            rows = rows.unionByName(self.spark.read.schema(f"{TOTALS}, batch string").parquet(base).filter("batch is null").drop("batch"))
+        return rows
+
+    def compact(self) -> None:
+        """Puts all batches into a new base, which also keeps their names, and then removes them.
+
+        A base counts when it is written whole, and batches that it holds are read no more, so
+        dying at any point changes no total.
+        """
+        names = self.batches()
+        if not names:
+            return
+        bases = self._whole("base")
+        number = int(bases[-1]) + 1 if bases else 1
+        held = self.spark.createDataFrame([(name,) for name in names], "batch string").select(
+            *[F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in TOTALS.split(", "))], "batch")
+        summed = self._summed().withColumn("batch", F.lit(None).cast("string"))
+        summed.unionByName(held).write.mode("overwrite").parquet(f"{self.folder}/base-{number:09d}")
+        for old in [f"batch-{name}" for name in self._whole("batch") if name in names] + [f"base-{name}" for name in bases]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{old}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _summed(self) -> DataFrame:
+        sums = self._rows().groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        return sums.filter("n_docs <> 0 or n_tokens <> 0")
+
     def totals(self) -> DataFrame:
         """``source, lang, tokenizer, n_docs, n_tokens``."""
-        schema = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
-        paths = [f"{self.folder}/batch-{batch}" for batch in self.batches()]
-        rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-        sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return sums.filter("n_docs <> 0 or n_tokens <> 0")
+        return self._summed()
+
+
+PROVISIONAL = "four_chars-1"
 
 
 def recount(docs: DataFrame, tokenizer: str = "byte_bpe_50k-1", vocabulary: str = VOCABULARY) -> DataFrame:
-    """Totals of a corpus: loaded with provisional counts, then revised to the tokenizer's, with the last batch sent twice."""
-    rollup = Rollup(docs.sparkSession, scratch(docs.sparkSession))
-    loaded = docs.select(F.lit("insert").alias("op"), "source", "lang", F.lit(tokenizer).alias("tokenizer"),
-                         F.lit(None).cast("long").alias("n_old"), estimate(F.col("text")).alias("n_new"))
-    rollup.commit("load", loaded)
-    revised = bpe_counts(docs, vocabulary).select(F.lit("revise").alias("op"), "source", "lang", F.lit(tokenizer).alias("tokenizer"),
-                                                  F.col("n_provisional").alias("n_old"), F.col("n_tokens").alias("n_new"))
-    rollup.commit("recount", revised)
+    """Totals of a corpus that went through all kinds of change.
+
+    It is loaded under the provisional version, moved (deleted there and inserted with the same
+    counts under the tokenizer's version), compacted, and revised to the tokenizer's counts; the last
+    batch is sent twice.  The provisional version cancels out.
+    """
+    folder = scratch(docs.sparkSession)
+    rollup, counted = Rollup(docs.sparkSession, folder), stored(bpe_counts(docs, vocabulary), folder, "counts")
+
+    def change(op: str, version: str, old: str | None, new: str | None) -> DataFrame:
+        count = lambda name: (F.lit(None) if name is None else F.col(name)).cast("long")
+        return counted.select(F.lit(op).alias("op"), "source", "lang", F.lit(version).alias("tokenizer"), count(old).alias("n_old"), count(new).alias("n_new"))
+
+    rollup.commit("load", change("insert", PROVISIONAL, None, "n_provisional"))
+    moved = change("delete", PROVISIONAL, "n_provisional", None).unionByName(change("insert", tokenizer, None, "n_provisional"))
+    rollup.commit("move", moved)
+    rollup.compact()
+    revised = change("revise", tokenizer, "n_provisional", "n_tokens")
     rollup.commit("recount", revised)
+    rollup.commit("recount", revised, verify=True)
     return rollup.totals()
