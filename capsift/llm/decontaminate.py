@@ -164,20 +164,28 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def _aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns named like those of ``find`` under other names, and the way back."""
+    theirs = {name: f"_theirs_{name}" for name in ("n_words", "spans", "items") if name in docs.columns}
+    return docs.withColumnsRenamed(theirs), {new: old for old, new in theirs.items()}
+
+
 def drop_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without those in which an item's window occurs; passages of items without an id count as well."""
     named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
-    return find(docs, named, **options).filter(F.size("items") == 0).select(*docs.columns)
+    rows, back = _aside(docs)
+    return find(rows, named, **options).filter(F.size("items") == 0).select(*rows.columns).withColumnsRenamed(back)
 
 
 def drop_spans(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` with the hit words cut out of the text; what stood between two kept words stays with the first."""
-    found = find(docs, benchmark, **options)
+    rows, back = _aside(docs)
+    found = find(rows, benchmark, **options)
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
     pieces = F.regexp_extract_all("text", F.lit(word), F.lit(0))
     kept = F.filter(pieces, lambda piece, i: ~F.exists("spans", lambda s: (s["start"] <= i) & (i < s["stop"])))
     text = F.when(F.size("items") > 0, F.array_join(kept, "")).otherwise(F.col("text"))
-    return found.withColumn("text", text).select(*docs.columns)
+    return found.withColumn("text", text).select(*rows.columns).withColumnsRenamed(back)
 
 
 def _sql_words(x: str) -> str:
