@@ -60,10 +60,17 @@ def logcat_summary(spark, sf_dir):
     return logs.logcat_summary(view(spark, sf_dir, "v_logcat_lines"))
 
 
-@register("log_totals_corpus")
+@register("log_totals_corpus", query("v_log_lines", _SEVERE,
+    ("t", f"select severity, case when severity = 'info' then '' else {template('line')} end as template from s where severity is not null"),
+    final="select severity, count(*) as n, count(distinct template) as n_unique, true as estimate_within from t group by severity"))
 def log_totals_corpus(spark, sf_dir):
-    """Lines and estimated distinct templates of the whole corpus, from one sketch per day."""
-    return logs.log_totals_of(logs.log_sketches(view(spark, sf_dir, "v_log_lines")))
+    """Lines and distinct templates of the whole corpus, and whether the daily sketches' estimate keeps its bound."""
+    lines = view(spark, sf_dir, "v_log_lines")
+    estimated = logs.log_totals_of(logs.log_sketches(lines)).withColumnRenamed("n_unique", "estimate")
+    exact = logs.template_counts(lines, info=True).groupBy("severity", "template").agg(F.sum("n")).groupBy("severity").agg(
+        F.count("*").alias("n_unique"))
+    within = F.abs(F.col("estimate") - F.col("n_unique")) <= 0.02 * F.col("n_unique") + 1
+    return estimated.join(exact, "severity").select("severity", "n", "n_unique", within.alias("estimate_within"))
 
 
 @register("stream_log_templates", query("v_log_lines", _SEVERE, final=(
