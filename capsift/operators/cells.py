@@ -1,5 +1,7 @@
 """Compact text for formats that group lines, out of one cell.
 
+FIXED VALUES: the phrases of the texts, as in ``compact``.
+
 The counterpart of ``render`` for captures whose text lies in one cell anyway: lines are cut
 into pieces at header lines, or sorted by key and cut where the key changes, so a text is
 walked a few times and never leaves the task that read it.  Like the functions of ``compact``

@@ -1,5 +1,8 @@
 """Compact text of one capture, for formats that need no grouping.
 
+FIXED VALUES: the phrases that texts are made of (headings, counts, "ok" lines) are part of the
+formats and stand where they are used, plainly.
+
 Each function maps ``raw`` (and ``command`` where it matters) to the compact
 text, as one column expression over the lines of one cell.  So all of them fit
 in a single CASE over one scan, only the branch taken is evaluated, and the text

@@ -1,5 +1,7 @@
 """Compact text for formats that group lines, from the operators' tables.
 
+FIXED VALUES: the phrases of the texts, as in ``compact``.
+
 A *page* is ``capture_id, o1, o2, o3, text``: lines of output with their order.
 Pages come from capped tables, so they are small next to the input.  Tokens of
 a page are summed without building its text (:func:`page_tokens`);

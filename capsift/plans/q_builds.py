@@ -1,4 +1,8 @@
-"""Build, test and diagnostic queries."""
+"""Build, test and diagnostic queries.
+
+FIXED VALUES: the patterns and caps in the SQL below state the formats once more, on purpose, so that
+a slip in ``rules`` shows as a difference.
+"""
 
 from pyspark.sql import functions as F
 
