@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from capsift import rules as R
 from capsift.functions.text import bigint, trim_ws
-from capsift.operators.lines import capped, capped_list, capped_tally, classed, filled, most, with_caps, within_caps
+from capsift.operators.lines import capped, capped_tally, classed, filled, most, with_caps, within_caps
 
 Caps = Mapping[str, int | None]
 
@@ -49,20 +49,18 @@ def gradle_issues(lines: DataFrame, caps: Caps | None = None, short: int | None
         F.when(line.rlike(R.GRADLE_FAILED_TASK), "failed_task"),
         F.when(line.rlike(R.GRADLE_ERROR) & ~line.startswith("0 error"), "error"),
         F.when(line.rlike(R.GRADLE_WARNING) & ~line.startswith("0 warning"), "warning")])
+    # One combining pass: failed tasks stay rows of their own, of results and times the last one counts.
     kind = F.col("section")
-    last = (rows.where(kind.isin("result", "time")).groupBy("capture_id", "section")
-            .agg(F.max_by("line", "line_no").alias("line"), F.max("line_no").alias("line_no"),
-                 F.count(F.lit(1)).alias("total"))
-            .withColumn("rank", F.lit(1)).withColumn("n_distinct", F.lit(1)))
-    tasks = (capped_list(rows.where(kind == "failed_task"), ["capture_id", "section"],
-                         most(caps["failed_task"]))
-             .withColumn("n_distinct", F.col("total")).drop("more"))
-    issues = capped_tally(rows.where(kind.isin("error", "warning")), ["capture_id", "section"],
-                          most(caps["error"], caps["warning"])).drop("n", "first_line_no")
-    issues = within_caps(issues, caps).where(
-        (kind == "error") | (F.col("total") <= most(caps["warning"])) | (F.col("rank") <= most(short)))
-    out = issues.unionByName(tasks).unionByName(last)
-    return _issue_columns(out.withColumn("rank", bigint("rank")))
+    newest, task = kind.isin("result", "time"), kind == "failed_task"
+    counted = rows.groupBy("capture_id", "section", "line", F.when(task, F.col("line_no")).alias("_own")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("line_no").alias("_first"), F.max("line_no").alias("_last"))
+    counted = counted.withColumn("line_no", F.when(newest, F.col("_last")).otherwise(F.col("_first")))
+    order = [F.when(newest, -F.col("line_no")).otherwise(F.col("line_no")), line]
+    listed = capped(counted, ["capture_id", "section"], order, most(*caps.values()),
+                    {"total": ("sum", F.col("n")), "n_distinct": ("sum", F.lit(1))})
+    listed = within_caps(listed, {**caps, "result": 1, "time": 1}).where(
+        (kind != "warning") | (F.col("total") <= most(caps["warning"])) | (F.col("rank") <= most(short)))
+    return _issue_columns(listed.withColumn("n_distinct", F.when(newest, 1).otherwise(F.col("n_distinct"))))
 
 
 def next_issues(lines: DataFrame, caps: Caps | None = None) -> DataFrame:

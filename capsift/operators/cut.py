@@ -8,13 +8,14 @@ capture may be far larger than a cell.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 import re
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from capsift import rules as R
 from capsift.functions.text import bigint, not_blank, token_estimate, trim_ws
-from capsift.operators.lines import capped, capped_tally, filled, most
+from capsift.operators.lines import capped, most, sections_of, whole_groups
 
 
 def _split(raw: Column) -> Column:
@@ -114,47 +115,78 @@ def tail_n(captures: DataFrame, k: int = R.INSTALL_TAIL) -> DataFrame:
     return _report(captures, tail_text(F.col("raw"), k))
 
 
-def generic_lines(lines: DataFrame, whole: int = R.GENERIC_PASS, front: int = R.GENERIC_HEAD, end: int = R.GENERIC_TAIL) -> DataFrame:
+def surveyed(lines: DataFrame, first: int, last: int, hit: Column | None = None, caps: Mapping[str, int | None] | None = None) -> DataFrame:
+    """One combining pass: the capped hits of each capture, and the ends of its other distinct lines.
+
+    ``hit`` names the section of a line that belongs to one (``caps`` by section); it
+    stays a row of its own, trimmed; the section ``skip`` only marks the capture.  Other
+    lines are ``text`` and counted once, blank lines are ``blank``.  ``n_lines`` counts all lines of the capture, ``lead`` is its
+    least section of hits; both come from the rows that are left, which caps bound.
+    """
+    section = F.when(not_blank(F.col("line")), "text").otherwise("blank")
+    section = section if hit is None else F.coalesce(hit, section)
+    own = ~F.col("section").isin("text", "blank", "skip")
+    rows = lines.select("capture_id", "line_no", section.alias("section"), "line")
+    rows = rows.withColumn("line", F.when(F.col("section").isin("blank", "skip"), "").when(own, trim_ws(F.col("line")))
+                           .otherwise(F.col("line")))
+    counted = rows.groupBy("capture_id", "section", "line", F.when(own, F.col("line_no")).alias("_own")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("line_no").alias("line_no"))
+    k = F.lit(first).cast("bigint")
+    for name, cap in (caps or {}).items():
+        k = F.when(F.col("section") == name, F.lit(most(cap)).cast("bigint")).otherwise(k)
+    ends = capped(counted, ["capture_id", "section"], [F.col("line_no")], k,
+                  {"n_rows": ("sum", F.col("n")), "n_distinct": ("sum", F.lit(1))}, last=last)
+    capture = Window.partitionBy("capture_id")
+    return ends.withColumns({
+        "n_lines": F.sum(F.when(F.col("rank") == 1, F.col("n_rows"))).over(capture),
+        "lead": F.min(F.when(~F.col("section").isin("text", "blank"), F.col("section"))).over(capture)})
+
+
+def generic_parts(whole: int, front: int | None, end: int | None, prefix: str = "") -> list[tuple]:
+    """The sections of the generic cut among surveyed rows, for captures without hits."""
+    n, rank, back = F.col("n_distinct"), F.col("rank"), F.col("from_end")
+    text = (F.col("section") == "text") & (F.col("n_lines") > whole) & F.col("lead").isNull()
+    head = F.when(n <= whole, prefix + "distinct").otherwise(prefix + "head")
+    return [(text & ((n <= whole) | (rank <= most(front))), head, rank, n),
+            (text & (n > whole) & (back <= most(end)), F.lit(prefix + "tail"), n - back + 1, n)]
+
+
+def passed(lines: DataFrame, whole: int, skip: Column | None = None, section: str = "pass") -> DataFrame:
+    """Captures of at most ``whole`` lines as they are."""
+    return sections_of(whole_groups(lines, ["capture_id"], whole, skip),
+                       (F.lit(True), F.lit(section), F.col("rank"), F.col("total")))
+
+
+def generic_lines(lines: DataFrame, whole: int = R.GENERIC_PASS, front: int | None = R.GENERIC_HEAD, end: int | None = R.GENERIC_TAIL,
+                  skip: Column | None = None, prefix: str = "") -> DataFrame:
     """The generic cut over a line table: ``section, rank, line, total``.
 
     Sections: ``pass`` (at most ``whole`` lines, kept as they are), ``distinct`` (at
-    most ``whole`` distinct), else the ``front`` ``head`` and ``end`` ``tail`` of the distinct lines.  Every
-    branch is cut to its cap before a capture's rows meet.
+    most ``whole`` distinct), else the ``front`` ``head`` and ``end`` ``tail`` of the distinct lines,
+    ``None`` for all.  Captures with a line that is ``skip`` give nothing.  The lines are read
+    twice, since a task can cut short captures without a shuffle, but distinct lines must meet.
     """
-    short = (capped(lines, ["capture_id"], [F.col("line_no")], whole,
-                    {"total": ("sum", F.lit(1))}, limit_first=True)
-             .where(F.col("total") <= whole)
-             .select("capture_id", F.lit("pass").alias("section"), "rank", "line", "line_no",
-                     bigint("total").alias("total")))
-    sizes = lines.groupBy("capture_id").agg(F.count(F.lit(1)).alias("n_lines"))
-    first = capped_tally(filled(lines), ["capture_id"], max(whole, front))
-    n = F.col("n_distinct")
-    head = (first.where((n <= whole) | (F.col("rank") <= front))
-            .select("capture_id",
-                    F.when(n <= whole, "distinct").otherwise("head").alias("section"),
-                    "rank", "line", "line_no", bigint(n).alias("total")))
-    last = (capped(filled(lines).groupBy("capture_id", "line").agg(F.min("line_no").alias("line_no")),
-                   ["capture_id"], [F.col("line_no").desc()], end,
-                   {"total": ("sum", F.lit(1))})
-            .where(F.col("total") > whole)
-            .select("capture_id", F.lit("tail").alias("section"),
-                    bigint(F.col("total") - F.col("rank") + 1).alias("rank"), "line", "line_no",
-                    bigint("total").alias("total")))
-    many = head.unionByName(last).join(
-        sizes.where(F.col("n_lines") > whole).select("capture_id"), "capture_id", "left_semi")
-    return short.unionByName(many)
+    hit = None if skip is None else F.when(skip, "skip")
+    rows = surveyed(lines, max(whole, most(front)), most(end), hit, {"skip": 1})
+    return passed(lines, whole, skip, prefix + "pass").unionByName(sections_of(rows, *generic_parts(whole, front, end, prefix)))
 
 
 def signature_lines(lines: DataFrame, fallback: int | None = R.SIGNATURE_FALLBACK) -> DataFrame:
-    """Declaration lines; captures without any give their first ``fallback`` lines, ``None`` for all."""
-    is_signature = F.col("line").rlike(R.SIGNATURES[0]) | F.col("line").rlike(R.SIGNATURES[1])
-    found = lines.where(is_signature).select(
-        "capture_id", "line_no", "line", F.lit("signature").alias("section"))
-    head = (capped(lines.withColumn("_hit", is_signature.cast("int")), ["capture_id"],
-                   [F.col("line_no")], most(fallback), {"hits": ("max", F.col("_hit"))}, limit_first=True)
-            .where(F.col("hits") == 0)
-            .select("capture_id", "line_no", "line", F.lit("fallback").alias("section")))
-    return found.unionByName(head)
+    """Declaration lines; captures without any give their first ``fallback`` lines, ``None`` for all.
+
+    One pass: each line is a candidate of the fallback, declarations sort first among
+    them, and where the first is a declaration the fallback isn't taken.
+    """
+    line = F.col("line")
+    rows = lines.withColumn("_hit", line.rlike(R.SIGNATURES[0]) | line.rlike(R.SIGNATURES[1]))
+    hit = F.coalesce("_hit", F.lit(False))
+    rows = rows.select("capture_id", "line_no", F.inline(F.array_compact(F.array(
+        F.when(hit, F.struct(F.lit("signature").alias("section"), F.col("line_no").alias("_own"), line.alias("line"), hit.alias("_hit"))),
+        F.struct(F.lit("fallback").alias("section"), F.lit(None).cast("bigint").alias("_own"), F.when(~hit, line).alias("line"), hit.alias("_hit"))))))
+    first = capped(rows, ["capture_id", "section", "_own"], [F.col("_hit").desc(), F.col("line_no")], most(fallback))
+    declares = F.max("_hit").over(Window.partitionBy("capture_id", "section", "_own"))
+    return (first.withColumn("_hit", declares).where((F.col("section") == "signature") | ~F.col("_hit"))
+            .select("capture_id", "line_no", "line", "section"))
 
 
 #: Anchors, groups with options or look-around, and possessive counts may fit a line but not the text around it.

@@ -33,9 +33,9 @@ def chunk_of(line_no: str = "line_no", size: int = CHUNK) -> Column:
     return F.floor(F.col(line_no) / size)
 
 
-def capped(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
+def capped(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | Column,
            totals: Mapping[str, tuple[str, Column]] | None = None,
-           split: Column | None = None, limit_first: bool = False) -> DataFrame:
+           split: Column | None = None, limit_first: bool = False, last: int = 0) -> DataFrame:
     """First ``k`` rows per key, with ``rank`` and whole-group ``totals``.
 
     ``totals`` maps an output column to ``("sum" | "min" | "max", expression)``
@@ -47,6 +47,10 @@ def capped(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int
     ``k`` rows per key before anything is shuffled, and totals come from a
     second, combining pass.  Without it the rows are shuffled once and read
     once, which is better for rows that a filter made rare.
+
+    With ``last`` the last rows per key are kept as well, and ``from_end`` is 1 for
+    the very last; both ends come from one sort.  The ``rank`` of a row beyond the
+    first ``k`` only orders it.
     """
     totals = dict(totals or {})
     fold = {"sum": F.sum, "min": F.min, "max": F.max}
@@ -64,15 +68,49 @@ def capped(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int
     out = rows.withColumn("_split", chunk_of() if split is None else split)
     out = out.withColumn("_rank", F.row_number().over(local.orderBy(*order)))
     out = out.withColumns({f"_{name}": fold[how](expr).over(local) for name, (how, expr) in totals.items()})
-    out = out.where(F.col("_rank") <= k).withColumn("rank", F.row_number().over(per_key.orderBy(*order)))
+    if last:
+        out = out.withColumn("_n", F.count(F.lit(1)).over(local)).where((F.col("_rank") <= k) | (F.col("_rank") > F.col("_n") - last))
+    else:
+        out = out.where(F.col("_rank") <= k)
+    out = out.withColumn("rank", F.row_number().over(per_key.orderBy(*order)))
 
     def part(name: str, how: str) -> Column:
         # A sum enters once per split, carried by the split's first row.
         return F.when(F.col("_rank") == 1, F.col(f"_{name}")) if how == "sum" else F.col(f"_{name}")
 
     out = out.withColumns({name: fold[how](part(name, how)).over(per_key) for name, (how, _) in totals.items()})
-    return (out.where(F.col("rank") <= k).withColumn("rank", bigint("rank"))
-            .drop("_split", "_rank", *[f"_{name}" for name in totals]))
+    inside = F.col("rank") <= k
+    if last:
+        out = out.withColumn("from_end", bigint(F.count(F.lit(1)).over(per_key) - F.col("rank") + 1))
+        inside = inside | (F.col("from_end") <= last)
+    return (out.where(inside).withColumn("rank", bigint("rank"))
+            .drop("_split", "_rank", "_n", *[f"_{name}" for name in totals]))
+
+
+def whole_groups(rows: DataFrame, keys: Sequence[str], k: int, skip: Column | None = None) -> DataFrame:
+    """All rows of the groups that hold at most ``k``, with ``rank`` and ``total``.
+
+    ``k + 1`` rows tell that a group holds more, so a scan task passes on no more than
+    these and nothing is counted in a pass of its own.  Groups with a row that is
+    ``skip`` are left out: such rows sort first and so reach the test.
+    """
+    skip = F.lit(False) if skip is None else F.coalesce(skip, F.lit(False))
+    whole = Window.partitionBy(*keys)
+    first = rows.withColumn("_skip", skip).withColumn("rank", F.row_number().over(whole.orderBy(F.col("_skip").desc(), "line_no")))
+    first = first.where(F.col("rank") <= k + 1)
+    known = first.withColumns({"total": F.count(F.lit(1)).over(whole), "_skip": F.max("_skip").over(whole)})
+    return known.where((F.col("total") <= k) & ~F.col("_skip")).withColumn("rank", bigint("rank")).drop("_skip")
+
+
+def sections_of(rows: DataFrame, *parts: tuple) -> DataFrame:
+    """``capture_id, section, rank, line, line_no, total`` from ``rows``, read once.
+
+    Each part is ``(condition, section, rank, total)``; a row gives one row per part
+    whose condition holds.
+    """
+    found = [F.when(when, F.struct(section.alias("section"), bigint(rank).alias("rank"), F.col("line"), F.col("line_no"),
+                                   bigint(total).alias("total"))) for when, section, rank, total in parts]
+    return rows.select("capture_id", F.inline(F.array_compact(F.array(*found))))
 
 
 def tally(rows: DataFrame, keys: Sequence[str], text: str = "line") -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from capsift import rules as R
-from capsift.functions.text import bigint, contains_any, normalize_log_line, trim_ws, truncate_line
-from capsift.operators.lines import capped, capped_tally, classed, filled, most, tail_lines, with_caps, within_caps
+from capsift.functions.text import bigint, contains_any, normalize_log_line, not_blank, trim_ws, truncate_line
+from capsift.operators.lines import capped, capped_tally, classed, filled, most, with_caps, within_caps
 
 
 def with_severity(lines: DataFrame, wanted: tuple[str, ...] = ("error", "warn", "info")) -> DataFrame:
@@ -100,31 +100,33 @@ def logcat_summary(lines: DataFrame, caps: Mapping[str, int | None] | None = Non
     the default caps by section, ``None`` for all rows.
     """
     caps = with_caps(R.LOGCAT_CAPS, caps)
-    sizes = lines.groupBy("capture_id").agg(F.count(F.lit(1)).alias("n_lines"))
+    raw, capture = F.col("line"), Window.partitionBy("capture_id")
+    rows = lines.select("capture_id", "line_no", raw.alias("_raw"), trim_ws(raw).alias("line"))
     line, low = F.col("line"), F.lower("line")
-    full = filled(lines).select("capture_id", "line_no", trim_ws(line).alias("line"))
     # Every test runs once per line; regexes only where their letters occur.
-    tests = full.select("*", (low.contains("fatal") | (low.contains("f/") & line.rlike(R.LOGCAT_FATAL))).alias("f"),
+    tests = rows.select("*", (low.contains("fatal") | (low.contains("f/") & line.rlike(R.LOGCAT_FATAL))).alias("f"),
                         (low.contains("error") | (low.contains("e/") & line.rlike(R.LOGCAT_ERROR))).alias("e"),
                         (low.contains("warn") | (low.contains("w/") & line.rlike(R.LOGCAT_WARNING))).alias("w"),
                         (contains_any(low, "androidruntime", "anr in") | (
                             low.contains("process:") & line.rlike(R.LOGCAT_CRASH))).alias("c"))
-    hits = classed(tests, [F.when(F.col("f") | F.col("c"), "fatal"), F.when(F.col("e") & ~F.col("f"), "error"),
-                           F.when(F.col("w") & ~F.col("e") & ~F.col("f"), "warning")]).drop("f", "e", "w", "c")
-    listed = within_caps(capped_tally(hits, ["capture_id", "section"], most(*caps.values())), caps)
-    listed = listed.select("capture_id", "section", "rank", "line", bigint("total").alias("total"),
-                           bigint("n_distinct").alias("n_distinct"))
-    long = sizes.where(F.col("n_lines") > whole).select("capture_id")
-    listed = listed.join(long, "capture_id", "left_semi")
-    short = (capped(lines, ["capture_id"], [F.col("line_no")], whole,
-                    {"total": ("sum", F.lit(1))}, limit_first=True).where(F.col("total") <= whole))
-    newest = (tail_lines(full, recent).withColumnRenamed("from_end", "rank")
-              .withColumn("total", F.lit(recent))
-              .join(long, "capture_id", "left_semi")
-              .join(hits.select("capture_id").distinct(), "capture_id", "left_anti"))
-
-    def plain(rows: DataFrame, section: str) -> DataFrame:
-        return rows.select("capture_id", F.lit(section).alias("section"), "rank", "line",
-                           bigint("total").alias("total"), bigint("total").alias("n_distinct"))
-
-    return listed.unionByName(plain(short, "pass")).unionByName(plain(newest, "recent"))
+    fatal, error = F.col("f") | F.col("c"), F.col("e") & ~F.col("f")
+    warning = F.col("w") & ~F.col("e") & ~F.col("f")
+    # The nameless section holds every line as the same empty text: it combines to the line count.
+    hits = classed(tests, [F.lit(""), F.when(fatal, "fatal"), F.when(error, "error"), F.when(warning, "warning")]).select(
+        "capture_id", "section", "line_no", F.when(F.col("section") == "", "").otherwise(line).alias("line"))
+    listed = within_caps(capped_tally(hits, ["capture_id", "section"], most(*caps.values())), {**caps, "": 1})
+    sized = listed.withColumn("n_lines", F.max(F.when(F.col("section") == "", F.col("total"))).over(capture))
+    listed = sized.where((F.col("n_lines") > whole) & (F.col("section") != "")).select(
+        "capture_id", "section", "rank", "line", bigint("total").alias("total"), bigint("n_distinct").alias("n_distinct"))
+    # Whole short captures and newest lines: hits sort first among the newest, so the first one tells of any.
+    hit, at = F.coalesce(fatal | error | warning, F.lit(False)), F.col("line_no")
+    both = tests.select("capture_id", F.inline(F.array_compact(F.array(
+        F.struct(F.lit("pass").alias("section"), F.col("_raw").alias("line"), at.alias("_at"), F.lit(False).alias("_hit")),
+        F.when(not_blank(line), F.struct(F.lit("recent").alias("section"), line.alias("line"), (-at).alias("_at"), hit.alias("_hit")))))))
+    first = capped(both, ["capture_id", "section"], [F.col("_hit").desc(), F.col("_at")], max(whole + 1, recent))
+    passes = F.col("section") == "pass"
+    known = first.withColumns({"total": F.count_if(passes).over(capture), "_hit": F.max("_hit").over(capture)})
+    short = F.col("total") <= whole
+    plain = known.where(F.when(passes, short).otherwise(~short & ~F.col("_hit") & (F.col("rank") <= recent)))
+    total = bigint(F.when(passes, F.col("total")).otherwise(F.lit(recent)))
+    return listed.unionByName(plain.select("capture_id", "section", "rank", "line", total.alias("total"), total.alias("n_distinct")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from capsift import rules as R
 from capsift.functions.text import bigint, compact_path, snippet
-from capsift.operators.lines import capped, most
+from capsift.operators.lines import capped, most, whole_groups
 
 
 def parse_matches(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -72,9 +72,7 @@ def paths_by_dir(paths: DataFrame, short: int = R.FIND_PASS, whole: int | None =
     Captures of at most ``short`` paths are marked ``short`` and list every path.
     """
     sizes = paths.groupBy("capture_id").agg(F.count(F.lit(1)).alias("total"))
-    brief = (capped(paths, ["capture_id"], [F.col("line_no")], short, {"total": ("sum", F.lit(1))},
-                    limit_first=True)
-             .where(F.col("total") <= short)
+    brief = (whole_groups(paths, ["capture_id"], short)
              .select("capture_id", F.lit("short").alias("section"), "dir", "rank", "name",
                      bigint("total").alias("n"), bigint("line_no").alias("first_line_no")))
     long = sizes.where(F.col("total") > short).select("capture_id")

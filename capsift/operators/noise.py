@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from capsift import rules as R
-from capsift.functions.text import bigint, trim_ws
-from capsift.operators.cut import generic_lines
-from capsift.operators.lines import capped, capped_list, filled, most
+from capsift.functions.text import bigint, not_blank, trim_ws
+from capsift.operators.cut import generic_lines, generic_parts, passed, surveyed
+from capsift.operators.lines import capped, capped_list, classed, filled, most, sections_of
 
 
 def drop_noise_dirs(rows: DataFrame, *columns: str, show_all: bool = False) -> DataFrame:
@@ -37,59 +37,49 @@ def _rows(df: DataFrame, section: str) -> DataFrame:
                      "line", bigint("total").alias("total"))
 
 
-def _generic(lines: DataFrame, found: DataFrame) -> DataFrame:
-    """The generic cut, only for captures that ``found`` does not hold."""
-    rest = lines.join(found.select("capture_id").distinct(), "capture_id", "left_anti")
-    cut = generic_lines(rest)
-    return cut.select("capture_id", F.concat(F.lit("generic_"), "section").alias("section"),
-                      "rank", "line", "total")
-
-
 def drop_npm_noise(lines: DataFrame, errors: int | None = R.NPM_ERROR_CAP, summaries: int | None = R.NPM_SUMMARY_CAP) -> DataFrame:
     """npm errors if any, else summary lines, else the generic cut; a cap of ``None`` keeps all."""
-    line = F.col("line")
+    line = trim_ws(F.col("line"))
     noise = (line.rlike(R.NPM_NOISE) & ~line.rlike("(?i)error")) | line.rlike(R.NPM_SPINNER)
-    section = F.when(line.rlike(R.NPM_ERROR), "error").when(line.rlike(R.NPM_SUMMARY), "summary")
-    marked = (filled(lines).select("capture_id", "line_no", trim_ws(line).alias("line"))
-              .where(~noise).withColumn("section", section).where(F.col("section").isNotNull()))
-    ranked = capped(marked, ["capture_id", "section"], [F.col("line_no")], most(errors, summaries),
-                    {"total": ("sum", F.lit(1))})
-    # Both sections are capped by now, so this second look per capture is small.
-    best = ranked.groupBy("capture_id").agg(F.min("section").alias("best"))
-    listed = (ranked.join(best, "capture_id").where(F.col("section") == F.col("best"))
-              .where(F.col("rank") <= F.when(F.col("section") == "error", F.lit(most(errors))).otherwise(F.lit(most(summaries))))
-              .select("capture_id", "section", "rank", "line", bigint("total").alias("total")))
-    return listed.unionByName(_generic(lines, marked))
-
-
-def _short_or(kept: DataFrame, limit: int) -> DataFrame:
-    """First ``limit`` kept lines with the total, shared by the list filters."""
-    return capped_list(kept, ["capture_id"], limit)
+    hit = F.when(~noise, F.when(line.rlike(R.NPM_ERROR), "error").when(line.rlike(R.NPM_SUMMARY), "summary"))
+    caps = {"error": errors, "summary": summaries}
+    whole, front, end = R.GENERIC_PASS, R.GENERIC_HEAD, R.GENERIC_TAIL
+    rows = surveyed(lines, max(whole, front), end, hit, caps)
+    rank, limit = F.col("rank"), F.when(F.col("section") == "error", F.lit(most(errors))).otherwise(F.lit(most(summaries)))
+    leads = (F.col("section") == F.col("lead")) & (rank <= limit)
+    listed = sections_of(rows, (leads, F.col("section"), rank, F.col("n_rows")), *generic_parts(whole, front, end, "generic_"))
+    return listed.unionByName(passed(lines, whole, hit.isNotNull(), "generic_pass")).drop("line_no")
 
 
 def drop_pnpm_noise(lines: DataFrame, whole: int = R.PNPM_PASS, dependencies: int | None = R.PNPM_CAP) -> DataFrame:
-    """At most ``whole`` lines pass; more give a summary line and the first ``dependencies``, ``None`` for all."""
-    line = F.col("line")
+    """At most ``whole`` lines pass; more give a summary line and the first ``dependencies``, ``None`` for all.
+
+    One combining pass counts, another takes the first lines, cut per task before the shuffle.
+    """
+    line, rank = F.col("line"), F.col("rank")
     kept = filled(lines).where(~trim_ws(line).rlike(R.PNPM_NOISE))
-    short = _short_or(kept, whole)
-    passed = _rows(short.where(F.col("total") <= whole), "pass")
     is_dep, is_sum = line.rlike(R.PNPM_DEPENDENCY), line.rlike(R.PNPM_SUMMARY)
-    stats = kept.groupBy("capture_id").agg(
+    stats = kept.groupBy(F.col("capture_id").alias("_id")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(is_dep).alias("total"),
-        F.min_by("line", F.when(is_sum, F.col("line_no"))).alias("summary")
-    ).where(F.col("n") > whole)
-    summary = _rows(stats.select(
-        "capture_id", F.lit(1).alias("rank"), "total",
-        F.coalesce("summary", F.format_string("%d packages", "total")).alias("line")), "summary")
-    deps = capped_list(kept.where(is_dep), ["capture_id"], most(dependencies))
-    deps = _rows(deps.join(stats.select("capture_id"), "capture_id", "left_semi"), "dependency")
-    return passed.unionByName(summary).unionByName(deps)
+        F.min_by("line", F.when(is_sum, F.col("line_no"))).alias("summary"))
+    both = classed(kept, [F.lit("pass"), F.when(is_dep, "dependency")])
+    first = capped(both, ["capture_id", "section"], [F.col("line_no")], most(whole, dependencies))
+    known = first.join(stats, F.col("capture_id").eqNullSafe(F.col("_id")))
+    long, passes = F.col("n") > whole, F.col("section") == "pass"
+    summary = F.coalesce("summary", F.format_string("%d packages", "total"))
+
+    def part(when: Column, section: str, text: Column, total: str) -> Column:
+        return F.when(when, F.struct(F.lit(section).alias("section"), rank.alias("rank"), text.alias("line"), bigint(total).alias("total")))
+
+    return known.select("capture_id", F.inline(F.array_compact(F.array(
+        part(passes & ~long, "pass", line, "n"), part(passes & long & (rank == 1), "summary", summary, "total"),
+        part(~passes & long & (rank <= most(dependencies)), "dependency", line, "total")))))
 
 
 def drop_pip_noise(lines: DataFrame, whole: int = R.PIP_PASS, head: int | None = R.PIP_CAP) -> DataFrame:
     """At most ``whole`` lines pass; more give the first ``head`` (``None`` for all) and the total."""
     kept = filled(lines).where(~trim_ws(F.col("line")).rlike(R.PIP_NOISE))
-    ranked = _short_or(kept, most(whole, head))
+    ranked = capped_list(kept, ["capture_id"], most(whole, head))
     long = F.col("total") > whole
     return (ranked.where(~long | (F.col("rank") <= most(head)))
             .select("capture_id", F.when(long, "head").otherwise("pass").alias("section"), bigint("rank").alias("rank"),
@@ -98,12 +88,11 @@ def drop_pip_noise(lines: DataFrame, whole: int = R.PIP_PASS, head: int | None =
 
 def drop_prisma_noise(lines: DataFrame) -> DataFrame:
     """Keyword lines without boxes and rules, else the generic cut."""
-    line = F.col("line")
-    trimmed = filled(lines).select("capture_id", "line_no", trim_ws(line).alias("line"))
-    kept = trimmed.where(~line.rlike(R.PRISMA_BOX) & ~line.rlike(R.PRISMA_RULE) & line.rlike(R.PRISMA_KEEP))
-    listed = kept.select("capture_id", F.lit("kept").alias("section"), bigint("line_no").alias("rank"),
-                         "line", F.lit(None).cast("bigint").alias("total"))
-    return listed.unionByName(_generic(lines, kept))
+    line = trim_ws(F.col("line"))
+    hit = not_blank(F.col("line")) & ~line.rlike(R.PRISMA_BOX) & ~line.rlike(R.PRISMA_RULE) & line.rlike(R.PRISMA_KEEP)
+    listed = lines.where(hit).select("capture_id", F.lit("kept").alias("section"), bigint("line_no").alias("rank"),
+                                     line.alias("line"), F.lit(None).cast("bigint").alias("total"))
+    return listed.unionByName(generic_lines(lines, skip=hit, prefix="generic_").drop("line_no"))
 
 
 def unformatted_files(lines: DataFrame, cap: int | None = R.PRETTIER_CAP) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from capsift.operators import cut, gitops, lines as base, logs
+from capsift.operators import builds, cut, gitops, lines as base, logs, noise
 from conftest import dicts
 
 
@@ -73,6 +73,143 @@ def test_generic_lines_equal_generic_text(spark):
             rows[0]["section"] == "pass"
 
 
+def cut_by_hand(lines, whole=40, front=20, end=10):
+    """A sequential reading of the generic cut: ``(section, rank, line, total)``."""
+    if len(lines) <= whole:
+        return {("pass", i, line, len(lines)) for i, line in enumerate(lines, 1)}
+    distinct = list(dict.fromkeys(line for line in lines if line.strip()))
+    n = len(distinct)
+    if n <= whole:
+        return {("distinct", i, line, n) for i, line in enumerate(distinct, 1)}
+    found = list(enumerate(distinct, 1))
+    return {("head", i, line, n) for i, line in found[:front]} | {("tail", i, line, n) for i, line in found[n - end:]}
+
+
+@pytest.fixture(scope="module")
+def texts():
+    """Captures of all lengths; some repeat few lines, some hold blank lines only."""
+    rng = random.Random(7)
+    kinds = {cid: ([rng.choice(["", " ", "x", f"l{rng.randint(0, wide)}"]) for _ in range(n)])
+             for cid, (n, wide) in enumerate((n, wide) for n in (1, 39, 40, 41, 90, 400) for wide in (3, 45, 900))}
+    return {**kinds, 90: [" "] * 60, 91: [""] * 3, 92: [f"u{i}" for i in range(3000)]}
+
+
+def spread(spark, texts, gap=1):
+    rows = [(cid, i * gap, line) for cid, lines in texts.items() for i, line in enumerate(lines)]
+    random.Random(1).shuffle(rows)
+    return spark.createDataFrame(rows, "capture_id long, line_no long, line string").repartition(6)
+
+
+def by_capture(rows):
+    found = {}
+    for cid, *rest in rows:
+        found.setdefault(cid, set()).add(tuple(rest))
+    return found
+
+
+@pytest.mark.parametrize("gap", [1, 70_001])
+def test_generic_lines_equal_sequential_reading(spark, texts, gap):
+    got = cut.generic_lines(spread(spark, texts, gap)).select("capture_id", "section", "rank", "line", "total").collect()
+    assert by_capture(got) == {cid: cut_by_hand(lines) for cid, lines in texts.items() if cut_by_hand(lines)}
+    few = cut.generic_lines(spread(spark, texts, gap), whole=5, front=30, end=40).select("capture_id", "section", "rank", "line", "total").collect()
+    wide = {cid: cut_by_hand(lines, 5, 30, 40) for cid, lines in texts.items() if len(set(lines)) > 90}
+    assert {cid: rows for cid, rows in by_capture(few).items() if cid in wide} == wide  # head and tail share lines or not
+
+
+def test_captures_with_hits_have_no_generic_cut(spark, texts):
+    """npm and prisma: one line that counts, wherever it stands, decides for its capture."""
+    rng = random.Random(8)
+    rows, hit = dict(texts), set()
+    for cid in list(texts)[::2]:
+        lines = list(texts[cid])
+        lines.insert(rng.randint(0, len(lines)), "  added 3 packages ")
+        rows[cid], hit = lines, hit | {cid}
+    got = by_capture(noise.drop_npm_noise(spread(spark, rows)).collect())
+    for cid, lines in rows.items():
+        if cid in hit:
+            assert got[cid] == {("summary", 1, "added 3 packages", 1)}
+        else:
+            assert got.get(cid, set()) == {("generic_" + s, *rest) for s, *rest in cut_by_hand(lines)}
+    marked = {cid: ["Generated Prisma Client"] + lines if cid in hit else lines for cid, lines in texts.items()}
+    got = by_capture(noise.drop_prisma_noise(spread(spark, marked)).collect())
+    for cid, lines in marked.items():
+        if cid in hit:
+            assert got[cid] == {("kept", 0, "Generated Prisma Client", None)}
+        else:
+            assert got.get(cid, set()) == {("generic_" + s, *rest) for s, *rest in cut_by_hand(lines)}
+
+
+def test_pnpm_branches_equal_sequential_reading(spark):
+    rng = random.Random(9)
+    kinds = ["Progress: x", "", "└ dep", "  @a/b 1.0", "+ 12 packages 3", "plain"]
+    texts = {cid: [rng.choice(kinds) + ("" if i % 3 else f" {i}") for i in range(n)] for cid, n in enumerate([0, 5, 30, 38, 45, 200, 200])}
+    texts[6] = [f"word{i}" for i in range(50)]  # neither a dependency nor a summary
+    want = {}
+    for cid, lines in texts.items():
+        kept = [line for line in lines if line.strip() and not line.strip().startswith(("Progress", "Packages", "WARN"))]
+        deps = [line for line in kept if line[0] == "└" or line[0] == " " and line.strip()[0] in "@0123456789"]
+        if len(kept) <= 30:
+            want[cid] = {("pass", i, line, len(kept)) for i, line in enumerate(kept, 1)}
+        else:
+            said = next((line for line in kept if "packages " in line), f"{len(deps)} packages")
+            want[cid] = {("summary", 1, said, len(deps))} | {("dependency", i, line, len(deps)) for i, line in enumerate(deps[:30], 1)}
+    assert by_capture(noise.drop_pnpm_noise(spread(spark, texts)).collect()) == {cid: rows for cid, rows in want.items() if rows}
+
+
+def test_logcat_branches_equal_sequential_reading(spark):
+    rng = random.Random(10)
+    quiet = ["I/a: one", "D/b: two", "", " I/c: three "]
+    texts = {cid: [rng.choice(quiet) + ("" if i % 4 else str(i)) for i in range(n)] for cid, n in enumerate([1, 20, 21, 80, 20, 60])}
+    texts[4][7], texts[5][59] = "E/x: bad", "E/x: bad"
+    want = {cid: {("pass", i, line, len(lines), len(lines)) for i, line in enumerate(lines, 1)} for cid, lines in texts.items() if len(lines) <= 20}
+    for cid in (2, 3):
+        last = [line.strip() for line in texts[cid] if line.strip()][::-1][:10]
+        want[cid] = {("recent", i, line, 10, 10) for i, line in enumerate(last, 1)}
+    want[5] = {("error", 1, "E/x: bad", 1, 1)}
+    assert by_capture(logs.logcat_summary(spread(spark, texts)).select("capture_id", "section", "rank", "line", "total", "n_distinct").collect()) == want
+
+
+def test_gradle_keeps_the_last_result_and_first_issues(spark):
+    lines = (["BUILD FAILED in 1s", "> Task :a FAILED", "error: x", "error: x", "warning: w0"] + [f"warning: w{i}" for i in range(12)]
+             + ["> Task :a FAILED", "BUILD SUCCESSFUL in 9s"])
+    got = by_capture(builds.gradle_issues(spread(spark, {1: lines})).collect())[1]
+    found = {(section, rank): tuple(rest) for section, rank, *rest in got}
+    assert found["result", 1][1:] == (18, 2, 1) and ("result", 2) not in found
+    assert found["error", 1] == ("error: x", 2, 2, 1)
+    assert [found["warning", i][1:] for i in (1, 5)] == [(4, 13, 12), (9, 13, 12)] and ("warning", 6) not in found
+    assert found["failed_task", 1][1:] == (1, 2, 2) and found["failed_task", 2][1:] == (17, 2, 2)
+
+
+def test_signatures_or_first_lines(spark, texts):
+    rows = {cid: lines + ["def f():"] if cid % 2 else lines for cid, lines in texts.items()}
+    got = by_capture(cut.signature_lines(spread(spark, rows)).select("capture_id", "section", "line_no", "line").collect())
+    assert got == {cid: {("signature", len(lines) - 1, "def f():")} if cid % 2 else {("fallback", i, line) for i, line in enumerate(lines[:30])}
+                   for cid, lines in rows.items()}
+
+
+#: Reads of the lines in the plan before it runs; a second one where distinct lines or counts must meet as well.
+SCANS = [(cut.signature_lines, 1), (cut.generic_lines, 2), (noise.drop_npm_noise, 2), (noise.drop_prisma_noise, 3), (noise.drop_pnpm_noise, 2),
+         (noise.drop_pip_noise, 2), (noise.filter_status_hints, 2), (logs.logcat_summary, 2), (builds.gradle_issues, 1), (builds.build_issues, 1)]
+
+
+@pytest.mark.parametrize("fn, scans", SCANS, ids=lambda v: getattr(v, "__name__", v))
+def test_lines_are_read_once_or_twice(spark, tmp_path, fn, scans):
+    spark.createDataFrame([(1, 0, "x")], "capture_id long, line_no long, line string").write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    assert fn(df)._jdf.queryExecution().executedPlan().toString().count("FileScan") == scans
+
+
+def test_null_and_missing_lines(spark):
+    """A null line is blank; no line, no row; captures without an id are a group too."""
+    schema = "capture_id long, line_no long, line string"
+    nulls = spark.createDataFrame([(1, i, None if i % 2 else f"a{i}") for i in range(100)] + [(None, i, "b") for i in range(3)], schema)
+    for fn, _ in SCANS:
+        assert fn(spark.createDataFrame([], schema)).count() == 0
+        fn(nulls).collect()
+    rows = cut.generic_lines(nulls).collect()
+    assert {r.total for r in rows if r.capture_id == 1} == {50} and sum(r.capture_id is None for r in rows) == 3
+
+
 def test_results_do_not_depend_on_layout(spark, make_lines):
     text = "\n".join(f"2024-01-01 00:00:0{i % 10} ERROR job {i % 7} failed {1000 + i}" for i in range(400))
     lines = make_lines({1: text, 2: "WARN a\nwarn a\ninfo"})
