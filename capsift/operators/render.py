@@ -40,10 +40,21 @@ def emit(rows: DataFrame, *parts: tuple) -> DataFrame:
 
 
 def page_text(lines: DataFrame) -> DataFrame:
-    """``capture_id, filtered``: a capture's page joined into one text."""
-    row = F.struct("o1", "o2", "o3", "text")
-    grouped = lines.groupBy("capture_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    return grouped.select("capture_id", F.array_join(F.transform("rows", lambda r: r["text"]), "\n").alias("filtered"))
+    """``capture_id, filtered``: a capture's page joined into one text.
+
+    Runs of ``CHUNK`` in the order are joined first, so no task sorts the lines of a
+    large page; what meets per capture is the page's text in a few pieces.  A line
+    without text leaves no trace, and a page of such lines is empty.
+    """
+    run = ["capture_id", "o1", F.floor(F.col("o2") / CHUNK).alias("run")]
+
+    def joined(rows: DataFrame, keys: list, *order: str) -> DataFrame:
+        listed = rows.groupBy(*keys).agg(F.count("text").alias("n"), F.array_sort(F.collect_list(F.struct(*order, "text"))).alias("rows"))
+        text = F.when(F.col("n") > 0, F.array_join(F.transform("rows", lambda r: r["text"]), "\n"))
+        return listed.withColumn("text", text).drop("rows", "n")
+
+    pages = joined(joined(lines, run, "o2", "o3"), ["capture_id"], "o1", "run")
+    return pages.select("capture_id", F.coalesce("text", F.lit("")).alias("filtered"))
 
 
 def page_tokens(lines: DataFrame) -> DataFrame:

@@ -99,6 +99,28 @@ def test_replayed_lines_count_once(spark, tmp_path):
     assert both.agg(F.sum("n")).first()[0] > once.agg(F.sum("n")).first()[0]
 
 
+def test_template_state_shrinks_with_the_watermark(spark, tmp_path):
+    """Lines that come in time order: two days of delay lose no window, and passed days leave the state."""
+    lines = view(spark, SF_DIR, "v_log_lines").withColumn("ts", F.col("ts").cast("timestamp"))
+    first, last = lines.agg(F.min("ts"), F.max("ts")).first()
+    days = (last - first).days + 1
+    path, out, state = (str(tmp_path / name) for name in ("lines", "out", "state"))
+    totals = []
+    for start in range(0, days, 5):
+        at = F.lit(first) + F.make_dt_interval(days=F.lit(start))
+        lines.where((F.col("ts") >= at) & (F.col("ts") < at + F.make_dt_interval(days=F.lit(5)))).write.mode("append").parquet(path)
+        stream = stream_log_templates(read_stream(spark, path + "/"), delay="2 days")
+        query = stream.writeStream.outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).format("parquet").start(out)
+        query.awaitTermination()
+        totals.append(max(op["numRowsTotal"] for op in query.lastProgress["stateOperators"] if op["operatorName"] == "dedupeWithinWatermark"))
+    severe = lines.count()
+    assert len(totals) >= 4 and totals[-1] < severe / 2 and max(totals) < 0.7 * severe
+    batch = stream_log_templates(lines, dedupe=False)
+    closed = batch.where(F.col("window_start") < F.lit(last) - F.make_dt_interval(days=F.lit(3)))
+    got = spark.read.parquet(out)
+    assert closed.count() > 0 and closed.exceptAll(got).count() == 0 and got.exceptAll(batch).count() == 0
+
+
 @pytest.mark.parametrize("root", ["a+b/build", "c[1]/build/", "build/x.y"])
 def test_listing_judges_folders_below_the_root(spark, tmp_path, root):
     """Noise names above the root, and signs of a pattern in it, change nothing."""

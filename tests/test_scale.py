@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from capsift.operators import builds, cut, gitops, lines as base, logs, noise
+from capsift.operators import builds, cut, gitops, lines as base, logs, noise, render
 from conftest import dicts
 
 
@@ -210,6 +210,19 @@ def test_null_and_missing_lines(spark):
     assert {r.total for r in rows if r.capture_id == 1} == {50} and sum(r.capture_id is None for r in rows) == 3
 
 
+def test_large_pages_are_joined_run_by_run(spark, monkeypatch):
+    monkeypatch.setattr(render, "CHUNK", 4)
+    rng = random.Random(13)
+    rows = [(cid, o1, o2, o3, rng.choice([f"t{o2}.{o3}", "", None])) for cid, n in ((1, 300), (2, 3)) for o1 in (-1, 0, 1)
+            for o2 in [*rng.sample(range(-50, 2 * n), n), render.LAST] for o3 in range(rng.randint(1, 3))]
+    rows += [(3, 0, 0, 0, None), (4, 0, 9, 0, None), (4, 0, 1, 0, "only"), (None, 0, 0, 0, "unnamed")]
+    want = {cid: "\n".join(text for *_, text in sorted((r[1:] for r in rows if r[0] == cid), key=lambda r: r[:3]) if text is not None)
+            for cid in (1, 2, 3, 4, None)}
+    rng.shuffle(rows)
+    pages = render.page_text(spark.createDataFrame(rows, "capture_id long, o1 long, o2 long, o3 long, text string").repartition(5))
+    assert {r.capture_id: r.filtered for r in pages.collect()} == want
+
+
 def test_results_do_not_depend_on_layout(spark, make_lines):
     text = "\n".join(f"2024-01-01 00:00:0{i % 10} ERROR job {i % 7} failed {1000 + i}" for i in range(400))
     lines = make_lines({1: text, 2: "WARN a\nwarn a\ninfo"})
