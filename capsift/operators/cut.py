@@ -135,7 +135,7 @@ def surveyed(lines: DataFrame, first: int, last: int, hit: Column | None = None,
     for name, cap in (caps or {}).items():
         k = F.when(F.col("section") == name, F.lit(most(cap)).cast("bigint")).otherwise(k)
     ends = capped(counted, ["capture_id", "section"], [F.col("line_no")], k,
-                  {"n_rows": ("sum", F.col("n")), "n_distinct": ("sum", F.lit(1))}, last=last)
+                  {"n_rows": ("sum", F.col("n")), "n_distinct": ("sum", F.lit(1))}, last=last, place=["capture_id"])
     capture = Window.partitionBy("capture_id")
     return ends.withColumns({
         "n_lines": F.sum(F.when(F.col("rank") == 1, F.col("n_rows"))).over(capture),

@@ -35,7 +35,8 @@ def chunk_of(line_no: str = "line_no", size: int = CHUNK) -> Column:
 
 def capped(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | Column,
            totals: Mapping[str, tuple[str, Column]] | None = None,
-           split: Column | None = None, limit_first: bool = False, last: int = 0) -> DataFrame:
+           split: Column | None = None, limit_first: bool = False, last: int = 0,
+           place: Sequence[str] = ()) -> DataFrame:
     """First ``k`` rows per key, with ``rank`` and whole-group ``totals``.
 
     ``totals`` maps an output column to ``("sum" | "min" | "max", expression)``
@@ -50,7 +51,8 @@ def capped(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int
 
     With ``last`` the last rows per key are kept as well, and ``from_end`` is 1 for
     the very last; both ends come from one sort.  The ``rank`` of a row beyond the
-    first ``k`` only orders it.
+    first ``k`` only orders it.  ``place`` names some of the keys by which the
+    survivors are placed, so that a later window over these needs no shuffle.
     """
     totals = dict(totals or {})
     fold = {"sum": F.sum, "min": F.min, "max": F.max}
@@ -72,6 +74,8 @@ def capped(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int
         out = out.withColumn("_n", F.count(F.lit(1)).over(local)).where((F.col("_rank") <= k) | (F.col("_rank") > F.col("_n") - last))
     else:
         out = out.where(F.col("_rank") <= k)
+    if place:
+        out = out.repartition(*place)
     out = out.withColumn("rank", F.row_number().over(per_key.orderBy(*order)))
 
     def part(name: str, how: str) -> Column:
@@ -119,7 +123,7 @@ def tally(rows: DataFrame, keys: Sequence[str], text: str = "line") -> DataFrame
         F.count(F.lit(1)).alias("n"), F.min("line_no").alias("line_no"))
 
 
-def capped_tally(rows: DataFrame, keys: Sequence[str], k: int, text: str = "line") -> DataFrame:
+def capped_tally(rows: DataFrame, keys: Sequence[str], k: int, text: str = "line", place: Sequence[str] = ()) -> DataFrame:
     """First ``k`` distinct texts per key by first appearance.
 
     ``total`` counts every row, ``n_distinct`` every distinct text,
@@ -127,7 +131,7 @@ def capped_tally(rows: DataFrame, keys: Sequence[str], k: int, text: str = "line
     """
     return capped(tally(rows, keys, text), keys, [F.col("line_no"), F.col(text)], k,
                   {"total": ("sum", F.col("n")), "n_distinct": ("sum", F.lit(1)),
-                   "first_line_no": ("min", F.col("line_no"))})
+                   "first_line_no": ("min", F.col("line_no"))}, place=place)
 
 
 def capped_list(rows: DataFrame, keys: Sequence[str] = ("capture_id",), k: int = 20) -> DataFrame:

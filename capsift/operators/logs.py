@@ -114,7 +114,7 @@ def logcat_summary(lines: DataFrame, caps: Mapping[str, int | None] | None = Non
     # The nameless section holds every line as the same empty text: it combines to the line count.
     hits = classed(tests, [F.lit(""), F.when(fatal, "fatal"), F.when(error, "error"), F.when(warning, "warning")]).select(
         "capture_id", "section", "line_no", F.when(F.col("section") == "", "").otherwise(line).alias("line"))
-    listed = within_caps(capped_tally(hits, ["capture_id", "section"], most(*caps.values())), {**caps, "": 1})
+    listed = within_caps(capped_tally(hits, ["capture_id", "section"], most(*caps.values()), place=["capture_id"]), {**caps, "": 1})
     sized = listed.withColumn("n_lines", F.max(F.when(F.col("section") == "", F.col("total"))).over(capture))
     listed = sized.where((F.col("n_lines") > whole) & (F.col("section") != "")).select(
         "capture_id", "section", "rank", "line", bigint("total").alias("total"), bigint("n_distinct").alias("n_distinct"))
