@@ -76,6 +76,17 @@ def commit_log_verbose(lines: DataFrame, chunk: int | None = CHUNK) -> DataFrame
 
 _NEVER = 1 << 62
 
+#: What a line of a diff can be, by its first characters; any other line is 0.
+_GIT, _HUNK, _OLD, _NEW, _PLUS, _MINUS = range(1, 7)
+
+
+def _kind(line: Column) -> Column:
+    starts = {_GIT: "diff --git", _HUNK: "@@", _OLD: "--- ", _NEW: "+++ ", _PLUS: "+", _MINUS: "-"}
+    kind = F
+    for value, start in starts.items():
+        kind = kind.when(line.startswith(start), value)
+    return kind.otherwise(0)
+
 
 def _file_name(line: Column) -> Column:
     git = F.coalesce(F.get(F.split(line, " b/", -1), F.lit(1)), F.lit("unknown"))
@@ -84,21 +95,20 @@ def _file_name(line: Column) -> Column:
 
 
 def _chunk_borders(rows: DataFrame, plain: bool, size: int) -> DataFrame:
-    """What each chunk of a diff needs to know of its neighbours, one row per chunk.
+    """What each chunk of a diff needs to know of its neighbours as ``before``, one row per chunk.
 
     One pass gives each chunk's first and last marks; for diffs made without git also the
     numbers of its ``---`` and ``+++`` lines, at most a chunk's.  Which of the ``+++`` lines is the
     chunk's last header depends on what came before: both answers are worked out, and windows
     over the chunks of a capture choose.
     """
-    line, no, chunk = F.col("line"), F.col("line_no"), F.col("_chunk")
-    git, hunk = line.startswith("diff --git"), line.startswith("@@")
-    old, new = line.startswith("--- "), line.startswith("+++ ")
-    header = F.struct(no.alias("at"), _file_name(line).alias("name"))
+    kind, no, chunk = F.col("kind"), F.col("line_no"), F.col("_chunk")
+    git, hunk, old, new = (kind == value for value in (_GIT, _HUNK, _OLD, _NEW))
+    header = F.struct(no.alias("at"), F.col("name"))
     sums = {
         "first_git": F.min(F.when(git, no)), "last_git": F.max_by(header, F.when(git, no)),
         "first_hunk": F.min(F.when(hunk, no)), "last_hunk": F.max(F.when(hunk, no)),
-        "last_change": F.max(F.when(line.startswith("+") | line.startswith("-"), no))}
+        "last_change": F.max(F.when(kind >= _OLD, no))}
     if plain:
         sums |= {"olds": F.collect_list(F.when(old, no)), "news": F.collect_list(F.when(new, header)),
                  "begins_new": F.max((no == chunk * size) & new), "ends_old": F.max((no == chunk * size + size - 1) & old)}
@@ -111,8 +121,9 @@ def _chunk_borders(rows: DataFrame, plain: bool, size: int) -> DataFrame:
         early = F.array_max(F.filter(numbers, lambda n: n < F.least(before_git, F.coalesce("first_hunk", F.lit(_NEVER)))))
         first = F.when(F.col("begins_new"), chunk * size)
         named = lambda at: F.get(F.filter("news", lambda x: x["at"] == at), F.lit(0))
-        ends = ends.withColumns({
-            "late_end": named(paired), "late_end_after_old": named(F.coalesce(paired, first)), "early_end": named(F.greatest(paired, early))})
+
+        ends = ends.withColumn("last_headers", F.struct(
+            named(paired).alias("late"), named(F.coalesce(paired, first)).alias("late_after_old"), named(F.greatest(paired, early)).alias("early")))
     chunks = Window.partitionBy("capture_id").orderBy("_chunk")
     earlier = chunks.rowsBetween(Window.unboundedPreceding, -1)
     seen = lambda name: F.coalesce(F.max(F.col(name).isNotNull()).over(earlier), F.lit(False))
@@ -123,15 +134,16 @@ def _chunk_borders(rows: DataFrame, plain: bool, size: int) -> DataFrame:
         "new_after": beside(F.lead, "begins_new", 1) if plain else F.lit(False)})
     file_end = F.when(F.col("first_git").isNotNull(), F.col("last_git"))
     if plain:
-        file_end = (file_end.when(F.col("git_before"), none).when(~F.col("hunk_before"), F.col("early_end"))
-                    .when(F.col("old_before"), F.col("late_end_after_old")).otherwise(F.col("late_end")))
+        file_end = (file_end.when(F.col("git_before"), none).when(~F.col("hunk_before"), F.col("last_headers.early"))
+                    .when(F.col("old_before"), F.col("last_headers.late_after_old")).otherwise(F.col("last_headers.late")))
     ends = ends.withColumn("file_end", file_end)
     at = F.greatest("file_end.at", "last_hunk")
     mark_end = F.when(at.isNotNull(), F.struct(at.alias("at"), F.coalesce(at == F.col("last_hunk"), F.lit(False)).alias("in_hunk")))
     ends = ends.withColumn("mark_end", mark_end)
-    carried = {"file_before": "file_end", "mark_before": "mark_end", "change_before": "last_change"}
-    return ends.select("capture_id", "_chunk", "git_before", "hunk_before", "old_before", "new_after", *[
-        F.last(end, ignorenulls=True).over(earlier).alias(name) for name, end in carried.items()])
+    carried = {"file": "file_end", "mark": "mark_end", "change_at": "last_change"}
+    return ends.select("capture_id", "_chunk", F.struct(
+        "git_before", "hunk_before", "old_before", "new_after",
+        *[F.last(end, ignorenulls=True).over(earlier).alias(name) for name, end in carried.items()]).alias("before"))
 
 
 def _diff_state(lines: DataFrame, plain: bool, chunk: int | None) -> DataFrame:
@@ -139,45 +151,49 @@ def _diff_state(lines: DataFrame, plain: bool, chunk: int | None) -> DataFrame:
 
     Inside a hunk ``---`` and ``+++`` are removed and added text, not headers.  In diffs without
     ``diff --git`` any ``+++`` line before the first hunk is a header, later only one right after
-    a ``---`` line, which then is the old name and no removed text.
+    a ``---`` line, which then is the old name and no removed text.  What comes from earlier chunks
+    lies as a row before the chunk's first line, so lines are never a side of a join.
     """
-    line, no = F.col("line"), F.col("line_no")
-    git, hunk = line.startswith("diff --git"), line.startswith("@@")
-    old, new = line.startswith("--- "), line.startswith("+++ ")
+    kind, no = F.col("kind"), F.col("line_no")
+    git, hunk, old, new = (kind == value for value in (_GIT, _HUNK, _OLD, _NEW))
     keys = ["capture_id", "_chunk"]
-    rows = lines.select("capture_id", "line_no", "line", (F.lit(0) if chunk is None else chunk_of(size=chunk)).alias("_chunk"))
-    if chunk is None:
-        before = {name: F.lit(False) for name in ("git_before", "hunk_before", "old_before", "new_after")}
-        before |= {"file_before": F.lit(None).cast("struct<at:bigint,name:string>"),
-                   "mark_before": F.lit(None).cast("struct<at:bigint,in_hunk:boolean>"), "change_before": F.lit(None).cast("bigint")}
-        rows = rows.withColumns(before)
-    else:
-        rows = rows.join(_chunk_borders(rows, plain, chunk), keys)
+    rows = lines.select("capture_id", bigint("line_no").alias("line_no"), "line", _kind(F.col("line")).alias("kind"),
+                        (bigint(F.lit(0)) if chunk is None else chunk_of(size=chunk)).alias("_chunk"))
+    rows = rows.withColumn("name", F.when(git | new if plain else git, _file_name(F.col("line"))))
+    size = chunk or _NEVER
     inside = Window.partitionBy(*keys).orderBy("line_no")
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if chunk is None:
+        before = F.lit(None).cast("struct<git_before:boolean,hunk_before:boolean,old_before:boolean,new_after:boolean,"
+                                  "file:struct<at:bigint,name:string>,mark:struct<at:bigint,in_hunk:boolean>,change_at:bigint>")
+        rows = rows.withColumn("before", before)
+    else:
+        borders = _chunk_borders(rows, plain, chunk).withColumn("line_no", F.col("_chunk") * chunk - 1)
+        rows = rows.unionByName(borders, allowMissingColumns=True)
     header = git
     if plain:
-        size = chunk or _NEVER
+        known = lambda name: F.coalesce(F.first(F.col("before")[name]).over(upto), F.lit(False))
         beside = lambda fn, test, step: fn(test).over(inside) & (fn(no).over(inside) == no + step)
         rows = rows.withColumns({
-            "_git": F.col("git_before") | F.max(git).over(upto), "_hunk": F.col("hunk_before") | F.max(hunk).over(upto),
-            "_after_old": F.coalesce(beside(F.lag, old, -1), F.col("old_before") & (no == F.col("_chunk") * size)),
-            "_before_new": F.coalesce(beside(F.lead, new, 1), F.col("new_after") & (no == F.col("_chunk") * size + size - 1))})
+            "_git": known("git_before") | F.coalesce(F.max(git).over(upto), F.lit(False)),
+            "_hunk": known("hunk_before") | F.coalesce(F.max(hunk).over(upto), F.lit(False)),
+            "_after_old": F.coalesce(beside(F.lag, old, -1), known("old_before") & (no == F.col("_chunk") * size)),
+            "_before_new": F.coalesce(beside(F.lead, new, 1), known("new_after") & (no == F.col("_chunk") * size + size - 1))})
         loose = ~F.col("_git")
-        rows = rows.where(~(loose & old & F.col("_hunk") & F.col("_before_new")))
+        rows = rows.where(~F.coalesce(loose & old & F.col("_hunk") & F.col("_before_new"), F.lit(False)))
         header = git | (loose & new & (~F.col("_hunk") | F.col("_after_old")))
-    rows = rows.withColumn("is_header", header)
+    rows = rows.withColumn("is_header", F.coalesce(header, F.lit(False)))
     starts = F.col("is_header")
 
-    def carried(value: Column, before: str) -> Column:
-        return F.coalesce(F.last(value, ignorenulls=True).over(upto), F.col(before))
+    def carried(name: str, value: Column) -> Column:
+        return F.last(F.coalesce(value, F.col("before")[name]), ignorenulls=True).over(upto)
 
     rows = rows.withColumns({
-        "file": carried(F.when(starts, F.struct(bigint(no).alias("at"), _file_name(line).alias("name"))), "file_before"),
-        "mark": carried(F.when(starts | hunk, F.struct(bigint(no).alias("at"), (hunk & ~starts).alias("in_hunk"))), "mark_before"),
-        "change_at": carried(F.when(line.startswith("+") | line.startswith("-"), bigint(no)), "change_before")})
-    return rows.where(F.col("file").isNotNull()).select(
-        "capture_id", "line_no", "line", "is_header", hunk.alias("is_hunk"),
+        "file": carried("file", F.when(starts, F.struct(no.alias("at"), F.col("name")))),
+        "mark": carried("mark", F.when(starts | hunk, F.struct(no.alias("at"), (hunk & ~starts).alias("in_hunk")))),
+        "change_at": carried("change_at", F.when(kind >= _OLD, no))})
+    return rows.where(kind.isNotNull() & F.col("file").isNotNull()).select(
+        "capture_id", "line_no", "line", "kind", "is_header", hunk.alias("is_hunk"),
         F.col("file.at").alias("file_at"), F.col("file.name").alias("file"),
         F.col("mark.at").alias("mark_at"), (F.col("mark.in_hunk") & ~hunk).alias("in_hunk"),
         F.coalesce(F.col("change_at") > F.col("mark.at"), F.lit(False)).alias("after_change"))
@@ -188,10 +204,13 @@ def diff_stat(lines: DataFrame, plain: bool = True, chunk: int | None = CHUNK) -
 
     ``plain=False`` looks for no headers of diffs made without git.
     """
-    rows, line = _diff_state(lines, plain, chunk), F.col("line")
+    # Context counts for nothing here, and of the other lines no text but names is needed.  The test names
+    # the line once: it is put in the place of a line's expression, which may be long.
+    rows = _diff_state(lines.where(F.substring("line", 1, 1).isin("d", "@", "+", "-")), plain, chunk)
+    kind = F.col("kind")
     return rows.groupBy("capture_id", "file_at", "file").agg(
-        bigint(F.count_if(F.col("in_hunk") & line.startswith("+"))).alias("added"),
-        bigint(F.count_if(F.col("in_hunk") & line.startswith("-"))).alias("removed"),
+        bigint(F.count_if(F.col("in_hunk") & kind.isin(_NEW, _PLUS))).alias("added"),
+        bigint(F.count_if(F.col("in_hunk") & kind.isin(_OLD, _MINUS))).alias("removed"),
         bigint(F.count_if(F.col("is_hunk"))).alias("hunks")).withColumn("file_at", bigint("file_at"))
 
 
@@ -202,10 +221,10 @@ def diff_condense(lines: DataFrame, plain: bool = True, hunk_cap: int = R.DIFF_H
     Context shows only after the first change of its hunk.
     """
     rows, line = _diff_state(lines, plain, chunk), F.col("line")
-    kind = (F.when(F.col("is_header"), "file").when(F.col("is_hunk"), "hunk")
-            .when(F.col("in_hunk") & F.col("after_change") & ~line.startswith("\\"), "line"))
+    shown_as = (F.when(F.col("is_header"), "file").when(F.col("is_hunk"), "hunk")
+                .when(F.col("in_hunk") & F.col("after_change") & ~line.startswith("\\"), "line"))
     # Headers are groups of one here, so one pass ranks them along with the hunks.
-    shown = capped(rows.withColumn("kind", kind).where(F.col("kind").isNotNull()),
+    shown = capped(rows.withColumn("kind", shown_as).where(F.col("kind").isNotNull()),
                    ["capture_id", "mark_at", "kind"], [F.col("line_no")], hunk_cap, {"n_hunk": ("sum", F.lit(1))})
     info = trim_ws(F.coalesce(F.get(F.split(line, "@@", -1), F.lit(1)), F.lit("")))
     shown = shown.select(

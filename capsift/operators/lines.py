@@ -150,7 +150,7 @@ def carry(lines: DataFrame, marks: Mapping[str, Column], size: int | None = CHUN
 
     A plain window over ``capture_id`` would sort a whole capture in one task.
     Here the window covers one chunk, and the value reaching a chunk from the
-    earlier ones comes from a summary table with one row per chunk.
+    earlier ones comes as a row of its own from a summary, one row per chunk.
 
     ``size=None`` takes the plain window: right for lines split out of cells,
     where one task held the whole capture anyway.
@@ -171,16 +171,16 @@ def carry(lines: DataFrame, marks: Mapping[str, Column], size: int | None = CHUN
     earlier = Window.partitionBy("capture_id").orderBy("_chunk").rowsBetween(
         Window.unboundedPreceding, -1)
     before = ends.select(*keys, *[
-        F.last(f"_e_{name}", ignorenulls=True).over(earlier).alias(f"_p_{name}") for name in names])
+        F.last(f"_e_{name}", ignorenulls=True).over(earlier).alias(f"_m_{name}") for name in names])
+    # What reaches a chunk lies as a row before its first line: lines are never a side of a join, whatever
+    # size the optimizer takes them to have.
+    first = (F.col("_chunk") * size - 1).cast(lines.schema["line_no"].dataType)
     inside = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    carried = marked
-    for name in names:
-        carried = carried.withColumn(
-            f"_c_{name}", F.last(f"_m_{name}", ignorenulls=True).over(inside))
-    carried = carried.join(before, keys)
-    return carried.select(*lines.columns, *[
-        F.coalesce(f"_c_{name}", f"_p_{name}").alias(name) for name in names])
+    carried = marked.withColumn("_line", F.lit(True)).unionByName(before.withColumn("line_no", first), allowMissingColumns=True)
+    carried = carried.select("*", *[
+        F.last(f"_m_{name}", ignorenulls=True).over(inside).alias(f"_c_{name}") for name in names]).where("_line")
+    return carried.select(*lines.columns, *[F.col(f"_c_{name}").alias(name) for name in names])
 
 
 def classed(lines: DataFrame, classes: Sequence[Column], name: str = "section") -> DataFrame:

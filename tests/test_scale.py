@@ -278,3 +278,13 @@ def test_diffs_read_their_lines_twice(spark, tmp_path):
     for fn in (gitops.diff_stat, gitops.diff_condense):
         for plain in (True, False):
             assert fn(df, plain)._jdf.queryExecution().executedPlan().toString().count("FileScan") <= 2
+
+
+def test_carried_lines_are_no_side_of_a_join(spark, tmp_path):
+    """A short file may hold many lines: taken by its size, they would be sent to the driver whole."""
+    spark.range(10).write.parquet(str(tmp_path / "d"))
+    text = F.explode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.concat(F.lit("@@ "), k.cast("string"))))
+    df = spark.read.parquet(str(tmp_path / "d")).select(F.lit(1).cast("long").alias("capture_id"), F.col("id").alias("line_no"), text.alias("line"))
+    made = [fn(df, plain) for fn in (gitops.diff_stat, gitops.diff_condense) for plain in (True, False)] + [gitops.commit_log_verbose(df)]
+    for rows in made:
+        assert "Join" not in rows._jdf.queryExecution().executedPlan().toString()
