@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from capsift import rules as R
 from capsift.functions.text import bigint, first_chars, not_blank, number_in, trim_ws, truncate_line
+from capsift.operators.compact import _let
 from capsift.operators.lines import CHUNK, capped, carry, chunk_of, classed, most, with_caps, within_caps
 
 
@@ -122,8 +123,12 @@ def _chunk_borders(rows: DataFrame, plain: bool, size: int) -> DataFrame:
         first = F.when(F.col("begins_new"), chunk * size)
         named = lambda at: F.get(F.filter("news", lambda x: x["at"] == at), F.lit(0))
 
-        ends = ends.withColumn("last_headers", F.struct(
-            named(paired).alias("late"), named(F.coalesce(paired, first)).alias("late_after_old"), named(F.greatest(paired, early)).alias("early")))
+        def last_headers(paired: Column, early: Column) -> Column:
+            return F.struct(named(paired).alias("late"), named(F.coalesce(paired, first)).alias("late_after_old"),
+                            named(F.greatest(paired, early)).alias("early"))
+
+        # Found before the search, else each of the numbers would be looked for anew at every line.
+        ends = ends.withColumn("last_headers", _let(last_headers, paired=paired, early=early))
     chunks = Window.partitionBy("capture_id").orderBy("_chunk")
     earlier = chunks.rowsBetween(Window.unboundedPreceding, -1)
     seen = lambda name: F.coalesce(F.max(F.col(name).isNotNull()).over(earlier), F.lit(False))

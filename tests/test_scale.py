@@ -288,3 +288,11 @@ def test_carried_lines_are_no_side_of_a_join(spark, tmp_path):
     made = [fn(df, plain) for fn in (gitops.diff_stat, gitops.diff_condense) for plain in (True, False)] + [gitops.commit_log_verbose(df)]
     for rows in made:
         assert "Join" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_last_headers_are_found_once_per_chunk(spark):
+    """Headers of a chunk are matched before they are searched, not again at every header."""
+    df = spark.createDataFrame([(1, i, ("--- a/x", "+++ b/x", "@@ -1 +1 @@", "+a")[i % 4]) for i in range(400)], "capture_id long, line_no long, line string")
+    rows = gitops.diff_stat(df, chunk=64)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("array_intersect(") == 1
+    assert sorted(map(tuple, rows.collect())) == [(1, i + 1, "x", 1, 0, 1) for i in range(0, 400, 4)]
