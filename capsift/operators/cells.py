@@ -22,17 +22,23 @@ from capsift.operators.compact import _filled, _first, _head, _joined, _last, _l
 from capsift.operators.cut import generic_text
 
 
-def _pieces(items: Column, starts: Callable[[Column, Column], Column]) -> Column:
-    """Slices of ``items``, each from one start to the next; what is before the first start is left out."""
+def _pieces(items: Column, starts: Callable[[Column, Column], Column], first: int | None = None) -> Column:
+    """Slices of ``items``, each from one start to the next; what is before the first start is left out.
+
+    ``first`` is for texts that show no more than so many pieces: the others are not cut out.
+    """
     def cut(l: Column) -> Column:
         at = F.filter(F.transform(l, lambda x, i: F.when(starts(x, i), i)), lambda i: i.isNotNull())
-        return _let(lambda at: F.transform(at, lambda a, j: F.slice(
+        return _let(lambda at: F.transform(at if first is None else _head(at, first), lambda a, j: F.slice(
             l, a + 1, F.coalesce(F.get(at, j + 1), F.size(l)) - a)), at=at)
     return _let(cut, l=items)
 
 
 def _runs(items: Column, key: str, cap: int | None = None) -> Column:
-    """Sorted structs as runs of equal ``key``: ``n`` and the first ``cap`` of its ``rows``."""
+    """Sorted structs as runs of equal ``key``: ``n`` and the first ``cap`` of its ``rows``.
+
+    ``sort_array`` compares natively, ``array_sort`` by an expression per pair; they order the same as no struct is null.
+    """
     def cut(l: Column) -> Column:
         new = lambda x, i: (i == 0) | ~x[key].eqNullSafe(F.get(l, i - 1)[key])
         at = F.filter(F.transform(l, lambda x, i: F.when(new(x, i), i)), lambda i: i.isNotNull())
@@ -41,7 +47,7 @@ def _runs(items: Column, key: str, cap: int | None = None) -> Column:
             return F.struct(n.alias("n"), F.slice(l, a + 1, n if cap is None else F.least(n, F.lit(cap))).alias("rows"))
 
         return _let(lambda at: F.transform(at, lambda a, j: run(a, F.coalesce(F.get(at, j + 1), F.size(l)) - a)), at=at)
-    return _let(cut, l=F.array_sort(items))
+    return _let(cut, l=F.sort_array(items))
 
 
 def _present(items: Column) -> Column:
@@ -69,7 +75,7 @@ def logs(raw: Column, command: Column) -> Column:
     def templates(rows: Column, name: str) -> Column:
         mine = F.transform(F.filter(rows, lambda r: r["severity"] == name), lambda r: F.struct(
             normalize_log_line(r["line"]).alias("template"), r["at"].alias("at"), r["line"].alias("line")))
-        return F.array_sort(F.transform(_runs(mine, "template", 1), lambda g: F.struct(
+        return F.sort_array(F.transform(_runs(mine, "template", 1), lambda g: F.struct(
             (-g["n"]).alias("less"), g["rows"][0]["at"].alias("at"), g["rows"][0]["template"].alias("template"),
             g["rows"][0]["line"].alias("line"))))
 
@@ -134,7 +140,7 @@ def ls(raw: Column, command: Column, show_all: bool = False) -> Column:
     def text(d: Column, f: Column) -> Column:
         ext = lambda e: F.regexp_extract(e["name"], r"(\.[^.]*)$", 1)
         named = F.transform(f, lambda e, i: F.struct(F.when(ext(e) == "", "no ext").otherwise(ext(e)).alias("ext"), i.alias("at")))
-        kinds = F.array_sort(F.transform(_runs(named, "ext", 1), lambda g: F.struct(
+        kinds = F.sort_array(F.transform(_runs(named, "ext", 1), lambda g: F.struct(
             (-g["n"]).alias("less"), g["rows"][0]["at"].alias("at"), g["rows"][0]["ext"].alias("ext"))))
 
         def tail(k: Column) -> Column:
@@ -157,7 +163,7 @@ def find(raw: Column, command: Column) -> Column:
         above = lambda s: F.regexp_extract(s, r"^(.*)/[^/]*$", 1)
         rows = F.transform(k, lambda s, i: F.struct(F.when(above(s) == "", ".").otherwise(above(s)).alias("dir"), i.alias("at"),
                                                     F.regexp_extract(s, r"([^/]*)$", 1).alias("name")))
-        found = F.array_sort(F.transform(_runs(rows, "dir", R.FIND_ALL), lambda g: F.struct(
+        found = F.sort_array(F.transform(_runs(rows, "dir", R.FIND_ALL), lambda g: F.struct(
             g["rows"][0]["at"].alias("at"), g["rows"][0]["dir"].alias("dir"), g["n"].alias("n"), F.transform(g["rows"], lambda r: r["name"]).alias("names"))))
 
         def line(g: Column) -> Column:
@@ -172,17 +178,19 @@ def find(raw: Column, command: Column) -> Column:
 
 
 def _match(s: Column, i: Column) -> Column:
-    """``file, at, row, content`` of a search result."""
+    """``file, at, colon`` of a search result; its text, after the colon, is taken where it is shown."""
     after = F.locate(":", F.substring(s, 3, 1 << 30))
-    at = F.when(s.rlike(R.GREP_DRIVE) & (after > 0), F.instr(s, ":") + after).otherwise(F.instr(s, ":"))
+    drive = (F.substring(s, 2, 1) == ":") & s.rlike(R.GREP_DRIVE)  # few lines reach the pattern
+    at = F.when(drive & (after > 0), F.instr(s, ":") + after).otherwise(F.instr(s, ":"))
+    return _let(lambda at: F.struct(F.substring(s, F.lit(1), at - 1).alias("file"), i.alias("at"), at.alias("colon")), at=at)
 
-    def parsed(at: Column, rest: Column, row: Column) -> Column:
-        return F.struct(F.substring(s, F.lit(1), at - 1).alias("file"), i.alias("at"),
-                        F.when(row != "", row.cast("bigint")).otherwise(F.lit(0).cast("bigint")).alias("row"),
-                        F.when(row != "", F.substring(rest, F.length(row) + 2, F.length(rest))).otherwise(rest).alias("content"))
 
-    return _let(lambda at: _let(lambda rest: _let(lambda row: parsed(at, rest, row), row=F.regexp_extract(rest, R.GREP_ROW, 1)),
-                                rest=F.substring(s, at + 1, F.length(s))), at=at)
+def _numbered(text: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` of the row (0 if there is none) and the content of a search result."""
+    def parsed(digits: Column) -> Column:
+        return body(F.when(digits != "", digits.cast("bigint")).otherwise(F.lit(0).cast("bigint")),
+                    F.when(digits != "", F.substring(text, F.length(digits) + 2, F.length(text))).otherwise(text))
+    return _let(parsed, digits=F.regexp_extract(text, R.GREP_ROW, 1))
 
 
 def grep(raw: Column, command: Column) -> Column:
@@ -197,12 +205,17 @@ def grep(raw: Column, command: Column) -> Column:
 
             def lines(r: Column) -> Column:
                 def of(x: Column, i: Column) -> Column:
-                    digits = x["r"]["row"].cast("string")
-                    number = F.when(x["r"]["row"] > 0, F.concat(F.repeat(F.lit(" "), F.greatest(F.lit(0), 4 - F.length(digits))), digits)).otherwise("   ?")
+                    def line(row: Column, content: Column) -> Column:
+                        digits = row.cast("string")
+                        number = F.when(row > 0, F.concat(F.repeat(F.lit(" "), F.greatest(F.lit(0), 4 - F.length(digits))), digits)).otherwise("   ?")
+                        return F.concat(F.lit("  "), number, F.lit(": "), snippet(content, pattern))
+
+                    whole = F.get(m, x["r"]["at"])
+                    text = F.substring(whole, x["r"]["colon"] + 1, F.length(whole))
                     ends = F.coalesce(F.get(r, i + 1)["place"], F.lit(0)) == 0
                     return F.concat(
                         _one(F.format_string("[file] %s (%d):", compact_path(x["r"]["file"]), x["n"]), x["place"] == 0),
-                        F.array(F.concat(F.lit("  "), number, F.lit(": "), snippet(x["r"]["content"], pattern))),
+                        F.array(_let(lambda text: _numbered(text, line), text=text)),
                         _one(F.format_string("  +%d", x["n"] - R.GREP_PER_FILE), ends & (x["n"] > R.GREP_PER_FILE)), _one(F.lit(""), ends))
 
                 rest = F.size(m) - F.size(r)
@@ -211,10 +224,10 @@ def grep(raw: Column, command: Column) -> Column:
 
             return _let(lines, r=_head(rows, R.GREP_OVERALL))
 
-        quiet = F.when(F.size(k) == 0, "(no matches)").otherwise(F.array_join(_head(k, 20), "\n"))
+        quiet = _let(lambda k: F.when(F.size(k) == 0, "(no matches)").otherwise(F.array_join(_head(k, 20), "\n")), k=k)
         return F.when(F.size(m) == 0, quiet).otherwise(_let(page, g=runs))
 
-    return _let(lambda l: _let(listed, m=F.filter(l, lambda s: s.contains(":")), k=F.filter(l, not_blank)), l=_lines(raw))
+    return _let(lambda l: _let(lambda m: listed(m, F.filter(l, not_blank)), m=F.filter(l, lambda s: s.contains(":"))), l=_lines(raw))
 
 
 def tasks(raw: Column, command: Column) -> Column:
@@ -233,7 +246,7 @@ def tasks(raw: Column, command: Column) -> Column:
         name = lambda x: trim_ws(F.regexp_replace(F.get(x, F.lit(0)), r"^(.*?) tasks", "$1"))
         items = F.concat(under(before, F.lit("other")), _each(p, lambda x: under(x, name(x))))
         rows = F.transform(items, lambda t, i: F.struct(t["group"].alias("group"), i.alias("at"), t["task"].alias("task")))
-        found = F.array_sort(F.transform(_runs(rows, "group", R.TASK_CAP), lambda g: F.struct(
+        found = F.sort_array(F.transform(_runs(rows, "group", R.TASK_CAP), lambda g: F.struct(
             g["rows"][0]["at"].alias("at"), g["n"].alias("n"), g["rows"].alias("rows"))))
 
         def lines(g: Column) -> Column:
@@ -303,7 +316,7 @@ def _condensed(raw: Column, plain: bool) -> Column:
         return _let(whole, h=_pieces(p, lambda x, k: x["s"].startswith("@@") & ~x["header"]))
 
     def text(f: Column, r: Column) -> Column:
-        """``r`` are all rows that could be shown."""
+        """``r`` are all rows that could be shown, and one more at least where rows are left out."""
         def page(s: Column) -> Column:
             def lines(x: Column, i: Column) -> Column:
                 after, of = F.get(s, i + 1), F.get(f, x["file"])
@@ -317,7 +330,8 @@ def _condensed(raw: Column, plain: bool) -> Column:
                            _one(F.lit("[full diff available — use git diff directly]"), over | F.exists(s, lambda x: x["cut"])))
         return F.when(F.size(r) == 0, "").otherwise(_let(page, s=_head(r, R.DIFF_CAP)))
 
-    files = F.transform(_pieces(_marked(raw, plain), lambda x, i: x["header"]), file_of)
+    # A file has a row at least, so one file more than rows are shown tells that rows are left out.
+    files = F.transform(_pieces(_marked(raw, plain), lambda x, i: x["header"], R.DIFF_CAP + 1), file_of)
     return _let(lambda f: _let(lambda r: text(f, r), r=_each(f, lambda x: x["rows"])), f=files)
 
 
@@ -340,7 +354,7 @@ def git_log(raw: Column, command: Column) -> Column:
         return truncate_line(F.coalesce(short, F.concat_ws(" ", first_chars(F.regexp_extract(head, R.LOG_COMMIT, 1), 7), subject)))
 
     plain = _let(lambda p: F.when(F.size(p) == 0, trim_ws(raw)).otherwise(F.array_join(F.transform(p, commit), "\n")),
-                 p=_pieces(_lines(raw), lambda s, i: s.rlike(R.LOG_COMMIT) | s.rlike(R.LOG_ONELINE)))
+                 p=_pieces(_lines(raw), lambda s, i: (s >= "0") & (s < "g") & (s.rlike(R.LOG_COMMIT) | s.rlike(R.LOG_ONELINE))))  # both begin with 0-9 or a-f
     return F.when(raw.contains(R.LOG_BLOCK_END), git_log_blocks(raw, command)).otherwise(plain)
 
 
@@ -350,7 +364,7 @@ def git_log(raw: Column, command: Column) -> Column:
 def _by_file(found: Column, heading: Callable[[Column, Column], Column], item: Callable[[Column], Column], quiet: Column) -> Column:
     """``found`` holds ``file, at`` and what ``item`` shows; files by first appearance, ten items each."""
     def text(r: Column) -> Column:
-        files = F.array_sort(F.transform(_runs(r, "file", R.PER_FILE_CAP), lambda g: F.struct(
+        files = F.sort_array(F.transform(_runs(r, "file", R.PER_FILE_CAP), lambda g: F.struct(
             g["rows"][0]["at"].alias("at"), g["n"].alias("n"), g["rows"].alias("rows"))))
 
         def lines(g: Column) -> Column:
@@ -409,7 +423,7 @@ def lint(raw: Column, command: Column) -> Column:
         return _let(of, e=F.when(s.rlike(r"^\s+\d"), groups(s, R.ESLINT, 5)), b=F.when(s.contains("━"), groups(s, R.BIOME, 4)))
 
     def text(r: Column) -> Column:
-        rules = F.array_sort(F.transform(_runs(r, "key"), lambda g: F.struct(
+        rules = F.sort_array(F.transform(_runs(r, "key"), lambda g: F.struct(
             g["rows"][0]["at"].alias("at"), g["rows"][0]["key"].alias("key"), F.array_distinct(F.transform(g["rows"], lambda x: x["message"])).alias("messages"))))
         count = lambda level: F.size(F.filter(r, lambda x: x["key"]["severity"] == level))
 
@@ -433,7 +447,7 @@ def golangci(raw: Column, command: Column) -> Column:
     def text(x: Column) -> Column:
         rows = F.transform(x, lambda r, i: F.struct(r["FromLinter"].alias("linter"), i.alias("at"), r["Text"].alias("message"), F.coalesce(F.when(
             r["Pos"]["Filename"].isNotNull(), F.concat(r["Pos"]["Filename"], F.lit(":"), r["Pos"]["Line"].cast("string"))), F.lit("?")).alias("place")))
-        found = F.array_sort(F.transform(_runs(rows, "linter", R.PER_LINTER_CAP), lambda g: F.struct(
+        found = F.sort_array(F.transform(_runs(rows, "linter", R.PER_LINTER_CAP), lambda g: F.struct(
             g["rows"][0]["at"].alias("at"), g["n"].alias("n"), g["rows"].alias("rows"))))
 
         def lines(g: Column) -> Column:

@@ -18,7 +18,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 _SPELLING = {
     "spark": {
         "{TS}": "date_format(ts, 'yyyy-MM-dd HH:mm:ss')",
-        "{JOINED}": "array_join(transform(array_sort(collect_list(struct(line_no, line))), x -> x.line), chr(10))",
+        "{JOINED}": "array_join(sort_array(collect_list(struct(line_no, line))).line, chr(10))",
         "{K}": "lateral view explode(array(0, 1, 2, 3, 4, 5, 6, 7, 8)) ks as k",
         "{DOC_LINES}": "select doc_id as capture_id, cast(pos as bigint) as line_no, line\n"
                        "from documents lateral view posexplode(split(text, chr(10), -1)) t as pos, line",

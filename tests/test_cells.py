@@ -6,6 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from capsift.operators import cells, render
+from capsift.plans import catalog
+from capsift.plans.compress import compress
+from capsift.plans.views import view
+from conftest import SF_DIR
+
+catalog.load()
 
 PARTS = {
     "logs": ["2024-01-01 10:00:00 ERROR job 1234 failed", "2024-01-02 10:00:00 ERROR job 9999 failed", "WARN disk /dev/sda1 low", "warning x", "INFO ok", "panic: 0xff",
@@ -70,3 +76,27 @@ def test_cells_are_narrow(spark):
     for name, (cell, _, _) in READERS.items():
         plan = df.select(cell(F.col("raw"), F.col("command")))._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Window" not in plan, name
+
+
+def test_tool_texts_are_sorted_natively(spark):
+    """No comparison by an expression per pair of lines."""
+    for rows in (view(spark, SF_DIR, "v_tool_runs"), compress(view(spark, SF_DIR, "v_tool_runs"), by="tool")):
+        assert "array_sort(" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("files", [1, 199, 200, 201, 202, 450])
+def test_diffs_at_the_border_of_their_cap(spark, files):
+    """Files that only have a header, one hunk at the very end: the same text as from the line tables."""
+    raw = "\n".join(f"diff --git a/f{i} b/f{i}" for i in range(files)) + "\n@@ -1 +1 @@\n+a\n-b"
+    rows = spark.createDataFrame([(1, "git diff", raw)], "capture_id long, command string, raw string")
+    cell = rows.select(cells.git_diff(F.col("raw"), F.col("command"))).first()[0]
+    assert cell == render.git_diff_text(rows).first().filtered
+    assert ("more changes truncated" in cell) == (files + 3 > 200)
+
+
+def test_search_results_with_drives_and_rows(spark):
+    raw = "\n".join(["C:\\a\\b.py:12:x:y", "C:\\a\\b.py:z", "d:e", "no match", "C:/k:", "a:7:", "é:ü:5:ö"])
+    rows = spark.createDataFrame([(1, "rg x", raw), (2, "rg x", "none\n\nat all"), (3, "rg x", "")], "capture_id long, command string, raw string")
+    got = {r.capture_id: r.filtered for r in rows.select("capture_id", cells.grep(F.col("raw"), F.col("command")).alias("filtered")).collect()}
+    assert got == {r.capture_id: r.filtered for r in render.grep_text(rows).collect()}
+    assert got[1].startswith("6 matches in 5F:") and "    12: x:y" in got[1] and got[2] == "none\nat all"
