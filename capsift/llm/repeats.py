@@ -18,6 +18,10 @@ repeated.  Windows within reach that a group found alone are compared across the
 their content hash, counted in a plain aggregate (64 bits, so two unlike windows among a billion
 would be taken for equal with a chance of some 3 percent).  No key gathers all its rows in one task.
 
+Passages shorter than that are told beside it: bytes that ``PASSAGE_LEN`` bytes cover which also
+start elsewhere.  A string that repeats has only parts that repeat, so the long repeats are
+then looked for in the runs that the short ones cover, and not in the whole texts again.
+
 Rows of equal id and text count as separate documents and get equal results.  Null texts
 are empty.  Texts shorter than ``MIN_LEN`` bytes have no window and keep every byte.
 """
@@ -35,6 +39,8 @@ from capsift.llm.bwt import repeated_starts
 from capsift.llm.common import BLOCK_BYTES, blocks, scratch, stored, utf8
 
 MIN_LEN = 400
+#: Some 50 words of five bytes.
+PASSAGE_LEN = 250
 GRAM = 64
 GROUP = 256
 #: Bytes of segments that one transform covers.
@@ -361,6 +367,38 @@ def repeated_spans(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
     return stored(spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), folder, "spans")
 
 
+def _cut_pieces(min_len: int):
+    def cut(batches):
+        for batch in batches:
+            data, offsets = utf8(batch.column("text"))
+            found = [(i, a, b) for i, runs in enumerate(_runs_by_row(batch.column("spans"))) for a, b in runs if b - a >= min_len]
+            for part in range(0, len(found), 4096):
+                row, start, stop = map(list, zip(*found[part:part + 4096]))
+                texts = [data[offsets[i] + a:offsets[i] + b].tobytes() for i, a, b in zip(row, start, stop)]
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c).take(pa.array(row)) for c in ("doc_id", "text_key")], pa.array(start, pa.int32()), pa.array(texts, pa.binary())],
+                    ["doc_id", "owner", "at", "text"])
+    return cut
+
+
+def nested_spans(docs: DataFrame, min_len: int, longer: int) -> DataFrame:
+    """``repeated_spans`` of ``min_len`` and, as ``longer``, those of more bytes.
+
+    Each place of a string that repeats lies within a run that its parts cover, so the runs of
+    ``longer`` bytes or more stand for the texts; a row's runs count as often as the row.
+    """
+    folder = scratch(docs.sparkSession)
+    spans = repeated_spans(docs, min_len)
+    long = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").filter(F.octet_length("text") >= longer)
+    pieces = _beside(long, spans, "inner").select("doc_id", "text_key", "text", "spans")
+    pieces = stored(pieces.mapInArrow(_cut_pieces(longer), "doc_id long, owner long, at int, text binary"), folder, "pieces")
+    places = pieces.select("doc_id", "owner", "at", F.xxhash64("text").alias("text_key"))
+    moved = F.transform("spans", lambda x: F.struct((x.start + F.col("at")).alias("start"), (x.stop + F.col("at")).alias("stop")))
+    found = _beside(places, repeated_spans(pieces.select("doc_id", "text"), longer), "inner").select("doc_id", F.col("owner").alias("text_key"), moved.alias("moved"))
+    found = found.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_set("moved")).alias("longer"))
+    return stored(_beside(spans, found, "left"), folder, "spans")
+
+
 def _beside(docs: DataFrame, side: DataFrame, how: str) -> DataFrame:
     """``docs`` joined to a table of (doc_id, text_key), null ids included."""
     side = side.withColumnsRenamed({"doc_id": "side_id", "text_key": "side_key"})
@@ -377,17 +415,19 @@ def covered(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[np.concatenate([[0], new])].tolist(), stops[np.append(new, len(starts)) - 1].tolist()))
 
 
-def _kept(batch):
-    """Per row: bytes of the text, removed runs, and what is left."""
-    data, offsets = utf8(batch.column("text"))
-    spans = batch.column("spans")
+def _runs_by_row(spans: pa.Array) -> list[list[tuple[int, int]]]:
     lengths = spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     flat = spans.flatten()
     starts, stops = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "stop"))
     bounds = np.concatenate([[0], np.cumsum(lengths)]).tolist()
-    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+    return [covered(starts[a:b], stops[a:b]) for a, b in zip(bounds, bounds[1:])]
+
+
+def _kept(batch, spans: str = "spans"):
+    """Per row: bytes of the text, removed runs, and what is left."""
+    data, offsets = utf8(batch.column("text"))
+    for a, b, runs in zip(offsets[:-1].tolist(), offsets[1:].tolist(), _runs_by_row(batch.column(spans))):
         text = data[a:b]
-        runs = covered(starts[bounds[i]:bounds[i + 1]], stops[bounds[i]:bounds[i + 1]])
         if runs:
             keep = np.ones(b - a, bool)
             for start, stop in runs:
@@ -396,22 +436,27 @@ def _kept(batch):
         yield b - a, runs, text.tobytes()
 
 
-def _with_spans(docs: DataFrame, min_len: int) -> DataFrame:
-    return _beside(docs.withColumn("text_key", F.xxhash64("text")), repeated_spans(docs, min_len), "left")
+def _size(runs: list[tuple[int, int]]) -> int:
+    return sum(b - a for a, b in runs)
 
 
-def report(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
-    """The contract's columns."""
+def report(docs: DataFrame, min_len: int = MIN_LEN, passages: int | None = None) -> DataFrame:
+    """The contract's columns; with ``passages``, at most ``min_len``, also ``n_repeated``: bytes that so many bytes cover which also start elsewhere."""
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated"]
+    types = [pa.int64()] * 3 + [pa.string(), pa.int64()]
+
     def digest(batches):
         for batch in batches:
-            rows = [(n, sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept).hexdigest()) for n, runs, kept in _kept(batch)]
+            rows = [(n, _size(runs), len(runs), hashlib.sha256(kept).hexdigest()) for n, runs, kept in _kept(batch, "longer" if passages else "spans")]
             columns = list(zip(*rows)) or [[]] * 4
-            types = [pa.int64()] * 3 + [pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, types)]],
-                                             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    rows = _with_spans(docs.select("doc_id", "text"), min_len).select("doc_id", "text", "spans")
-    return rows.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+            if passages:
+                columns.append([_size(runs) for runs in _runs_by_row(batch.column("spans"))])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, types)]], names[:1 + len(columns)])
+
+    docs = docs.select("doc_id", "text")
+    spans = nested_spans(docs, passages, min_len) if passages else repeated_spans(docs, min_len)
+    rows = _beside(docs.withColumn("text_key", F.xxhash64("text")), spans, "left").drop("text_key")
+    return rows.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", n_repeated long" * bool(passages))
 
 
 def drop_repeats(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:

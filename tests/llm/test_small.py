@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from capsift.llm import (
     bwt, chat, decontaminate, langid, licenses, links, mixing, repeats, simhash, tokens, topk, toxicity)
 from capsift.llm.common import scratch
+from capsift.llm.queries import QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 EN = "the cat and the dog went to the house near the river with their friends"
@@ -227,6 +228,25 @@ def test_reach_of_a_common_passage(spark, monkeypatch):
     assert sorted((r.doc_id, *r[1:]) for r in got) == sorted((r[0], *w) for r, w in zip(rows, want))
 
 
+@pytest.mark.parametrize("group", [256, 2])
+def test_passages_of_fifty_words_are_told_beside_the_contract(spark, monkeypatch, tmp_path, group):
+    monkeypatch.setattr(repeats, "GROUP", group)
+    rng = np.random.default_rng(8)
+    words = lambda n: " ".join("".join(chr(c) for c in rng.choice([97, 98, 99, 100, 233], 4)) for _ in range(n))
+    short, long = words(51), words(120)
+    assert 250 < len(short.encode()) < 400
+    texts = [f"{words(40)} {p} {words(30)}" for p in (short, short, short, long, long[:420], long + short, words(80), words(80))]
+    texts += [short, long, long + " " + long, texts[3], texts[3], short[:120] + "x" + short[121:], None, "", "é" * 450]
+    rows = [(i if i != 3 else None, t, None, None, 0) for i, t in enumerate(texts)] + [(4, texts[4], None, None, 0)] * 2
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op7_repeated_text"](spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept", "n_repeated"]
+    raw = [(r[1] or "").encode() for r in rows]
+    want = [(row[0], *w, w[0] - w[1], p[1]) for row, w, p in zip(rows, plain_repeats(raw, 400), plain_repeats(raw, 250))]
+    assert Counter(tuple(r) for r in got.collect()) == Counter(want)
+    assert all(w[2] == 0 < w[6] for w in want[:3]) and want[6][6] == want[7][6] == 0
+
+
 def test_shared_prefixes():
     assert repeats.shared_prefixes([b"", b"ab", b"abc", b"abd", b"abd", b"b\0", b"b"]).tolist() == [0, 2, 2, 3, 0, 1]
 
