@@ -16,6 +16,18 @@ import numpy as np
 _END, _BETWEEN = 0, 1  # codes of the end of the block and of the gap between texts
 
 
+def _by_pair(rank: np.ndarray, after: np.ndarray, suffix: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes by their pairs of ranks, and the pairs; all are at most ``n``."""
+    bits = n.bit_length()
+    pair = (rank.astype(np.uint64) << np.uint64(bits)) | after.astype(np.uint64)
+    if 3 * bits > 64:
+        by = np.argsort(pair)
+        return suffix[by], pair[by]
+    # values sort many times faster than positions, so the suffix goes along in the low bits
+    key = np.sort((pair << np.uint64(bits)) | suffix.astype(np.uint64))
+    return (key & np.uint64((1 << bits) - 1)).astype(np.int64), key >> np.uint64(bits)
+
+
 def sorted_suffixes(codes: np.ndarray, depth: int) -> np.ndarray:
     """Positions sorted by the next ``depth`` codes at least (ties in any order), by prefix doubling."""
     n = len(codes)
@@ -38,9 +50,7 @@ def sorted_suffixes(codes: np.ndarray, depth: int) -> np.ndarray:
         suffix = order[where]
         further = suffix + span
         after = np.where(further < n, rank[np.minimum(further, n - 1)] + 1, 0)
-        pair = (rank[suffix].astype(np.uint64) << np.uint64(32)) | after.astype(np.uint64)
-        by = np.argsort(pair)
-        suffix, pair = suffix[by], pair[by]
+        suffix, pair = _by_pair(rank[suffix], after, suffix, n)
         order[where] = suffix
         first = np.concatenate([[True], pair[1:] != pair[:-1]])
         head[where] = first

@@ -43,8 +43,8 @@ MIN_LEN = 400
 PASSAGE_LEN = 250
 GRAM = 64
 GROUP = 256
-#: Bytes of segments that one transform covers.
-TRANSFORM_BYTES = 3 << 19
+#: Bytes of segments that one transform covers: its tables stay near the cores' caches.
+TRANSFORM_BYTES = 1 << 18
 _ODD = 0x9E3779B97F4A7C15
 _POSITION = np.uint64((1 << 24) - 1)
 
