@@ -365,22 +365,29 @@ def docker(raw: Column, command: Column) -> Column:
     return F.when(images, docker_images(raw, command)).otherwise(docker_ps(raw, command))
 
 
+def _resource(s: Column) -> Column:
+    p = F.split(trim_ws(s), r"\s+", -1)
+    return F.when(F.size(p) >= 3, F.array_join(F.slice(p, 1, 5), " ")).otherwise(trim_ws(s))
+
+
 def kubectl(raw: Column, command: Column) -> Column:
-    def row(s: Column) -> Column:
-        p = F.split(trim_ws(s), r"\s+", -1)
-        return F.when(F.size(p) >= 3, F.array_join(F.slice(p, 1, 5), " ")).otherwise(trim_ws(s))
-    return _table(raw, row, F.lit("resource(s)"), F.lit("(no resources)"))
+    return _table(raw, _resource, F.lit("resource(s)"), F.lit("(no resources)"))
+
+
+def _item(s: Column) -> Column:
+    p = F.split(s, "\t", -1)
+    return F.when(F.size(p) >= 3, F.array_join(F.transform(F.slice(p, 1, 4), trim_ws), "  ")).otherwise(
+        first_chars(trim_ws(s), 120))
+
+
+def _gh_listed(command: Column) -> Column:
+    return F.regexp_replace(trim_ws(command), r"^gh\s+", "")
 
 
 def gh(raw: Column, command: Column) -> Column:
     """Tab-separated rows; the heading names the command after ``gh``."""
-    def row(s: Column) -> Column:
-        p = F.split(s, "\t", -1)
-        return F.when(F.size(p) >= 3, F.array_join(F.transform(F.slice(p, 1, 4), trim_ws), "  ")).otherwise(
-            first_chars(trim_ws(s), 120))
-    sub = F.regexp_replace(trim_ws(command), r"^gh\s+", "")
     return _let(lambda r: F.when(F.size(r) == 0, "(no results)").otherwise(
-        _joined(F.array(F.format_string("%d item(s) [%s]:", F.size(r), sub)), r)), r=F.transform(_filled(raw), row))
+        _joined(F.array(F.format_string("%d item(s) [%s]:", F.size(r), _gh_listed(command))), r)), r=F.transform(_filled(raw), _item))
 
 
 # --- package managers, environment -------------------------------------------------------------------

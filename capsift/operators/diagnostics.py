@@ -32,16 +32,17 @@ def _diagnostic(tool: str, fields: dict) -> Column:
         value("rule").alias("rule"), trim_ws(value("message")).alias("message")))
 
 
-def diagnostics(lines: DataFrame) -> DataFrame:
+def diagnostics(lines: DataFrame, tools: tuple[str, ...] = tuple(_FORMATS)) -> DataFrame:
     """One row per recognised diagnostic line; narrow, no shuffle.
 
-    Each pattern runs at most once per line, behind a cheap test.
+    Each pattern runs at most once per line, behind a cheap test.  ``tools`` are the formats looked for.
     """
     line = F.col("line")
+    formats = {tool: _FORMATS[tool] for tool in tools}
     rows = lines.select("capture_id", "line_no", *[
         F.when(hint(line), groups(line, pattern, n)).alias(f"_{tool}")
-        for tool, (pattern, n, hint, _) in _FORMATS.items()])
-    found = F.coalesce(*[_diagnostic(tool, fields) for tool, (_, _, _, fields) in _FORMATS.items()])
+        for tool, (pattern, n, hint, _) in formats.items()])
+    found = F.coalesce(*[_diagnostic(tool, fields) for tool, (_, _, _, fields) in formats.items()])
     return rows.select("capture_id", "line_no", F.inline(F.array_compact(F.array(found))))
 
 

@@ -39,22 +39,31 @@ def emit(rows: DataFrame, *parts: tuple) -> DataFrame:
     return rows.select("capture_id", F.inline(F.array_compact(F.array(*structs))))
 
 
-def page_text(lines: DataFrame) -> DataFrame:
-    """``capture_id, filtered``: a capture's page joined into one text.
+def sized_pages(lines: DataFrame) -> DataFrame:
+    """``capture_id, filtered, chars``: a capture's page joined into one text, and its length.
 
     Runs of ``CHUNK`` in the order are joined first, so no task sorts the lines of a
     large page; what meets per capture is the page's text in a few pieces.  A line
-    without text leaves no trace, and a page of such lines is empty.
+    without text leaves no trace, and a page of such lines is empty.  ``chars`` is summed
+    beside the text: where only it is used, no text is put together.
     """
     run = ["capture_id", "o1", F.floor(F.col("o2") / CHUNK).alias("run")]
 
     def joined(rows: DataFrame, keys: list, *order: str) -> DataFrame:
-        listed = rows.groupBy(*keys).agg(F.count("text").alias("n"), F.array_sort(F.collect_list(F.struct(*order, "text"))).alias("rows"))
+        listed = rows.groupBy(*keys).agg(F.count("chars").alias("n"), F.sum("chars").alias("_chars"),
+                                         F.array_sort(F.collect_list(F.struct(*order, "text"))).alias("rows"))
         text = F.when(F.col("n") > 0, F.array_join(F.transform("rows", lambda r: r["text"]), "\n"))
-        return listed.withColumn("text", text).drop("rows", "n")
+        chars = F.when(F.col("n") > 0, F.col("_chars") + F.col("n") - 1)
+        return listed.withColumns({"text": text, "chars": chars}).drop("rows", "n", "_chars")
 
+    lines = lines.withColumn("chars", bigint(F.length("text")))
     pages = joined(joined(lines, run, "o2", "o3"), ["capture_id"], "o1", "run")
-    return pages.select("capture_id", F.coalesce("text", F.lit("")).alias("filtered"))
+    return pages.select("capture_id", F.coalesce("text", F.lit("")).alias("filtered"), F.coalesce("chars", F.lit(0).cast("bigint")).alias("chars"))
+
+
+def page_text(lines: DataFrame) -> DataFrame:
+    """``capture_id, filtered`` of :func:`sized_pages`."""
+    return sized_pages(lines).select("capture_id", "filtered")
 
 
 def page_tokens(lines: DataFrame) -> DataFrame:
@@ -266,29 +275,35 @@ def _file_page(found: DataFrame, tool: str, heading: str, item: Column, cap: int
                  F.format_string("  ... +%d more", F.col("n_in_file") - cap), at, tie, LAST))
 
 
-def tsc_text(captures: DataFrame) -> DataFrame:
+def tsc_page(found: DataFrame) -> DataFrame:
     level = F.when(F.col("severity") == "error", "E").otherwise("W")
     item = F.format_string("  %s %d:%d %s: %s", level, F.col("row"), F.col("col"), F.col("rule"), F.col("message"))
-    text = page_text(_file_page(diag.diagnostics(explode_lines(captures)), "tsc",
-                                "%d TypeScript error(s) in %d file(s):", item, R.PER_FILE_CAP))
+    return _file_page(found, "tsc", "%d TypeScript error(s) in %d file(s):", item, R.PER_FILE_CAP)
+
+
+def tsc_text(captures: DataFrame) -> DataFrame:
+    text = page_text(tsc_page(diag.diagnostics(explode_lines(captures))))
     default = F.when(F.col("raw").contains("error TS"), generic_text(F.col("raw"))).otherwise("tsc ok")
     return with_default(captures, text, default)
 
 
-def ruff_text(captures: DataFrame) -> DataFrame:
+def ruff_page(found: DataFrame) -> DataFrame:
     place = F.when(F.col("row").isNull(), "?").otherwise(F.format_string("%d:%d", "row", "col"))
     item = F.concat(F.lit("  "), place, F.lit(" "), "rule", F.lit(" "), "message")
+    return _file_page(found, "ruff", "%d issue(s) in %d file(s):", item, R.PER_FILE_CAP)
+
+
+def ruff_text(captures: DataFrame) -> DataFrame:
     is_json = F.col("raw").rlike(r"^\s*\[")
     from_json = diag.json_diagnostics(captures.where(is_json).withColumn("line_no", F.lit(0).cast("bigint")))
     from_text = diag.diagnostics(explode_lines(captures.where(~is_json))).withColumn("pos", F.lit(0).cast("bigint"))
-    found = from_json.unionByName(from_text)
-    text = page_text(_file_page(found, "ruff", "%d issue(s) in %d file(s):", item, R.PER_FILE_CAP))
+    text = page_text(ruff_page(from_json.unionByName(from_text)))
     return with_default(captures, text, F.lit("ruff ok"))
 
 
-def lint_text(captures: DataFrame) -> DataFrame:
+def lint_page(found: DataFrame) -> DataFrame:
     """Both counts head the page: errors alone would hide listed warnings."""
-    rows = diag.diag_by_rule(diag.diagnostics(explode_lines(captures)))
+    rows = diag.diag_by_rule(found)
     whole, first = Window.partitionBy("capture_id"), F.col("rank") == 1
 
     def total(level: str | None) -> Column:
@@ -300,12 +315,16 @@ def lint_text(captures: DataFrame) -> DataFrame:
     rows = rows.withColumns({"e": total("error"), "w": total("warning"), "rules": total(None),
                              "lead": F.min(order).over(whole)})
     at, tie = F.col("first_line_no"), F.pmod(F.xxhash64("severity", "rule"), F.lit(1 << 40))
-    text = page_text(emit(
+    return emit(
         rows, (first & (F.col("lead") == order), _n("%d error(s), %d warning(s) across %d rule(s):", "e", "w", "rules"), -1),
         (first, F.concat(F.lit("  "), key, F.format_string(" (%d):", "n_distinct")), at, tie, 0),
         (None, F.concat(F.lit("    "), "message"), at, tie, F.col("rank")),
         (first & (F.col("n_distinct") > R.PER_RULE_CAP),
-         F.format_string("    ... +%d more", F.col("n_distinct") - R.PER_RULE_CAP), at, tie, LAST)))
+         F.format_string("    ... +%d more", F.col("n_distinct") - R.PER_RULE_CAP), at, tie, LAST))
+
+
+def lint_text(captures: DataFrame) -> DataFrame:
+    text = page_text(lint_page(diag.diagnostics(explode_lines(captures))))
     low = F.lower("raw")
     default = F.when(low.contains("problem") | low.contains("error"), generic_text(F.col("raw"))).otherwise("lint ok")
     return with_default(captures, text, default)
@@ -334,25 +353,31 @@ def golangci_text(captures: DataFrame) -> DataFrame:
 # --- test runners ------------------------------------------------------------------------------
 
 
+def runner_page(lines: DataFrame, fmt: str, chunk: int | None = CHUNK) -> DataFrame:
+    """Passed total, or failures under their count."""
+    failed = F.col("failed") + F.col("failed_packages") if fmt == "go" else F.col("failed")
+    counts = testruns.test_outcomes(lines, (fmt,)).withColumn("bad", failed)
+    if fmt == "pytest":  # the lines that open or close a block or can be a failure
+        lines = lines.where(F.col("line").rlike("|".join((R.PYTEST_BLOCK_OPEN, R.PYTEST_BLOCK_CLOSE, "^FAILED ", R.PYTEST_ASSERT))))
+    failures = testruns.test_failures(lines, (fmt,), chunk=chunk).select("capture_id", "rank", "line")
+    # Counts give one row per capture, failures at most twenty.
+    rows = counts.join(failures, "capture_id", "left")
+    first, bad = F.coalesce("rank", F.lit(1)) == 1, F.col("bad") > 0
+    head = (F.format_string("FAILED: %d tests", F.when(F.col("failed") > 0, F.col("failed")).otherwise(F.col("bad")))
+            if fmt == "go" else F.format_string("FAILED: %d/%d tests", "failed", "total"))
+    # cargo and pytest need a summary line before they can say "passed".
+    says_passed = ~bad & (F.col("total") > 0) if fmt in ("cargo", "pytest") else ~bad
+    return emit(
+        rows, (first & bad, head, 0), (first & says_passed, F.format_string("PASSED: %d tests", "passed"), 0),
+        (bad & F.col("rank").isNotNull(), F.col("line"), 1, F.col("rank")))
+
+
 def runner_text(fmt: str):
-    """Text of one test runner: passed total, or failures under their count."""
+    """Text of one test runner."""
     def text(captures: DataFrame) -> DataFrame:
         from capsift.operators.compact import build
 
-        lines = explode_lines(captures)
-        failed = F.col("failed") + F.col("failed_packages") if fmt == "go" else F.col("failed")
-        counts = testruns.test_outcomes(lines, (fmt,)).withColumn("bad", failed)
-        failures = testruns.test_failures(lines, (fmt,), chunk=None).select("capture_id", "rank", "line")
-        # Counts give one row per capture, failures at most twenty.
-        rows = counts.join(failures, "capture_id", "left")
-        first, bad = F.coalesce("rank", F.lit(1)) == 1, F.col("bad") > 0
-        head = (F.format_string("FAILED: %d tests", F.when(F.col("failed") > 0, F.col("failed")).otherwise(F.col("bad")))
-                if fmt == "go" else F.format_string("FAILED: %d/%d tests", "failed", "total"))
-        # cargo and pytest need a summary line before they can say "passed".
-        says_passed = ~bad & (F.col("total") > 0) if fmt in ("cargo", "pytest") else ~bad
-        found = page_text(emit(
-            rows, (first & bad, head, 0), (first & says_passed, F.format_string("PASSED: %d tests", "passed"), 0),
-            (bad & F.col("rank").isNotNull(), F.col("line"), 1, F.col("rank"))))
+        found = page_text(runner_page(explode_lines(captures), fmt, chunk=None))
         if fmt == "vitest":
             none = F.col("raw").rlike("(?i)No test files found|no tests found")
             rest = with_default(captures.where(~none), found, generic_text(F.col("raw")))

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from functools import lru_cache
+from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from capsift import rules as R
-from capsift.functions.text import savings_pct, token_estimate
-from capsift.operators import cells, compact
-from capsift.operators.route import reader_of, route_strategy
+from capsift.functions.text import not_blank, savings_pct, token_estimate, tokens_of_length
+from capsift.operators import cells, compact, paged, render
+from capsift.operators.route import reader_of, route_strategy, strategy_of
+from capsift.session import durable_dir
 
 Strategy = Callable[[DataFrame], DataFrame]
 
@@ -110,13 +112,17 @@ def _measured(texts: DataFrame) -> DataFrame:
                       savings_pct(F.col("raw_tokens"), F.col("filtered_tokens")).alias("savings_pct"))
 
 
-def compress(captures: DataFrame, extra: Mapping[str, Strategy] | None = None, by: str = "command") -> DataFrame:
+def compress(captures: DataFrame | Mapping[str, DataFrame], extra: Mapping[str, Strategy] | None = None, by: str = "command") -> DataFrame:
     """``capture_id, strategy, filtered, raw_tokens, filtered_tokens, savings_pct``.
 
     ``captures`` holds ``capture_id, command, raw`` (and ``tool``, which ``by="tool"`` reads).
     All readers run in one scan without a shuffle.  ``extra`` adds strategies of the caller's
     own or puts them in place of others; each of these scans the input once more.
+
+    Captures whose text may be larger than a cell come as line tables, see :func:`compress_lines`.
     """
+    if isinstance(captures, Mapping):
+        return compress_lines(captures, extra, by)
     routed, extra = routed_captures(captures, by), extra or {}
     texts = READERS if by == "tool" else NARROW
     found = narrow_texts(routed, {name: text for name, text in texts.items() if name not in extra})
@@ -125,6 +131,113 @@ def compress(captures: DataFrame, extra: Mapping[str, Strategy] | None = None, b
     return _measured(found)
 
 
+#: A capture beyond this many lines or characters is never put together in one cell.  While cells are put
+#: together a task holds those of up to 128 captures.
+CELL_LINES, CELL_CHARS = 1 << 13, 1 << 20
+
+
+def captures_of(sources: Mapping[str, DataFrame]) -> DataFrame:
+    """``capture_id, command`` and exit code of line tables by command, a row per capture."""
+    return _united([rows.select(*_keys(rows)).distinct().withColumn("command", F.lit(command)) for command, rows in sources.items()])
+
+
+def _united(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _keys(rows: DataFrame) -> list[str]:
+    return [name for name in ("capture_id", "exit_code") if name in rows.columns]
+
+
+def _readers(session: SparkSession, commands: list[str], by: str) -> list[tuple[str, str | None]]:
+    """Per command the reader that takes its captures, and the pages of that reader if it has any.
+
+    Only for captures that are no JSON and have more lines than a short text.
+    """
+    if by not in ("command", "tool"):
+        raise ValueError("by is 'command' or 'tool'")
+    chosen = []
+    for text in commands:
+        command = F.lit(text)
+        routed = strategy_of(command, F.lit("\n" * R.GENERIC_PASS))
+        reader = F.coalesce(reader_of(command), routed) if by == "tool" else routed
+        unsure = (reader == "generic") & F.lower(command).rlike(R.JSON_COMMAND)
+        chosen.append(F.struct(reader.alias("reader"), F.when(~unsure, paged.paged_as(reader, command)).alias("pages")))
+    row = session.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate(chosen)]).first()
+    return [(c.reader, c.pages) for c in row]
+
+
+def _large(rows: DataFrame, reader: paged.Paged, cell_lines: int, cell_chars: int) -> DataFrame:
+    """The captures that are read as pages, with what their lines tell, from one combining pass."""
+    line = F.col("line")
+    odd = F.coalesce(F.max(line.contains("\n") | F.col("line_no").isNull()), F.lit(False))
+    if "exit_code" in rows.columns:
+        code = F.col("exit_code")
+        odd = odd | ~F.min(code).eqNullSafe(F.max(code)) | ~F.count(code).isin(0, F.count(F.lit(1))) | F.coalesce(F.max(code) == NOT_FOUND, F.lit(False))
+    facts = {"n_lines": F.count("line"), "n_chars": F.sum(F.length("line")), "n_filled": F.count_if(not_blank(line)),
+             "n_items": reader.items() if reader.items else F.lit(0).cast("bigint")}
+    known = rows.groupBy("capture_id").agg(*[fact.alias(name) for name, fact in facts.items()], odd.alias("odd"), reader.takes().alias("takes"))
+    size = (F.col("n_lines") > cell_lines) | (F.col("n_chars") > cell_chars)
+    kept = F.col("capture_id").isNotNull() & size & (F.col("n_filled") > R.GENERIC_PASS) & ~F.col("odd") & F.col("takes")
+    return known.where(kept).select("capture_id", *facts)
+
+
+def _from_pages(lines: DataFrame, large: DataFrame, command: str, strategy: str, reader: paged.Paged) -> DataFrame:
+    pages = render.sized_pages(reader.page(lines, F.lit(command)))
+    text, chars = F.col("filtered"), F.col("chars")
+    if reader.trimmed:
+        text = F.regexp_replace(text, r"\s+$", "")
+        chars = F.length(text)
+    if reader.heading is not None:
+        heading = reader.heading(F.lit(command))
+        text, chars = F.concat(heading, F.lit("\n"), text), F.length(heading) + 1 + chars
+    out = large.join(pages, "capture_id", "left").select(
+        "capture_id", F.lit(strategy).alias("strategy"), F.coalesce(text, F.lit(reader.empty)).alias("filtered"),
+        tokens_of_length(F.col("n_chars") + F.col("n_lines") - 1).alias("raw_tokens"),
+        tokens_of_length(F.coalesce(chars, F.lit(len(reader.empty)))).alias("filtered_tokens"))
+    return out.withColumn("savings_pct", savings_pct(F.col("raw_tokens"), F.col("filtered_tokens")))
+
+
+def compress_lines(sources: Mapping[str, DataFrame], extra: Mapping[str, Strategy] | None = None, by: str = "command",
+                   cell_lines: int | None = None, cell_chars: int | None = None) -> DataFrame:
+    """The rows of :func:`compress` from line tables: command -> ``capture_id, line_no, line`` (and ``exit_code``).
+
+    A ``capture_id`` names one capture, a line without text leaves no trace.  Small captures are joined to cells.
+    A larger one is read as pages (:data:`paged.PAGED`), so that no task holds its text; those whose reader has no
+    pages, that a reader's pages don't take, whose command was not found or whose lines hold line ends are cells of any size.
+
+    Which captures are large is found when this is called, by one combining pass whose rows are written and read
+    again; there are no more of them than lines by ``cell_lines``, so they are broadcast.  All else is lazy.
+    """
+    cell_lines, cell_chars = cell_lines or CELL_LINES, cell_chars or CELL_CHARS
+    extra, session = extra or {}, next(iter(sources.values())).sparkSession
+    readers = _readers(session, list(sources), by)
+    paging = {i: paged.PAGED[pages] for i, (strategy, pages) in enumerate(readers) if pages is not None and strategy not in extra}
+    large, found = {}, []
+    if paging:
+        tables = list(sources.values())
+        known = _united([_large(tables[i], reader, cell_lines, cell_chars).withColumn("source", F.lit(i)) for i, reader in paging.items()])
+        path = f"{durable_dir(session)}/large-{uuid4().hex}"
+        known.write.partitionBy("source").parquet(path)
+        known = session.read.schema(known.schema).parquet(path)
+        large = {row.source: known.where(F.col("source") == row.source).drop("source") for row in known.select("source").distinct().collect()}
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda r: r["line"]), "\n")
+    small = []
+    for i, (command, rows) in enumerate(sources.items()):
+        if i in large:
+            ids = F.broadcast(large[i].select("capture_id"))
+            lines = rows.where(F.col("line").isNotNull()).select("capture_id", "line_no", "line").join(ids, "capture_id", "left_semi")
+            found.append(_from_pages(lines, large[i], command, readers[i][0], paging[i]))
+            rows = rows.join(ids, "capture_id", "left_anti")
+        small.append(rows.withColumn("command", F.lit(command)))
+    captures = _united(small)
+    captures = captures.groupBy("command", *_keys(captures)).agg(joined.alias("raw"))
+    return _united([compress(captures, extra, by), *found])
+
+
 def with_header(compressed: DataFrame, exit_code: str = "exit_code") -> DataFrame:
     """Adds ``shown``: the text under its exit code or compression rate."""
     rate = F.format_string("[%d%% compression: %d→%d tokens]", "savings_pct", "raw_tokens", "filtered_tokens")
