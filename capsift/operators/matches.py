@@ -9,24 +9,31 @@ from capsift.functions.text import bigint, compact_path, snippet
 from capsift.operators.lines import capped, most, whole_groups
 
 
-def parse_matches(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``file, row, content`` out of ``file:row:content`` lines; narrow."""
+def _with_file(lines: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """Search results with their ``file`` and the place of the colon behind it."""
     line = F.col("line")
-    drive = line.rlike(R.GREP_DRIVE)  # the colon after a drive letter ends no file name
+    drive = (F.substring(line, 2, 1) == ":") & line.rlike(R.GREP_DRIVE)  # the colon after a drive letter ends no file name
     at = F.when(drive, F.instr(line, ":") + F.locate(":", F.substring(line, 3, 1 << 30))
                 ).otherwise(F.instr(line, ":"))
     at = F.when(drive & (F.locate(":", F.substring(line, 3, 1 << 30)) == 0), F.instr(line, ":")).otherwise(at)
-    rows = lines.where(line.contains(":")).select(
-        "capture_id", "line_no", *keep, "line", at.alias("_at"))
-    rest = F.substring(line, F.col("_at") + 1, F.length(line))
-    rows = rows.select("capture_id", "line_no", *keep, F.substring(line, F.lit(1), F.col("_at") - 1).alias("file"),
-                       rest.alias("_rest"), F.regexp_extract(rest, R.GREP_ROW, 1).alias("_row"))
+    rows = lines.where(line.contains(":")).select("capture_id", "line_no", *keep, "line", at.alias("_at"))
+    return rows.withColumn("file", F.substring(line, F.lit(1), F.col("_at") - 1))
+
+
+def _with_content(rows: DataFrame) -> DataFrame:
+    """``row`` and ``content`` in place of the line."""
+    rest = F.substring(F.col("line"), F.col("_at") + 1, F.length("line"))
+    rows = rows.withColumns({"_rest": rest, "_row": F.regexp_extract(rest, R.GREP_ROW, 1)})
     has_row = F.col("_row") != ""
-    return rows.select(
-        "capture_id", "line_no", *keep, "file",
-        F.when(has_row, F.col("_row").cast("bigint")).otherwise(F.lit(0).cast("bigint")).alias("row"),
-        F.when(has_row, F.substring(F.col("_rest"), F.length("_row") + 2, F.length("_rest"))).otherwise(
-            F.col("_rest")).alias("content"))
+    return rows.withColumns({
+        "row": F.when(has_row, F.col("_row").cast("bigint")).otherwise(F.lit(0).cast("bigint")),
+        "content": F.when(has_row, F.substring(F.col("_rest"), F.length("_row") + 2, F.length("_rest"))).otherwise(
+            F.col("_rest"))}).drop("line", "_at", "_rest", "_row")
+
+
+def parse_matches(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``file, row, content`` out of ``file:row:content`` lines; narrow."""
+    return _with_content(_with_file(lines, keep))
 
 
 def matches_by_file(lines: DataFrame, pattern: str | None = None,
@@ -37,13 +44,14 @@ def matches_by_file(lines: DataFrame, pattern: str | None = None,
     column where there is one.
     """
     keep = ("pattern",) if "pattern" in lines.columns else ()
-    by_file = capped(parse_matches(lines, keep), ["capture_id", "file"], [F.col("line_no")], per_file,
+    by_file = capped(_with_file(lines, keep), ["capture_id", "file"], [F.col("line_no")], per_file,
                      {"n_in_file": ("sum", F.lit(1))}, limit_first=True).withColumnRenamed("rank", "file_rank")
     first = F.col("file_rank") == 1
     listed = capped(by_file, ["capture_id"], [F.col("file"), F.col("file_rank")], overall,
                     {"n_files": ("sum", first.cast("int")),
                      "total": ("sum", F.when(first, F.col("n_in_file")).otherwise(0))},
                     split=F.pmod(F.xxhash64("file"), F.lit(64)))
+    listed = _with_content(listed)  # only rows that are left are taken apart
     return listed.select("capture_id", "rank", "file", compact_path(F.col("file")).alias("file_display"),
                          "file_rank", "row", snippet(F.col("content"), F.col("pattern") if keep else pattern).alias("content"),
                          bigint("n_in_file").alias("n_in_file"), bigint("n_files").alias("n_files"),

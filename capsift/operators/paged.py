@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from capsift import rules as R
-from capsift.functions.text import groups, not_blank, number_in, trim_ws
+from capsift.functions.text import contains_any, not_blank, number_in, trim_ws
 from capsift.operators import builds, compact, cut, diagnostics as diag, gitops, noise, render
 from capsift.operators.lines import chunk_of, filled
 from capsift.operators.render import LAST, emit
@@ -79,8 +79,12 @@ def status_page(lines: DataFrame, command: Column) -> DataFrame:
     return branches.unionByName(emit(found, *parts, conflicts))
 
 
+def _hex_first(line: Column) -> Column:
+    return (line >= "0") & (line < "g")  # a commit begins with 0-9 or a-f
+
+
 def _commit_starts(line: Column) -> Column:
-    return line.rlike(R.LOG_COMMIT) | line.rlike(R.LOG_ONELINE)
+    return _hex_first(line) & (line.rlike(R.LOG_COMMIT) | line.rlike(R.LOG_ONELINE))
 
 
 def history_page(lines: DataFrame, command: Column) -> DataFrame:
@@ -101,7 +105,8 @@ def diff_page(lines: DataFrame, command: Column) -> DataFrame:
     ends = heads.withColumn("upto", upto).where(F.col("upto") > R.DIFF_CAP).groupBy("capture_id").agg(F.min("_chunk").alias("_end"))
     # A row per large capture at most.
     near = lines.join(F.broadcast(ends), "capture_id", "left").where(F.col("_end").isNull() | (chunk_of() <= F.col("_end"))).drop("_end")
-    return render.diff_page(near, plain=False)
+    # Dealt out here, so that the steps of the page share what one scan found.
+    return render.diff_page(near.repartition("capture_id", chunk_of()), plain=False)
 
 
 # --- search results, listings, tables, environment ----------------------------------------------
@@ -144,7 +149,7 @@ def npm_page(lines: DataFrame, command: Column) -> DataFrame:
 def _is_npm_hit(line: Column) -> Column:
     line = trim_ws(line)
     noisy = (line.rlike(R.NPM_NOISE) & ~line.rlike("(?i)error")) | line.rlike(R.NPM_SPINNER)
-    return ~noisy & (line.rlike(R.NPM_ERROR) | line.rlike(R.NPM_SUMMARY))
+    return (line.rlike(R.NPM_SUMMARY) | line.rlike(R.NPM_ERROR)) & ~noisy
 
 
 def pip_page(lines: DataFrame, command: Column) -> DataFrame:
@@ -171,8 +176,9 @@ def _of_tools(page: Callable[[DataFrame], DataFrame], *tools: str) -> Callable[[
 def _pytest_counts() -> Column:
     """Tests that the last summary counts."""
     line = F.col("line")
-    p, f = (F.when(line.contains(word), number_in(line, pattern)) for word, pattern in (("passed", R.PASSED), ("failed", R.FAILED)))
-    summary = line.contains(R.PYTEST_RULE) & (p.isNotNull() | f.isNotNull())
+    ruled = line.contains(R.PYTEST_RULE)
+    p, f = (F.when(ruled & line.contains(word), number_in(line, pattern)) for word, pattern in (("passed", R.PASSED), ("failed", R.FAILED)))
+    summary = p.isNotNull() | f.isNotNull()
     zero = F.lit(0).cast("bigint")
     return F.coalesce(F.max_by(F.coalesce(p, zero) + F.coalesce(f, zero), F.when(summary, F.col("line_no"))), zero) > 0
 
@@ -184,6 +190,10 @@ def _opens_json() -> Column:
     return F.coalesce(first == "[", F.lit(False))
 
 
+def _unmarked(line: Column) -> Column:
+    return ~line.contains("\x01")  # the mark of ``text.groups``, which takes no line that holds it
+
+
 def _is_task(line: Column) -> Column:
     return line.rlike("^[A-Za-z0-9_]") & line.contains(" - ")
 
@@ -199,15 +209,15 @@ PAGED: dict[str, Paged] = {
     "ls": Paged(lambda lines, command: render.ls_page(lines), empty="(empty)"),
     "gradle-tasks": Paged(lambda lines, command: render.tasks_page(lines), _any(_is_task), lambda: F.count_if(_is_task(F.col("line"))),
                           lambda command: F.format_string("%d tasks available", "n_items")),
-    "tsc": Paged(_of_tools(render.tsc_page, "tsc"), _any(lambda s: s.contains("): ") & groups(s, R.TSC, 6).isNotNull())),
+    "tsc": Paged(_of_tools(render.tsc_page, "tsc"), _any(lambda s: s.contains("): ") & s.rlike(R.TSC) & _unmarked(s))),
     "lint": Paged(_of_tools(render.lint_page, "eslint", "biome"), _any(lambda s: (
-        s.rlike(r"^\s+\d") & groups(s, R.ESLINT, 5).isNotNull()) | (s.contains("━") & groups(s, R.BIOME, 4).isNotNull()))),
+        (s.rlike(r"^\s+\d") & s.rlike(R.ESLINT)) | (s.contains("━") & s.rlike(R.BIOME))) & _unmarked(s))),
     "ruff": Paged(_of_tools(render.ruff_page, "ruff"), lambda: ~_opens_json(), empty="ruff ok"),
     "build": Paged(build_page, empty="build ok"),
     "cargo": Paged(_tests("cargo"), _any(lambda s: s.contains("test result:") & s.rlike(R.CARGO_SUMMARY)), empty="PASSED: 0 tests"),
     "pytest": Paged(_tests("pytest"), _pytest_counts),
     "go": Paged(_tests("go")),
-    "vitest": Paged(_tests("vitest"), _none_of(lambda s: s.rlike("(?i)No test files found|no tests found"))),
+    "vitest": Paged(_tests("vitest"), _none_of(lambda s: contains_any(F.lower(s), "no test files found", "no tests found"))),
     "npm": Paged(npm_page, _any(_is_npm_hit)),
     "pip": Paged(pip_page),
     "logs": Paged(lambda lines, command: render.log_page(lines), empty=render.QUIET_LOG),

@@ -177,7 +177,7 @@ def _large(rows: DataFrame, reader: paged.Paged, cell_lines: int, cell_chars: in
     if "exit_code" in rows.columns:
         code = F.col("exit_code")
         odd = odd | ~F.min(code).eqNullSafe(F.max(code)) | ~F.count(code).isin(0, F.count(F.lit(1))) | F.coalesce(F.max(code) == NOT_FOUND, F.lit(False))
-    facts = {"n_lines": F.count("line"), "n_chars": F.sum(F.length("line")), "n_filled": F.count_if(not_blank(line)),
+    facts = {"n_lines": F.count("line"), "n_chars": F.sum(F.length("line")), "n_filled": F.count_if((line >= "!") | not_blank(line)),
              "n_items": reader.items() if reader.items else F.lit(0).cast("bigint")}
     known = rows.groupBy("capture_id").agg(*[fact.alias(name) for name, fact in facts.items()], odd.alias("odd"), reader.takes().alias("takes"))
     size = (F.col("n_lines") > cell_lines) | (F.col("n_chars") > cell_chars)
