@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from capsift import rules as R
 from capsift.functions.text import bigint, first_chars, not_blank, number_in, trim_ws, truncate_line
 from capsift.operators.compact import _let
-from capsift.operators.lines import CHUNK, capped, carry, chunk_of, classed, most, with_caps, within_caps
+from capsift.operators.lines import ALL, CHUNK, capped, carry, chunk_of, classed, most, with_caps, within_caps
 
 
 def status_summary(lines: DataFrame, caps: Mapping[str, int | None] | None = None) -> DataFrame:
@@ -95,13 +95,14 @@ def _file_name(line: Column) -> Column:
     return F.when(line.startswith("diff --git"), git).otherwise(F.regexp_replace(path, "^b/", ""))
 
 
-def _chunk_borders(rows: DataFrame, plain: bool, size: int) -> DataFrame:
+def _chunk_borders(rows: DataFrame, plain: bool, size: int, hunk_cap: int = 0) -> DataFrame:
     """What each chunk of a diff needs to know of its neighbours as ``before``, one row per chunk.
 
     One pass gives each chunk's first and last marks; for diffs made without git also the
     numbers of its ``---`` and ``+++`` lines, at most a chunk's.  Which of the ``+++`` lines is the
     chunk's last header depends on what came before: both answers are worked out, and windows
-    over the chunks of a capture choose.
+    over the chunks of a capture choose.  With ``hunk_cap`` also how many headers the earlier chunks show
+    at least: of one line number no more than the cap are shown, so no more count per chunk.
     """
     kind, no, chunk = F.col("kind"), F.col("line_no"), F.col("_chunk")
     git, hunk, old, new = (kind == value for value in (_GIT, _HUNK, _OLD, _NEW))
@@ -109,7 +110,8 @@ def _chunk_borders(rows: DataFrame, plain: bool, size: int) -> DataFrame:
     sums = {
         "first_git": F.min(F.when(git, no)), "last_git": F.max_by(header, F.when(git, no)),
         "first_hunk": F.min(F.when(hunk, no)), "last_hunk": F.max(F.when(hunk, no)),
-        "last_change": F.max(F.when(kind >= _OLD, no))}
+        "last_change": F.max(F.when(kind >= _OLD, no)),
+        "n_git": F.count(F.when(git, 1)), "n_hunk": F.count(F.when(hunk, 1))}
     if plain:
         sums |= {"olds": F.collect_list(F.when(old, no)), "news": F.collect_list(F.when(new, header)),
                  "begins_new": F.max((no == chunk * size) & new), "ends_old": F.max((no == chunk * size + size - 1) & old)}
@@ -146,35 +148,49 @@ def _chunk_borders(rows: DataFrame, plain: bool, size: int) -> DataFrame:
     mark_end = F.when(at.isNotNull(), F.struct(at.alias("at"), F.coalesce(at == F.col("last_hunk"), F.lit(False)).alias("in_hunk")))
     ends = ends.withColumn("mark_end", mark_end)
     carried = {"file": "file_end", "mark": "mark_end", "change_at": "last_change"}
+    ends = ends.withColumns({f"{name}_before": F.last(end, ignorenulls=True).over(earlier) for name, end in carried.items()})
+    # Every git line is a header, and every hunk of a file that is known by then is shown.
+    headers = F.col("n_git") + F.when(F.col("file_before").isNotNull(), F.col("n_hunk")).otherwise(0)
+    shown_before = F.sum(F.least(headers, F.lit(hunk_cap))).over(earlier)
     return ends.select("capture_id", "_chunk", F.struct(
-        "git_before", "hunk_before", "old_before", "new_after",
-        *[F.last(end, ignorenulls=True).over(earlier).alias(name) for name, end in carried.items()]).alias("before"))
+        "git_before", "hunk_before", "old_before", "new_after", *[F.col(f"{name}_before").alias(name) for name in carried],
+        shown_before.alias("shown_before")).alias("before"))
 
 
-def _diff_state(lines: DataFrame, plain: bool, chunk: int | None) -> DataFrame:
+def _diff_state(lines: DataFrame, plain: bool, chunk: int | None, texts: bool = False, hunk_cap: int = 0) -> DataFrame:
     """Each diff line with its file and hunk, carried from the last header.
 
     Inside a hunk ``---`` and ``+++`` are removed and added text, not headers.  In diffs without
     ``diff --git`` any ``+++`` line before the first hunk is a header, later only one right after
     a ``---`` line, which then is the old name and no removed text.  What comes from earlier chunks
     lies as a row before the chunk's first line, so lines are never a side of a join.
+
+    Lines are dealt out by chunk and sorted as they are, or without ``texts`` as kind and name alone;
+    whatever follows from the text is worked out behind that.
     """
     kind, no = F.col("kind"), F.col("line_no")
     git, hunk, old, new = (kind == value for value in (_GIT, _HUNK, _OLD, _NEW))
     keys = ["capture_id", "_chunk"]
-    rows = lines.select("capture_id", bigint("line_no").alias("line_no"), "line", _kind(F.col("line")).alias("kind"),
+    name = _file_name(F.col("line"))
+    rows = lines.select("capture_id", bigint("line_no").alias("line_no"), "line",
                         (bigint(F.lit(0)) if chunk is None else chunk_of(size=chunk)).alias("_chunk"))
-    rows = rows.withColumn("name", F.when(git | new if plain else git, _file_name(F.col("line"))))
+    marked = rows.withColumn("kind", _kind(F.col("line")))
+    marked = marked.withColumn("name", F.when(git | new if plain else git, name)).drop("line")
     size = chunk or _NEVER
     inside = Window.partitionBy(*keys).orderBy("line_no")
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     if chunk is None:
         before = F.lit(None).cast("struct<git_before:boolean,hunk_before:boolean,old_before:boolean,new_after:boolean,"
-                                  "file:struct<at:bigint,name:string>,mark:struct<at:bigint,in_hunk:boolean>,change_at:bigint>")
-        rows = rows.withColumn("before", before)
+                                  "file:struct<at:bigint,name:string>,mark:struct<at:bigint,in_hunk:boolean>,change_at:bigint,"
+                                  "shown_before:bigint>")
+        rows = (rows if texts else marked).withColumn("before", before)
     else:
-        borders = _chunk_borders(rows, plain, chunk).withColumn("line_no", F.col("_chunk") * chunk - 1)
-        rows = rows.unionByName(borders, allowMissingColumns=True)
+        borders = _chunk_borders(marked, plain, chunk, hunk_cap).withColumn("line_no", F.col("_chunk") * chunk - 1)
+        rows = (rows if texts else marked).unionByName(borders, allowMissingColumns=True)
+        rows = rows.repartition(*keys).sortWithinPartitions(*keys, "line_no")
+    if texts:
+        rows = rows.withColumn("kind", F.when(F.col("before").isNull(), _kind(F.col("line"))))
+        rows = rows.withColumn("name", F.when(git | new if plain else git, name))
     header = git
     if plain:
         known = lambda name: F.coalesce(F.first(F.col("before")[name]).over(upto), F.lit(False))
@@ -196,9 +212,10 @@ def _diff_state(lines: DataFrame, plain: bool, chunk: int | None) -> DataFrame:
     rows = rows.withColumns({
         "file": carried("file", F.when(starts, F.struct(no.alias("at"), F.col("name")))),
         "mark": carried("mark", F.when(starts | hunk, F.struct(no.alias("at"), (hunk & ~starts).alias("in_hunk")))),
-        "change_at": carried("change_at", F.when(kind >= _OLD, no))})
+        "change_at": carried("change_at", F.when(kind >= _OLD, no)),
+        "shown_before": carried("shown_before", F.lit(None).cast("bigint"))})
     return rows.where(kind.isNotNull() & F.col("file").isNotNull()).select(
-        "capture_id", "line_no", "line", "kind", "is_header", hunk.alias("is_hunk"),
+        "capture_id", "_chunk", "line_no", *(["line", "shown_before"] if texts else []), "kind", "is_header", hunk.alias("is_hunk"),
         F.col("file.at").alias("file_at"), F.col("file.name").alias("file"),
         F.col("mark.at").alias("mark_at"), (F.col("mark.in_hunk") & ~hunk).alias("in_hunk"),
         F.coalesce(F.col("change_at") > F.col("mark.at"), F.lit(False)).alias("after_change"))
@@ -219,24 +236,49 @@ def diff_stat(lines: DataFrame, plain: bool = True, chunk: int | None = CHUNK) -
         bigint(F.count_if(F.col("is_hunk"))).alias("hunks")).withColumn("file_at", bigint("file_at"))
 
 
+def _page_rows(rows: DataFrame, hunk_cap: int, cap: int, size: int) -> DataFrame:
+    """Of the rows to show those that can be among the first ``cap`` of a capture, chunk by chunk and without a shuffle.
+
+    A hunk keeps ``hunk_cap`` rows of a chunk at most.  Only of the hunk that began in an earlier chunk some may
+    still fall out, so a row of the page is among the chunk's first ``cap + hunk_cap``, and its hunk ends
+    ``hunk_cap`` rows further.  Rows of that earlier hunk and of the last one pass all, as they are counted
+    with those of other chunks; ``rest`` of the last header is the number of rows that stay behind.
+    """
+    chunk = Window.partitionBy("capture_id", "_chunk").orderBy("line_no")
+    upto = chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = chunk.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    group, mark_at, at = F.struct("mark_at", "kind"), F.col("mark_at"), F.col("_at")
+    rows = rows.withColumns({"_at": F.row_number().over(chunk), "_before": F.lag(group).over(chunk), "_last": F.max("mark_at").over(whole)})
+    rows = rows.withColumn("_begins", F.max(F.when(~group.eqNullSafe(F.col("_before")), at)).over(upto)).where(at < F.col("_begins") + hunk_cap)
+    earlier = F.coalesce(mark_at < F.col("_chunk") * size, F.lit(True))
+    rows = rows.withColumns({"_at": F.row_number().over(chunk), "_earlier": F.count(F.when(earlier, 1)).over(upto)})
+    near = F.when(F.coalesce("shown_before", F.lit(0)) < cap, min(cap + 2 * hunk_cap, ALL)).otherwise(0)
+    first, ends = F.greatest(near, F.col("_earlier")), mark_at.eqNullSafe(F.col("_last"))
+    header = ends & ~mark_at.eqNullSafe(F.col("_before.mark_at"))
+    rest = F.when(header, F.greatest(at - 1 - first, F.lit(0))).otherwise(0)
+    return rows.withColumn("rest", rest).where((at <= first) | ends).drop("_at", "_before", "_last", "_begins", "_earlier")
+
+
 def diff_condense(lines: DataFrame, plain: bool = True, hunk_cap: int = R.DIFF_HUNK_CAP,
                   cap: int = R.DIFF_CAP, chunk: int | None = CHUNK) -> DataFrame:
     """File and hunk headers plus the first 30 lines of each hunk, 200 in all.
 
     Context shows only after the first change of its hunk.
     """
-    rows, line = _diff_state(lines, plain, chunk), F.col("line")
+    rows, line = _diff_state(lines, plain, chunk, True, hunk_cap), F.col("line")
     shown_as = (F.when(F.col("is_header"), "file").when(F.col("is_hunk"), "hunk")
                 .when(F.col("in_hunk") & F.col("after_change") & ~line.startswith("\\"), "line"))
-    # Headers are groups of one here, so one pass ranks them along with the hunks.
-    shown = capped(rows.withColumn("kind", shown_as).where(F.col("kind").isNotNull()),
-                   ["capture_id", "mark_at", "kind"], [F.col("line_no")], hunk_cap, {"n_hunk": ("sum", F.lit(1))})
+    rows = _page_rows(rows.withColumn("kind", shown_as).where(F.col("kind").isNotNull()), hunk_cap, cap, chunk or _NEVER)
+    # Headers are groups of one here, so one pass ranks them along with the hunks.  Lines lie by chunk, so
+    # they are ranked in it first, and the few that are left meet by capture for all that follows.
+    shown = capped(rows, ["capture_id", "mark_at", "kind"], [F.col("line_no")], hunk_cap, {"n_hunk": ("sum", F.lit(1))},
+                   split=F.col("_chunk"), place=["capture_id"])
     info = trim_ws(F.coalesce(F.get(F.split(line, "@@", -1), F.lit(1)), F.lit("")))
     shown = shown.select(
         "capture_id", "line_no", "file", "file_at", F.col("mark_at").alias("hunk_at"), "kind",
         F.when(F.col("kind") == "file", F.col("file")).when(F.col("kind") == "hunk", info).otherwise(line).alias("line"),
-        ((F.col("kind") == "line") & (F.col("n_hunk") >= hunk_cap)).alias("truncated"))
-    out = capped(shown, ["capture_id"], [F.col("line_no")], cap, {"n_rows": ("sum", F.lit(1))})
+        ((F.col("kind") == "line") & (F.col("n_hunk") >= hunk_cap)).alias("truncated"), "rest")
+    out = capped(shown, ["capture_id"], [F.col("line_no")], cap, {"n_rows": ("sum", 1 + F.col("rest"))})
     return out.select("capture_id", "rank", bigint("line_no").alias("line_no"), "file",
                       bigint("file_at").alias("file_at"), bigint("hunk_at").alias("hunk_at"), "kind", "line",
                       "truncated", bigint("n_rows").alias("n_rows"))

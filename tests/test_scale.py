@@ -296,3 +296,69 @@ def test_last_headers_are_found_once_per_chunk(spark):
     rows = gitops.diff_stat(df, chunk=64)
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("array_intersect(") == 1
     assert sorted(map(tuple, rows.collect())) == [(1, i + 1, "x", 1, 0, 1) for i in range(0, 400, 4)]
+
+
+def page_of(rows, hunk_cap, cap):
+    """A sequential reading of one capture: what is shown, its first rows, the number of all."""
+    name = mark = None
+    hunk, changed, shown, in_group = False, False, [], {}
+    for no, line in sorted(rows):
+        kind = None
+        if line.startswith("diff --git"):
+            name, mark, hunk, changed, kind = (no, line.split(" b/")[1]), no, False, False, "file"
+        elif line.startswith("@@"):
+            mark, hunk, changed, kind = no, True, False, "hunk" if name else None
+        elif name and hunk:
+            changed = changed or line[:1] in "+-"
+            kind = "line" if changed and not line.startswith("\\") else None
+        if kind:
+            in_group[mark, kind] = in_group.get((mark, kind), 0) + 1
+            if in_group[mark, kind] <= hunk_cap:
+                text = name[1] if kind == "file" else line.split("@@")[1].strip() if kind == "hunk" else line
+                shown.append((no, name[1], name[0], mark, kind, text))
+    return [(rank, *row, row[4] == "line" and in_group[row[3], "line"] >= hunk_cap, len(shown))
+            for rank, row in enumerate(shown[:cap], 1)]
+
+
+@pytest.mark.parametrize("chunk", [1, 5, 16, None])
+@pytest.mark.parametrize("hunk_cap,cap", [(2, 5), (3, 12)])
+def test_pages_of_diffs_equal_sequential_reading(spark, chunk, hunk_cap, cap):
+    """Hunks over several chunks, chunks beyond the page, captures without a header, lines that come more than once."""
+    rng = random.Random(13)
+    head, body = ["diff --git a/x b/x", "@@ -1 +1 @@ f"], ["+a", "-b", " c", "--- c", "+++ d", "\\ No newline"]
+    rows = []
+    for cid in range(60):
+        often = rng.choice([0.02, 0.2, 0.6])
+        lines = [rng.choice(head if rng.random() < often else body) for _ in range(rng.randint(1, 90))]
+        rows += [(cid or None, i, line) for i, line in enumerate(lines) for _ in range(1 + (cid % 4 == 1) + 5 * (cid % 8 == 1 and i % 7 == 0))]
+    texts = {}
+    for cid, no, line in rows:
+        texts.setdefault(cid, []).append((no, line))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "capture_id long, line_no long, line string").repartition(5)
+    want = [(cid, *row) for cid, lines in texts.items() for row in page_of(lines, hunk_cap, cap)]
+    got = gitops.diff_condense(df, False, hunk_cap, cap, chunk).select(
+        "capture_id", "rank", "line_no", "file", "file_at", "hunk_at", "kind", "line", "truncated", "n_rows")
+    order = lambda row: (row[0] or 0, row[1])
+    assert sorted(map(tuple, got.collect()), key=order) == sorted(want, key=order)
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_pages_of_diffs_shuffle_lines_once(spark):
+    """By chunk; then what is left by capture.  The borders of chunks are two small ones."""
+    df = spark.range(10).selectExpr("id % 2 as capture_id", "id as line_no", "'@@' as line")
+    assert exchanges(gitops.diff_condense(df, False)) <= 4
+
+
+def test_chunks_beyond_the_page_pass_on_their_last_hunk(spark):
+    """Two headers a chunk of ten lines: five chunks fill a page of ten rows, the others tell their number of rows."""
+    text = ["diff --git a/x b/x", "@@ -1 +1 @@", "+a", "@@ -2 +2 @@", "+b", "+c", "@@ -3 +3 @@", "+d", "+e", " f"]
+    df = spark.createDataFrame([(1, i, text[i % 10]) for i in range(4000)], "capture_id long, line_no long, line string")
+    rows = gitops.diff_condense(df, False, 30, 10, 10)
+    assert [r.n_rows for r in rows.collect()] == [4000] * 10
+    shown = gitops._diff_state(df, False, 10, True, 30).withColumn("kind", F.when(F.col("is_header"), "file").when(F.col("is_hunk"), "hunk").otherwise("line"))
+    kept = gitops._page_rows(shown, 30, 10, 10).groupBy((F.col("line_no") / 10).cast("long").alias("c")).agg(F.count("*").alias("n"), F.sum("rest").alias("rest")).collect()
+    assert {(r.n, r.rest) for r in kept if r.c > 5} == {(4, 6)} and sum(r.n + r.rest for r in kept) == 4000
