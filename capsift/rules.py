@@ -287,6 +287,8 @@ LOG_BLOCK_END = "---END---"
 LOG_TRAILER = r"^(Signed-off-by:|Co-authored-by:)"
 LOG_COMMIT = r"^commit\s+([a-f0-9]+)"
 LOG_ONELINE = r"^([a-f0-9]{7,})\s+(.+)"
+#: a line of either kind, or an indented one that is not blank
+LOG_EVENT = r"^(commit\s+[a-f0-9]|[a-f0-9]{7,}\s+.| {4}(?s:.*)\S)"
 DIFF_HUNK_CAP, DIFF_CAP = 30, 200
 COMMIT_REF = r"\[[A-Za-z0-9_/.\-]+\s+([a-f0-9]+)\]"
 INSTALL_FAILURE = r"Failure \[(.+)\]"

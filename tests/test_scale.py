@@ -1,6 +1,7 @@
 """Hot captures: chunked operators against brute force, whatever the layout."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -362,3 +363,44 @@ def test_chunks_beyond_the_page_pass_on_their_last_hunk(spark):
     shown = gitops._diff_state(df, False, 10, True, 30).withColumn("kind", F.when(F.col("is_header"), "file").when(F.col("is_hunk"), "hunk").otherwise("line"))
     kept = gitops._page_rows(shown, 30, 10, 10).groupBy((F.col("line_no") / 10).cast("long").alias("c")).agg(F.count("*").alias("n"), F.sum("rest").alias("rest")).collect()
     assert {(r.n, r.rest) for r in kept if r.c > 5} == {(4, 6)} and sum(r.n + r.rest for r in kept) == 4000
+
+
+def history_of(rows):
+    """A sequential reading of one capture's history: number of a commit's line and its text, cut to 80."""
+    found = []
+    for no, line in sorted(rows):
+        full, short = re.match(r"commit\s+([a-f0-9]+)", line), re.match(r"([a-f0-9]{7,})\s+(.+)", line)
+        if (full or short) and not (found and found[-1][0] == no):
+            found.append([no, full and full[1][:7], short and f"{short[1][:7]} {short[2]}", None])
+        elif found and line.startswith("    ") and line.strip(" \t\n\r\f\v") and not found[-1][3]:
+            found[-1][3] = line.strip(" \t\n\r\f\v")
+    texts = [(no, short or " ".join(x for x in (full, subject) if x)) for no, full, short, subject in found]
+    return [(no, x if len(x) <= 80 else x[:77] + "...") for no, x in texts]
+
+
+@pytest.mark.parametrize("chunk", [1, 4, 64, None])
+def test_histories_equal_sequential_reading(spark, chunk):
+    """Subjects behind a border of chunks, blank and overlong ones, lines without text, rows that come twice, no capture."""
+    rng = random.Random(14)
+    parts = ["commit 0123456789abcdef", "commit \t fee", "commit xyz", "commit", "abcdef01 one line", "abcdef01 " + "é" * 73, "abcdef01 " + "é" * 72,
+             "abcdef01 ", "abc short", "    subject", "    " + "s" * 72, "    " + "s" * 73, "  two", "    ", "     \t ", "      ", "    commit abc", "Author: A", "", None]
+    rows = []
+    for cid in range(60):
+        lines = [rng.choice(parts) for _ in range(rng.randint(1, 60))]
+        rows += [(cid or None, i, line) for i, line in enumerate(lines) for _ in range(1 + (cid % 3 == 1))]
+    texts = {}
+    for cid, no, line in rows:
+        texts.setdefault(cid, []).extend([(no, line)] if line is not None else [])
+    rng.shuffle(rows)
+    df = spark.createDataFrame([*rows, (1, None, "commit abc")], "capture_id long, line_no long, line string").repartition(3)
+    got = sorted(map(tuple, gitops.commit_log_verbose(df, chunk).collect()), key=lambda row: (row[0] or 0, row[1]))
+    want = [(cid, *row) for cid, lines in texts.items() for row in history_of(lines)]
+    assert got == sorted(want, key=lambda row: (row[0] or 0, row[1]))
+
+
+def test_histories_shuffle_what_is_shown(spark):
+    """Neither lines that tell nothing of a commit nor whole lines come to the first shuffle."""
+    df = spark.range(10).selectExpr("id as capture_id", "id as line_no", "string(id) as line")
+    text = gitops.commit_log_verbose(df)._jdf.queryExecution().optimizedPlan().toString()
+    lines = text[text.index("Union"):].split("\n")
+    assert "text#" in lines[1] and " line#" not in lines[1] and "RLIKE" in text
